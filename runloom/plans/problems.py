@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from runloom.functions.keys import failed, usable_duration, usable_timestamp
 from runloom.functions.runs import distinct_runs
-from runloom.operators import orphans, rolling
+from runloom.operators import asof, orphans, rolling
 from runloom.session import stored
+from runloom.sources import csv_rejects
 from runloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -96,3 +97,61 @@ found as (select src, strftime(loaded_at, '%Y-%m') period, id from kinds where (
 SQL["p4_found"] = SQL_ORPHANS + " select src, period, id from found"
 SQL["p4_report"] = SQL_ORPHANS + """ select k.src, strftime(k.loaded_at, '%Y-%m') period, count(*) refs, count(f.id) orphans
   from kinds k left join found f on k.src = f.src and k.id = f.id group by 1, 2"""
+
+
+ATTRIBUTES = ("owner_team", "tier", "quarantined", "timeout_s", "version_id")
+
+
+def attributes_at_event(spark: SparkSession, d: str, attributes: tuple[str, ...]) -> DataFrame:
+    tables = [table(spark, d, t) for t in ("test_runs", "commits", "test_owners", "shared_test_owners")]
+    return asof.run_attributes(*tables, attributes)
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return attributes_at_event(spark, d, ("version_id",)).where("version_id is not null").select("id", "version_id")
+
+
+@query
+def p6_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return attributes_at_event(spark, d, ATTRIBUTES).select("id", "t", *ATTRIBUTES)
+
+
+SQL_AS_OF = f"""with rows_ as (select id, repo, test_id, {USABLE_TS} ts, {REF} ref from test_runs),
+known as (select repo, {REF} sha, min(committed_ts) committed_ts from commits group by 1, 2),
+times as (
+  select id, repo, test_id, ts t from rows_ where ts is not null union all
+  select r.id, r.repo, r.test_id, min(k.committed_ts) from rows_ r join known k on r.repo = k.repo and left(r.ref, 7) = left(k.sha, 7) and starts_with(k.sha, r.ref)
+  where r.ts is null and regexp_full_match(r.ref, '[0-9a-f]{{7,40}}') and r.ref <> repeat('0', 40) group by all),
+versions as (
+  select repo, test_id, version_id, owner_team, tier, quarantined, timeout_s, valid_from, coalesce(known_at, valid_from) known_at from test_owners union all
+  select null, test_id, version_id, owner_team, tier, quarantined, timeout_s, valid_from, coalesce(known_at, valid_from) from shared_test_owners),
+found as (
+  select t.id, arg_max(struct_pack(version_id := v.version_id, owner_team := v.owner_team, tier := v.tier, quarantined := v.quarantined, timeout_s := v.timeout_s),
+    (v.valid_from, v.known_at, v.version_id)) v
+  from times t join versions v on t.test_id = v.test_id and (v.repo is null or v.repo = t.repo) and v.valid_from <= make_timestamp(t.t * 1000000) and v.known_at <= make_timestamp(t.t * 1000000) group by t.id)"""
+SQL["p6_found"] = SQL_AS_OF + " select id, v.version_id from found"
+SQL["p6_attributes"] = SQL_AS_OF + " select t.id, t.t, v.owner_team, v.tier, v.quarantined, v.timeout_s, v.version_id from times t left join found f on t.id = f.id"
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return csv_rejects.load_results(table(spark, d, "raw_results")).where("reason is not null").select("line_id", "reason")
+
+
+@query
+def p7_loaded(spark: SparkSession, d: str) -> DataFrame:
+    loaded = csv_rejects.load_results(table(spark, d, "raw_results")).where("reason is null")
+    return loaded.select("line_id", "job_id", "test_id", "test_index", F.round("duration_ms", 6).alias("duration_ms"), "run_count", "failures", "errors", "skipped")
+
+
+SQL_LINES = r"""with cut as (select line_id, raw_line, regexp_extract_all(',' || raw_line, ',("([^"]|"")*"|[^",]*)', 1) f from raw_results),
+fields as (select line_id, regexp_full_match(raw_line, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*', 's') sound,
+  [trim(case when starts_with(x, '"') then replace(substr(x, 2, length(x) - 2), '""', '"') else x end, E' \t\r\n\x0b\x0c\x0b') for x in f] f from cut),
+judged as (select line_id, f, case when not sound then 'quoting' when len(f) <> 8 then 'columns'
+  when not regexp_full_match(f[1], '[0-9]{1,18}') or f[2] = '' or not (f[4] = '' or (regexp_full_match(f[4], '([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and isfinite(try_cast(f[4] as double))))
+    or not regexp_full_match(f[3] || f[5] || f[6] || f[7] || f[8], '[0-9]*') then 'value' end reason from fields),
+lines as (select * from judged where not (len(f) = 8 and ltrim(f[1], chr(65279)) = 'travisJobId' and f[2] = 'testName' and f[8] = 'skipped'))"""
+SQL["p7_found"] = SQL_LINES + " select line_id, reason from lines where reason is not null"
+SQL["p7_loaded"] = SQL_LINES + """ select line_id, cast(f[1] as bigint) job_id, f[2] test_id, cast(nullif(f[3], '') as bigint) test_index, round(1000 * cast(nullif(f[4], '') as double), 6) duration_ms,
+  cast(nullif(f[5], '') as bigint) run_count, cast(nullif(f[6], '') as bigint) failures, cast(nullif(f[7], '') as bigint) errors, cast(nullif(f[8], '') as bigint) skipped from lines where reason is null"""
