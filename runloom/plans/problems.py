@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.functions.keys import failed, usable_duration, usable_timestamp
+from runloom.functions.keys import epoch_s, failed, job_number, trimmed, usable_duration, usable_sequence, usable_timestamp
 from runloom.functions.runs import distinct_runs
-from runloom.operators import asof, orphans, rolling
+from runloom.operators import asof, impute, orphans, rolling
 from runloom.session import stored
 from runloom.sources import csv_rejects
 from runloom.sources.tables import table
@@ -155,3 +155,39 @@ lines as (select * from judged where not (len(f) = 8 and ltrim(f[1], chr(65279))
 SQL["p7_found"] = SQL_LINES + " select line_id, reason from lines where reason is not null"
 SQL["p7_loaded"] = SQL_LINES + """ select line_id, cast(f[1] as bigint) job_id, f[2] test_id, cast(nullif(f[3], '') as bigint) test_index, round(1000 * cast(nullif(f[4], '') as double), 6) duration_ms,
   cast(nullif(f[5], '') as bigint) run_count, cast(nullif(f[6], '') as bigint) failures, cast(nullif(f[7], '') as bigint) errors, cast(nullif(f[8], '') as bigint) skipped from lines where reason is null"""
+
+
+FILLED = ("timestamp", "job_sequence", "duration_ms")
+
+
+def filled_runs(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "test_runs")
+    rows = runs.select(
+        "id",
+        job_number().alias("job"),
+        usable_timestamp().alias("timestamp"),
+        usable_sequence().alias("job_sequence"),
+        usable_duration().alias("duration_ms"),
+        epoch_s("loaded_at").alias("loaded"),
+        "repo",
+        "test_id",
+        F.upper(trimmed("outcome")).alias("outcome"),
+    )
+    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["repo", "test_id", "outcome"], "job", ["timestamp", "job_sequence"])
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    marks = [F.when(F.col(f"{f}_filled"), f) for f in FILLED]
+    return filled_runs(spark, d).select("id", F.explode(F.array_compact(F.array(*marks))).alias("field"))
+
+
+@query
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    whole = [F.round(f).cast("bigint").alias(f) for f in ("timestamp", "job_sequence")]
+    return filled_runs(spark, d).select("id", *whole, F.round("duration_ms", 3).alias("duration_ms"), *[f"{f}_filled" for f in FILLED])
+
+
+SQL["p5_found"] = f"""select id, 'timestamp' field from test_runs where ({USABLE_TS}) is null union all
+  select id, 'job_sequence' from test_runs where coalesce(job_sequence < 1 or job_sequence >= 100000000, true) union all
+  select id, 'duration_ms' from test_runs where ({USABLE_MS}) is null"""
