@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.keys import usable_duration
 from runloom.functions.runs import distinct_runs
-from runloom.llm import splits, topn
+from runloom.llm import packing, splits, tokenizer, topn
 from runloom.session import stored
 from runloom.sources.tables import table
 
@@ -73,3 +73,26 @@ SQL_TOP = f"""with runs as (
 ranked as (select test_id, row_number() over (partition by test_id order by ms desc, id) as "rank", id, ms from runs where ms is not null)"""
 SQL["p2_found"] = SQL_TOP + ' select test_id, id from ranked where "rank" <= 5'
 SQL["p2_top"] = SQL_TOP + ' select test_id, "rank", id, round(ms::double, 3) duration_ms from ranked where "rank" <= 5'
+
+
+CAPACITY = 2048
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.token_ids(table(spark, d, "documents"))
+
+
+def packed_documents(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokenizer.token_counts(table(spark, d, "documents")), "doc_id", "tokens", CAPACITY)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which the packing made several pieces."""
+    return packed_documents(spark, d).where("piece > 0").select("doc_id").distinct()
+
+
+@query
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packed_documents(spark, d)

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from runloom.functions.commits import known_commits, short_names
 from runloom.functions.keys import is_sha, job_number, reference, usable_sequence
+from runloom.llm.ranks import numbered
 from runloom.session import stored
 
 TASK_LINKS = 2_000_000
-RANK_BUCKETS = 256
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -103,7 +103,6 @@ def linked(pairs: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
             return links.repartition(1).mapInPandas(_forests, "node bigint, root bigint")
         parts = -(-2 * count // task_links)
         merged = links.repartition(parts, "root").mapInPandas(_forests, "node bigint, root bigint")
-        nodes = merged.select("node").distinct()
         contracted, changed = star_round(stored(merged, "level"))
         if not changed:
             return contracted
@@ -176,21 +175,15 @@ def assign_splits(test_runs: DataFrame, labels: DataFrame, shares: dict[str, flo
     other = F.when(usable_sequence().isNotNull() & F.col("repo").isNotNull(), other).otherwise(-F.col("id") - 1)
     jobs = test_runs.select(F.coalesce(job_number(), other).alias("job")).groupBy("job").agg(F.count("*").alias("rows"))
     jobs = stored(jobs.join(labels.withColumnRenamed("node", "job"), "job", "left").select("job", F.coalesce("root", "job").alias("group_id"), "rows"), "jobs")
-    sized = jobs.groupBy("group_id").agg(F.sum("rows").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(RANK_BUCKETS)))
-    sized = stored(sized, "groups")
-    per_bucket = sized.groupBy("size", "bucket").agg(F.count("*").alias("n"))
+    sized = stored(jobs.groupBy("group_id").agg(F.sum("rows").alias("size")), "groups")
     plan, names = [], list(shares)
-    for size, got in allot([(r["size"], r["n"]) for r in per_bucket.groupBy("size").agg(F.sum("n").alias("n")).collect()], list(shares.values())):
+    for size, got in allot([(r["size"], r["n"]) for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect()], list(shares.values())):
         at = 0
         for name, n in zip(names, got):
             if n:
                 plan.append((size, at, at + n, name))
             at += n
     plan = test_runs.sparkSession.createDataFrame(plan, "p_size bigint, lo bigint, hi bigint, split string")
-    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(F.col("size").alias("o_size"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("size", "bucket").orderBy("group_id")
-    ranked = sized.withColumn("place", F.row_number().over(within) - 1).join(offsets, (F.col("size") == F.col("o_size")) & (F.col("bucket") == F.col("o_bucket")))
-    rank = F.col("before") + F.col("place")
-    split = ranked.join(plan, (F.col("size") == F.col("p_size")) & (rank >= F.col("lo")) & (rank < F.col("hi"))).select("group_id", "split")
+    of = (F.col("size") == F.col("p_size")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))
+    split = numbered(sized, "size", "group_id").join(plan, of).select("group_id", "split")
     return jobs.join(split, "group_id").select("job", "group_id", "rows", "split")
