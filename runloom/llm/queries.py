@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.keys import usable_duration
 from runloom.functions.runs import distinct_runs
-from runloom.llm import packing, splits, tokenizer, topn
+from runloom.llm import packing, spam, splits, tokenizer, topn
 from runloom.session import stored
 from runloom.sources.tables import table
 
@@ -96,3 +96,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed_documents(spark, d)
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.judged_pages(table(spark, d, "documents")).where("is_spam").select("doc_id")
+
+
+@query
+def p10_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spam.judged_pages(table(spark, d, "documents"))
