@@ -19,8 +19,9 @@ KEYS = ["repo", "job_id", "test_id"]
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A table as a stream; it may be one file or a folder: only a pattern lets a stream read either."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def collect_results(lines: DataFrame, target: str, rejects: str, checkpoint: str) -> StreamingQuery:
