@@ -102,7 +102,7 @@ def dry_run(results: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def read_selected(spark: SparkSession, path: str) -> DataFrame:
     """(project) of the rows of a Markdown table whose fourth cell is exactly SELECTED."""
-    cells = F.transform(F.split(F.expr("trim(both '|' from trim(value))"), r"\|"), F.trim)
+    cells = F.transform(F.split(F.expr("trim(both '|' from trim(value))"), r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).where(F.col("value").startswith("|")).select(cells.alias("c"))
     return rows.where((F.size("c") >= 4) & (F.col("c")[3] == "SELECTED")).select(F.col("c")[0].alias("project"))
 
