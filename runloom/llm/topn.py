@@ -21,11 +21,11 @@ from runloom.session import stored
 class LoserTree:
     """Merge of sorted sequences: each inner node keeps the loser of its match, so the next winner costs one path up."""
 
-    END = (float("inf"),)
+    END = (float("inf"), float("inf"))
 
     def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
-        self.size = max(1, len(runs))
+        self.runs = runs or [[]]
+        self.at, self.size = [0] * len(self.runs), len(self.runs)
         self.losers = [0] * self.size
         self.winner = self._play(1)
 
