@@ -31,6 +31,11 @@ def first_rows(test_runs: DataFrame) -> DataFrame:
     return rows.repartition("job_id", "test_id").groupBy("job_id", "test_id").agg(F.min("r").alias("r")).select("job_id", "test_id", "r.*")
 
 
+def jobs_of(test_runs: DataFrame) -> DataFrame:
+    """Distinct (repo, job_id) of the rows that count as runs; rows of a job are combined before the shuffle."""
+    return test_runs.where(F.col("test_id").isNotNull()).select("repo", job_number().alias("job_id")).where(F.col("job_id").isNotNull()).distinct()
+
+
 def ranked_jobs(runs: DataFrame) -> DataFrame:
     """(repo, job_id, job_sequence): the rank of each job within its repo by its number.
 
@@ -48,7 +53,7 @@ def ranked_jobs(runs: DataFrame) -> DataFrame:
 def sequenced_runs(test_runs: DataFrame) -> DataFrame:
     """``first_rows`` with job_sequence and the effective time ``ets``: the timestamp, else a day per job."""
     runs = first_rows(test_runs)
-    jobs = ranked_jobs(runs)
+    jobs = ranked_jobs(jobs_of(test_runs))
     return runs.join(jobs, ["repo", "job_id"]).withColumn("ets", F.coalesce("timestamp", F.col("job_sequence") * DAY_S))
 
 

@@ -92,7 +92,7 @@ def commit_mapping_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(CTE_RUNS) + "select distinct repo, job_id, job_sequence from runs")
 def job_sequence_rank(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.ranked_jobs(ingest.first_rows(table(spark, d, "test_runs"))).select("repo", "job_id", F.col("job_sequence").cast("bigint").alias("job_sequence"))
+    return ingest.ranked_jobs(ingest.jobs_of(table(spark, d, "test_runs"))).select("repo", "job_id", F.col("job_sequence").cast("bigint").alias("job_sequence"))
 
 
 SQL_STATS = (
@@ -234,7 +234,7 @@ def file_change_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(CTE_RUNS) + "select repo, min(job_sequence) first_job, max(job_sequence) last_job, count(distinct job_sequence) sequences, count(distinct job_id) jobs, max(job_sequence) = count(distinct job_id) and min(job_sequence) = 1 contiguous from runs group by repo")
 def job_sequence_audit(spark: SparkSession, d: str) -> DataFrame:
-    jobs = ingest.ranked_jobs(ingest.first_rows(table(spark, d, "test_runs"))).withColumn("job_sequence", F.col("job_sequence").cast("bigint"))
+    jobs = ingest.ranked_jobs(ingest.jobs_of(table(spark, d, "test_runs"))).withColumn("job_sequence", F.col("job_sequence").cast("bigint"))
     got = jobs.groupBy("repo").agg(F.min("job_sequence").alias("first_job"), F.max("job_sequence").alias("last_job"), F.count_distinct("job_sequence").alias("sequences"), F.count("*").alias("jobs"))
     return got.withColumn("contiguous", (F.col("last_job") == F.col("jobs")) & (F.col("first_job") == 1))
 
@@ -487,7 +487,7 @@ def temporal_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(CTE_RUNS) + ", jobs as (select distinct repo, job_id, job_sequence from runs) select repo, job_id, cast(floor((job_sequence - 1) * 6 / (max(job_sequence) over (partition by repo))::double) as int) fold from jobs")
 def time_series_folds(spark: SparkSession, d: str) -> DataFrame:
-    return split.time_folds(ingest.ranked_jobs(ingest.first_rows(table(spark, d, "test_runs"))), 5).select("repo", "job_id", "fold")
+    return split.time_folds(ingest.ranked_jobs(ingest.jobs_of(table(spark, d, "test_runs"))), 5).select("repo", "job_id", "fold")
 
 
 NUMERIC = tuple(c for c in matrix.COLUMNS if c not in (*matrix.KEYS, "feature_source"))
