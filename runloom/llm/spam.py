@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.session import stored
+from runloom.session import spread, stored
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -171,7 +171,7 @@ def page_features(documents: DataFrame) -> DataFrame:
                 yield out
 
     lang = F.coalesce(F.lower(F.trim("lang")), F.lit(""))
-    return documents.select("doc_id", lang.alias("lang"), "text").mapInPandas(run, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES) + ", share double, phrases double")
+    return spread(documents.select("doc_id", lang.alias("lang"), "text")).mapInPandas(run, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES) + ", share double, phrases double")
 
 
 def robust_scatter(pages: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:

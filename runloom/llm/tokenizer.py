@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.session import spread
+
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern that splits text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -189,7 +191,7 @@ def _encoded(documents: DataFrame, vocabulary: str, schema: str, emit) -> DataFr
                 part = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_pydict(emit(part.column(0), [encoder.encode(t) for t in part.column(1).to_pylist()]))
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def token_ids(documents: DataFrame, vocabulary: str = BYTE_BPE) -> DataFrame:
