@@ -27,6 +27,7 @@ class Monoid:
     zero: float
 
 
+SLICE_DAYS = 200_000
 SUM = Monoid(np.add, 0)
 MAX = Monoid(np.maximum, -np.inf)
 MIN = Monoid(np.minimum, np.inf)
@@ -136,10 +137,20 @@ def trailing_totals(
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
             kept = pdf.iloc[cut:]
             if cut:
-                yield dense(pdf.iloc[:cut])
+                yield from sliced(pdf.iloc[:cut])
         if kept is not None and len(kept):
             yield dense(kept)
 
+    def sliced(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole entities at a time, few enough for their days to take little memory however far apart the active ones lie."""
+        keys, at = pdf[entity].to_numpy(), pdf[day].to_numpy()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        last = np.append(first[1:], len(keys)) - 1
+        part = np.cumsum(at[last] - at[first] + 1) // SLICE_DAYS
+        cuts = first[np.flatnonzero(np.append(True, part[1:] != part[:-1]))]
+        for a, b in zip(cuts, np.append(cuts[1:], len(keys))):
+            yield dense(pdf.iloc[a:b])
+
     rows = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(entity, F.col(day).cast("bigint").alias(day), *[F.col(m).cast("double").alias(m) for m in names])
     return rows.repartition(entity).sortWithinPartitions(entity, day).mapInPandas(run, T.StructType(fields))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.keys import trimmed
-from runloom.sources.csv_rejects import HEADER
+from runloom.sources.csv_rejects import BYTE_ORDER_MARK, HEADER
 
 NOT_MAIN = ("-patches.csv", "-pr.csv", "-offenders.csv")
 REQUIRED = set(HEADER)
@@ -33,7 +33,7 @@ def real_number(c: str):
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, all columns as text, a byte order mark stripped from the first name."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.toDF(*[c.lstrip(BYTE_ORDER_MARK).strip() for c in df.columns])
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
