@@ -39,15 +39,15 @@ OFFERS = frozenset(OFFER_WORDS.split())
 CJK_LETTERS = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
 CJK_PARTICLES = r"[はがをにでともへや]|ます|です|ません|した|から|まで|[的了在是和不就也都很被把对]|因为|之后|所以|如果|时|은|는|이|가|을|를|에|다"
 HIDDEN = r"[\u200b-\u200f\u2060\ufeff\u00ad]"
-LINK = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}/[^\s<>\"')\]]*"
+LINK = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}/[^\s<>\"')\]]*"
 MARKUP = r"(?i)<[^<>\n]{1,400}>|\[/?(?:url|b|i|img)\b[^\]\n]{0,400}\]"
 PROJECT = "|".join(
     [
         r"^\s*at\s[\w.$/<>]+\(|^Caused by|^\s*\.\.\. \d+ more|^\s*[\w.$]+(?:Exception|Error)\b",  # traces
         r"^\W*\d\d:\d\d:\d\d\b|^\W*\[?(?:INFO|WARN|ERROR|DEBUG)\b|^\+ \w|^\$ ",  # logs
         r"\b[0-9a-f]{16,}\b|^\s*\|.*\|\s*$|^\s*[-=+*#~_]{4,}\s*$",  # digests, tables, rules
-        r"[;{}]\s*$|^\s*[@}]|\w\(.*\)\s*[;{]|^\s*(?:public|private|protected|import|package|class)\s|^\s*```",  # code
-        r"(?:Test|IT|TestCase|Spec)\b.*\b(?:PASS|PASSED|FAIL|FAILED|ERROR|SKIPPED)\b",  # test results
+        r"[;{}]\s*$|^\s*[@}]|\w\([^\n]{0,200}\)\s*[;{]|^\s*(?:public|private|protected|import|package|class)\s|^\s*```",  # code
+        r"(?:Test|IT|TestCase|Spec)\b.{0,200}\b(?:PASS|PASSED|FAIL|FAILED|ERROR|SKIPPED)\b",  # test results
         r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.\w{1,6}(?:[\s:|,]|$)|^diff |^@@|^index [0-9a-f]",  # files and changes
     ]
 )
