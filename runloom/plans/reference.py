@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from runloom.functions.keys import is_sha, job_number, reference, trimmed
 from runloom.operators import commits as C
-from runloom.operators import dependency, evaluate, history, ingest, matrix, quality, split
+from runloom.operators import dependency, evaluate, history, ingest, matrix, models, quality, split
 from runloom.operators.ingest import changed_files, commit_rows, sequenced_runs
+from runloom.plans import pipeline
 from runloom.plans.problems import FAILED, JOB, REF, SQL_LINES, USABLE_MS, USABLE_TS
 from runloom.session import stored
 from runloom.sources.csv_rejects import load_results
@@ -698,3 +699,16 @@ def daily_dashboard(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""select repo, cast(floor(ts / 86400) as bigint) day_no, count(*) runs, cast(sum(cast({FAILED} as int)) as bigint) failed from (select *, {USABLE_TS} ts from test_runs) where ts is not null group by 1, 2""")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return collector.latest(collector.daily_counts(collector.stream_table(spark, f"{d}/test_runs.parquet")), "daily")
+
+
+@query(with_(CTE_RUNS) + "select id, repo, test_id, failed from runs order by md5('42|' || cast(id as varchar)), id limit 1000")
+def sampled_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand runs at random: the sampling operator."""
+    return pipeline.sample(ingest.first_rows(table(spark, d, "test_runs")).select("id", "repo", "test_id", "failed"), 1000, "id")
+
+
+@query()
+def learned_order(spark: SparkSession, d: str) -> DataFrame:
+    """Mean APFD per repo of the last fifth of its jobs, ordered by a forest trained on the jobs before."""
+    sides = stored(split.split_sides(matrix_of(spark, d)), "sides")
+    return models.held_out_apfd(sides.where("side = 'train'"), sides.where("side = 'test'"), NUMERIC)

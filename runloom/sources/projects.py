@@ -142,3 +142,13 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> bool:
         return False
     df.write.mode("overwrite").parquet(path)
     return True
+
+
+def read_test_reports(spark: SparkSession, path: str, repo: str, job_id: int) -> DataFrame:
+    """Runs from Surefire XML reports: one row per class of a suite, a class failed if any of its cases did."""
+    schema = "_name string, testcase array<struct<_classname: string, _name: string, _time: double, failure: array<string>, error: array<string>, skipped: array<string>>>"
+    suites = spark.read.format("xml").option("rowTag", "testsuite").option("nullValue", "").schema(schema).load(path)
+    case = suites.select(F.explode("testcase").alias("c")).select(F.col("c._classname").alias("test_id"), "c._time", *[F.col(f"c.{k}").isNotNull().alias(k) for k in ("failure", "error", "skipped")])
+    per = case.groupBy("test_id").agg(F.sum("_time").alias("s"), F.count("*").alias("run_count"), *[F.count_if(k).alias(k) for k in ("failure", "error", "skipped")])
+    outcome = F.when(F.col("failure") > 0, "FAIL").when(F.col("error") > 0, "ERROR").when(F.col("skipped") == F.col("run_count"), "SKIPPED").otherwise("PASS")
+    return per.select(F.lit(repo).alias("repo"), F.lit(job_id).cast("bigint").alias("job_id"), "test_id", outcome.alias("outcome"), (F.col("s") * 1000).alias("duration_ms"), "run_count")

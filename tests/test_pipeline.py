@@ -124,3 +124,36 @@ def test_early_exit(spark):
     df = order(spark, [(1, 1.0), (0, 1.0), (1, 1.0)]).withColumn("score", F.when(F.col("rank") == 1, 0.9).otherwise(0.05))
     got = {r.threshold: r for r in evaluate.early_exit(df, "score", (0.7, 0.95)).collect()}
     assert got[0.7].fault_miss_rate == 0.5 and got[0.95].fault_miss_rate == 0.0
+
+
+def test_run_checks_writes_once_and_unites(spark, make_runs, make_commits, tmp_path):
+    from runloom.plans import pipeline
+
+    tables = tmp_path / "tables"
+    data = [{"repo": r, "job_id": str(j * 2 + k), "test_id": f"p.T{t}", "timestamp": T0 + j, "commit_sha": S[j % 4]} for k, r in enumerate(["a@b", "c@d"]) for j in range(1, 8) for t in range(3)]
+    make_runs(data).write.parquet(str(tables / "test_runs.parquet"))
+    make_commits([{"repo": r, "commit_sha": s} for r in ("a@b", "c@d") for s in S[:4]]).write.parquet(str(tables / "commits.parquet"))
+    spark.createDataFrame([("a@b", S[0], "x/A.java", None)], "repo string, commit_sha string, file_path string, loaded_at timestamp_ntz").write.parquet(str(tables / "file_changes.parquet"))
+    for repo in ("a@b", "c@d"):
+        assert rows(pipeline.run(spark, str(tables), str(tmp_path / "out"), repo)) == [(repo, 0, 21)]
+    assert pipeline.run(spark, str(tables), str(tmp_path / "out"), "a@b") is None
+    full = pipeline.assemble(spark, [str(tmp_path / f"out/{r}_features.parquet") for r in ("a@b", "c@d")], str(tmp_path / "full"))
+    assert full.count() == 42 and spark.read.parquet(str(tmp_path / "full")).columns == list(matrix.COLUMNS)
+    assert rows(pipeline.sample(full.select("test_id").distinct(), 2, "test_id")) == rows(pipeline.sample(full.select("test_id").distinct(), 2, "test_id"))
+
+
+def test_learned_order_beats_chance(spark):
+    from runloom.operators import models
+
+    df = spark.range(4000).select(
+        F.lit("r").alias("repo"),
+        (F.col("id") / 20).cast("bigint").alias("job_sequence"),
+        F.concat(F.lit("t"), F.col("id") % 20).alias("test_id"),
+        (F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0).alias("x"),
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.lit(1)).alias("y"),
+    )
+    df = df.withColumn("label", (F.col("x") > 0.93).cast("int"))
+    got = models.held_out_apfd(df.where("job_sequence < 150"), df.where("job_sequence >= 150"), ("x", "y")).first()
+    assert got.learned > 0.9 and got.random < 0.7
+    model = models.train(df, ("x", "y"), kind="boosted", trees=3)
+    assert models.importances(model, ("x", "y"))[0][0] == "x"

@@ -76,3 +76,12 @@ def test_insert_new(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (2, "z"), (2, "w")], "k int, v string")
     assert [r.k for r in ingest.insert_new(a, b, ["k"]).collect()] == [2]
+
+
+def test_reports_in_xml(spark, tmp_path):
+    (tmp_path / "TEST-a.xml").write_text(
+        '<?xml version="1.0"?><testsuite name="s"><testcase classname="p.A" name="x" time="0.5"/><testcase classname="p.A" name="y" time="0.25"><failure message="m">trace</failure></testcase>'
+        '<testcase classname="p.B" name="z" time="1"><skipped/></testcase><testcase classname="p.C" name="z" time="1"/></testsuite>'
+    )
+    got = rows(P.read_test_reports(spark, str(tmp_path / "*.xml"), "r", 7), "test_id", "job_id", "outcome", "duration_ms", "run_count")
+    assert got == [("p.A", 7, "FAIL", 750.0, 2), ("p.B", 7, "SKIPPED", 1000.0, 1), ("p.C", 7, "PASS", 1000.0, 1)]
