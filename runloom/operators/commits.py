@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.keys import DAY_S
+from runloom.operators.past import before_each, strictly_before
+from runloom.session import stored
 
 # Words that make a commit message risky.
 RISK_KEYWORDS = ["fix", "hotfix", "bug", "patch", "revert", "urgent", "crash", "error", "broken", "regression"]
 AUTHOR_DAYS = 90
+AUTHOR = ["repo", "author_email"]
+HOT_COMMITS = 1_000_000  # commits of one author in one repo from which on they are cut over tasks
 LEAST_COMMITS = 3
 COMMIT_COLUMNS = ("files_changed_total", "java_files_changed", "source_files_changed", "test_files_changed", "lines_added", "lines_deleted", "churn_total", "is_merge_commit", "commit_hour", "commit_day_of_week", "keyword_risk_score", "commit_meta_missing", "commit_diff_missing")
 AUTHOR_COLUMNS = ("author_commit_count_90d", "author_failure_rate_90d", "author_feature_fallback", "feature_source")
@@ -95,24 +99,43 @@ def _rated(count: Column, fails: Column) -> list[Column]:
     return [count.alias("author_commit_count_90d"), F.when(count < LEAST_COMMITS, F.lit(-1.0)).otherwise(fails / count).alias("author_failure_rate_90d")]
 
 
-def author_by_time(authored: DataFrame) -> DataFrame:
+def _hot_apart(authored: DataFrame, hot_commits: int) -> tuple[DataFrame, DataFrame | None]:
+    """The commits of ordinary authors, and those of authors with too many for one task, if there are any."""
+    authored = stored(authored, "authored")
+    hot = authored.groupBy(*AUTHOR).count().where(F.col("count") > hot_commits).select(*AUTHOR)
+    if not hot.limit(1).count():
+        return authored, None
+    return authored.join(hot, AUTHOR, "left_anti"), authored.join(hot, AUTHOR, "left_semi")
+
+
+def author_by_time(authored: DataFrame, hot_commits: int = HOT_COMMITS) -> DataFrame:
     """For commits with a time: the author's commits of the 90 days before it and the share that failed, -1 below three."""
-    key = Window.partitionBy("repo", "author_email").orderBy("ts")
-    prior, older = key.rangeBetween(Window.unboundedPreceding, -1), key.rangeBetween(Window.unboundedPreceding, -AUTHOR_DAYS * DAY_S - 1)
-    rows = authored.where(F.col("ts").isNotNull())
+    span, fail = AUTHOR_DAYS * DAY_S, F.col("failed")
+    cold, hot = _hot_apart(authored.where(F.col("ts").isNotNull()), hot_commits)
+    key = Window.partitionBy(*AUTHOR).orderBy("ts")
+    prior, older = key.rangeBetween(Window.unboundedPreceding, -1), key.rangeBetween(Window.unboundedPreceding, -span - 1)
     zero = F.lit(0)
-    rows = rows.withColumn("_n", F.count("*").over(prior) - F.count("*").over(older)).withColumn("_f", F.coalesce(F.sum("failed").over(prior), zero) - F.coalesce(F.sum("failed").over(older), zero))
+    rows = cold.withColumn("_n", F.count("*").over(prior) - F.count("*").over(older)).withColumn("_f", F.coalesce(F.sum(fail).over(prior), zero) - F.coalesce(F.sum(fail).over(older), zero))
+    rows = rows.select("repo", "commit_sha", "_n", "_f")
+    if hot is not None:
+        counted = strictly_before(hot, AUTHOR, "ts", {"_n": F.lit(1), "_f": fail}).withColumn("_since", F.col("ts") - span)
+        past = before_each(counted.select(*AUTHOR, F.col("_since").alias("ts")), hot, AUTHOR, "ts", {"_no": F.lit(1), "_fo": fail}).withColumnRenamed("ts", "_since")
+        counted = counted.join(past, [*AUTHOR, "_since"])
+        rows = rows.unionByName(counted.select("repo", "commit_sha", (F.col("_n") - F.col("_no")).alias("_n"), (F.col("_f") - F.col("_fo")).alias("_f")))
     return rows.select("repo", "commit_sha", *_rated(F.col("_n"), F.col("_f")), F.lit(0).alias("author_feature_fallback"), F.lit("timestamp").alias("feature_source"))
 
 
-def author_by_sequence(authored: DataFrame) -> DataFrame:
+def author_by_sequence(authored: DataFrame, hot_commits: int = HOT_COMMITS) -> DataFrame:
     """The same without times, over all jobs before the commit's first: a commit counts from its first job on, as failed from
     its first failing job on. Both are events on the sequence axis, summed up before each commit."""
     at = authored.where(F.col("first_seq").isNotNull())
-    commits = at.select("repo", "author_email", "commit_sha", F.col("first_seq").alias("seq"), F.lit(1).alias("c"), F.lit(0).alias("f"))
-    fails = at.where(F.col("first_fail_seq").isNotNull()).select("repo", "author_email", F.lit(None).cast("string").alias("commit_sha"), F.col("first_fail_seq").alias("seq"), F.lit(0).alias("c"), F.lit(1).alias("f"))
-    prior = Window.partitionBy("repo", "author_email").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    rows = commits.unionByName(fails).withColumn("_n", F.coalesce(F.sum("c").over(prior), F.lit(0))).withColumn("_f", F.coalesce(F.sum("f").over(prior), F.lit(0)))
+    commits = at.select(*AUTHOR, "commit_sha", F.col("first_seq").alias("seq"), F.lit(1).alias("c"), F.lit(0).alias("f"))
+    fails = at.where(F.col("first_fail_seq").isNotNull()).select(*AUTHOR, F.lit(None).cast("string").alias("commit_sha"), F.col("first_fail_seq").alias("seq"), F.lit(0).alias("c"), F.lit(1).alias("f"))
+    cold, hot = _hot_apart(commits.unionByName(fails), hot_commits)
+    prior = Window.partitionBy(*AUTHOR).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    rows = cold.withColumn("_n", F.coalesce(F.sum("c").over(prior), F.lit(0))).withColumn("_f", F.coalesce(F.sum("f").over(prior), F.lit(0)))
+    if hot is not None:
+        rows = rows.unionByName(strictly_before(hot, AUTHOR, "seq", {"_n": F.col("c"), "_f": F.col("f")}))
     return rows.where(F.col("c") == 1).select("repo", "commit_sha", *_rated(F.col("_n"), F.col("_f")), F.lit(1).alias("author_feature_fallback"), F.lit("job_sequence").alias("feature_source"))
 
 

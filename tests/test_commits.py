@@ -62,17 +62,19 @@ def authored(spark):
     return make
 
 
-def test_author_by_time(authored):
+@pytest.mark.parametrize("hot", [C.HOT_COMMITS, 2])
+def test_author_by_time(authored, hot):
     day = 86400
     df = authored([("a", T0 - 91 * day, 1, 1), ("b", T0 - 90 * day, 1, 2), ("c", T0 - 5, 0, 3), ("d", T0 - 4, 0, 4), ("e", T0, 1, 5), ("f", T0 + 9, 0, 6)])
-    got = {r.commit_sha: r for r in C.author_by_time(df).collect()}
+    got = {r.commit_sha: r for r in C.author_by_time(df, hot).collect()}
     assert got["e"].author_commit_count_90d == 3 and got["e"].author_failure_rate_90d == pytest.approx(1 / 3)
     assert (got["b"].author_commit_count_90d, got["b"].author_failure_rate_90d) == (1, -1.0)
     assert (got["a"].author_commit_count_90d, got["a"].author_feature_fallback, got["a"].feature_source) == (0, 0, "timestamp")
 
 
-def test_author_by_sequence(authored):
-    got = {r.commit_sha: r for r in C.author_by_sequence(authored([("a", None, 1, 1), ("b", None, 0, 2), ("c", None, 0, 3), ("d", None, 0, 9)])).collect()}
+@pytest.mark.parametrize("hot", [C.HOT_COMMITS, 2])
+def test_author_by_sequence(authored, hot):
+    got = {r.commit_sha: r for r in C.author_by_sequence(authored([("a", None, 1, 1), ("b", None, 0, 2), ("c", None, 0, 3), ("d", None, 0, 9)]), hot).collect()}
     assert got["d"].author_commit_count_90d == 3 and got["d"].author_failure_rate_90d == pytest.approx(1 / 3)
     assert got["b"].author_commit_count_90d == 1 and got["b"].feature_source == "job_sequence"
 
