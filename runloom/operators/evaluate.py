@@ -85,7 +85,8 @@ def flaky_scores(history: DataFrame, least_runs: int = 20) -> DataFrame:
     """(repo, test_id, runs, score, flagged): percent rank of the mean duration variance times one minus the correlation of the 7-day
     and 30-day failure rates; flagged above 0.7 with a 30-day rate between 0.05 and 0.5.
 
-    The percent rank is over all tests; it comes from the distinct variances, ranked over range partitions.
+    The percent rank is over the tests of a repo with enough runs; one row a test, aggregated from all its runs. Tests whose
+    rates do not vary have no correlation and count as 0.
     """
     tests = history.groupBy("repo", "test_id").agg(
         F.count("*").alias("runs"),
