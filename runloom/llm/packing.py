@@ -75,8 +75,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """(key, piece, length, container): each piece's container, numbered from 0; no container holds more than ``capacity``.
 
     Items with a null size are left out; those of size 0 need no room and are spread over the containers; repeated keys
-    are items of their own if their pieces differ in number, else they share places in any order. Only the counts per length go
-    to the driver and the plan, bounded by the capacity, is broadcast.
+    are items of their own; other columns are not carried. Only the counts per length go to the driver and the plan, bounded by
+    the capacity, is broadcast.
     """
     pieces = stored(pieces_of(items.where(F.col(size).isNotNull()), key, size, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -48,6 +48,7 @@ PROJECT = "|".join(
         r"\b[0-9a-f]{16,}\b|^\s*\|.*\|\s*$|^\s*[-=+*#~_]{4,}\s*$",  # digests, tables, rules
         r"[;{}]\s*$|^\s*[@}]|\w\([^\n]{0,200}\)\s*[;{]|^\s*(?:public|private|protected|import|package|class)\s|^\s*```",  # code
         r"(?:Test|IT|TestCase|Spec)\b.{0,200}\b(?:PASS|PASSED|FAIL|FAILED|ERROR|SKIPPED)\b",  # test results
+        r"^\s*(?:[a-z]\w*\.){2,}[A-Z]\w*\s*$",  # lists of classes
         r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.\w{1,6}(?:[\s:|,]|$)|^diff |^@@|^index [0-9a-f]",  # files and changes
     ]
 )

@@ -65,3 +65,12 @@ def test_numbered(spark):
     for r in got:
         by.setdefault(r.kind, []).append(r.place)
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_repeated_rows_are_items_of_their_own(spark):
+    df = spark.createDataFrame([(1, 20), (1, 20), (2, 12), (2, 12), (3, 70)], "doc_id bigint, tokens bigint")
+    got = packing.pack(df, "doc_id", "tokens", 32).collect()
+    filled = Counter()
+    for r in got:
+        filled[r.container] += r.length
+    assert sorted(filled.values()) == [6, 32, 32, 32, 32] and len(got) == 7
