@@ -52,7 +52,7 @@ PROJECT = "|".join(
         r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.\w{1,6}(?:[\s:|,]|$)|^diff |^@@|^index [0-9a-f]",  # files and changes
     ]
 )
-SENTENCE_END = r"(?<=[.!?…][\"')\]]?)\s+|(?<=[。！？])"
+SENTENCE_END = r"(?<=[.!?…][\"')\]]?)\s+|(?<=[。！？])|(?<=\w:)\s+"  # a title before a colon stands for itself
 SEPARATORS = r"[,;|·/•>=\t«»–—、]|\s-\s"
 WORD = r"[^\W\d_](?:[\w'’]*\w)?"
 CJK_WEIGHT = 2.5  # a CJK letter says as much as so many others
@@ -94,7 +94,7 @@ class Reader:
         if letters >= 6 and letters > 0.25 * len(sentence.replace(" ", "")):
             particles = len(self.re["particle"].findall(sentence))
             return particles >= 2 and particles >= 0.1 * letters
-        if sentence[-1:] not in ".!?。！？…\"')":
+        if sentence[-1:] not in ".!?。！？…\"')”»’":
             return False
         n, f = len(words), sum(map(is_function_word, words))
         if n >= 7:
@@ -121,19 +121,23 @@ class Reader:
                 plain = self.re["markup"].sub(" ", rest)
                 link += len(rest) - len(plain)
                 rest = plain
-            good = bad = 0.0
+            good = bad = title = 0.0
             for sentence in self.re["sentence"].split(rest):
                 sentence = sentence.strip(" \t>*-")
                 own = [w.lower() for w in self.re["word"].findall(sentence)]
                 if own:
                     words += own
-                    if self.prose(sentence, own):
-                        weight = self.weight(sentence)
+                    weight = self.weight(sentence)
+                    if sentence.endswith(":"):  # goes with what it is the title of
+                        title += weight
+                    elif self.prose(sentence, own):
+                        weight, title = weight + title, 0.0
                         good += weight
-                        if len(own) <= 4 and not self.re["cjk"].search(sentence):
+                        if len(own) <= 4 and 2 * sum(map(is_function_word, own)) <= len(own) and not self.re["cjk"].search(sentence):
                             short[tuple(own)].append(weight)
                     else:
-                        bad += self.weight(sentence)
+                        bad, title = bad + weight + title, 0.0
+            bad += title
             prose += good
             bare += bad
             if good >= 20 and good >= bad:

@@ -76,3 +76,12 @@ def test_sentences():
     assert read("where to buy garden lamp? best garden lamp? " * 20)[1] > 0.9
     assert read("* Fix it: 夜间构建在缓存为空时失败。 ([#1](https://a.example/issue/1))")[1] < 0.5
     assert read("* [garden lamp](https://a.example/issue/1)")[1] == 1
+
+
+def test_titles_quotes_and_repeated_questions():
+    read = spam.Reader().read
+    line = "* Fix bug in encoder: Второй агент падает, когда кэш пуст. ([#1](https://a.example/issue/1))\n"
+    assert read(line * 8)[1] < 0.2
+    assert read("The dependency update fails when the cache is warm?“quoted” ")[1] == 0
+    assert read("Can somebody confirm this? Can somebody confirm this? I'll send a patch tomorrow. Can somebody confirm this?")[1] < 0.5
+    assert read("garden lamp where? " * 9)[1] == 1
