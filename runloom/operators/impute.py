@@ -165,12 +165,13 @@ def fill_missing(
     """(key, targets..., <target>_filled...): every row, missing cells of the numeric ``targets`` filled and marked.
 
     numeric, categorical: further fields that help. group, group_fields: the other rows of the same group say what
-    the group's value of these targets is (the least one of all but the row itself). A null is a missing value; NaN must have been made null. A target
+    the group's value of these targets is (the least one; a value that only the row itself has does not count). A null is a missing value; NaN must have been made null. A target
     without any value in the whole table stays null and unmarked. Repeated rows are filled alike; other columns are
     not carried. A group may hold any share of the rows: it is aggregated before it meets them.
     """
     spark = rows.sparkSession
     fields = [*targets, *numeric]
+    rows = stored(rows.select(*dict.fromkeys([key, *([group] if group else []), *fields, *categorical])), "rows")  # read column by column below
     points = [k / (2 * bins) for k in range(2 * bins + 1)]
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), points, 1000).alias(f) for f in fields]).first()
     cut = {f: Bins.of(found[f]) for f in fields}
