@@ -88,7 +88,7 @@ def event_times(test_runs: DataFrame, commits: DataFrame) -> DataFrame:
 
 def last_period_of(test_runs: DataFrame) -> int:
     """The period of the latest loading; an empty table has the first period."""
-    latest = test_runs.agg(F.max(epoch_s("loaded_at"))).first()[0]
+    latest = test_runs.agg(F.max("loaded_at").alias("at")).select(epoch_s("at")).first()[0]
     return max(latest or 0, FIRST_TIMESTAMP) // PERIOD_S
 
 
