@@ -9,24 +9,25 @@ from runloom.functions.keys import DAY_S, failed, is_sha, job_number, reference,
 from runloom.session import stored
 
 
-def first_rows(test_runs: DataFrame) -> DataFrame:
+def first_rows(test_runs: DataFrame, *fields: str) -> DataFrame:
     """One row per job number and test, the one with the least id; rows without either are left out.
 
+    With ``fields`` only these (and job_id, test_id, id, repo) are taken along: the rows are shuffled whole.
+
     commit_sha is the full sha in lower case or null, outcome in upper case, duration_ms and timestamp null where
     absent; ``failed`` is 1 for FAIL and ERROR.
     """
     ref = reference()
-    row = F.struct(
-        F.col("id"),
-        F.col("repo"),
-        F.when(is_sha(ref), ref).alias("commit_sha"),
-        F.col("test_index"),
-        F.upper(trimmed("outcome")).alias("outcome"),
-        usable_duration().cast("double").alias("duration_ms"),
-        usable_timestamp().alias("timestamp"),
-        F.col("run_count"),
-        failed().cast("int").alias("failed"),
-    )
+    columns = {
+        "commit_sha": F.when(is_sha(ref), ref),
+        "test_index": F.col("test_index"),
+        "outcome": F.upper(trimmed("outcome")),
+        "duration_ms": usable_duration().cast("double"),
+        "timestamp": usable_timestamp(),
+        "run_count": F.col("run_count"),
+        "failed": failed().cast("int"),
+    }
+    row = F.struct("id", "repo", *[c.alias(n) for n, c in columns.items() if not fields or n in fields])
     rows = test_runs.select(job_number().alias("job_id"), "test_id", row.alias("r")).where(F.col("job_id").isNotNull() & F.col("test_id").isNotNull())
     return rows.repartition("job_id", "test_id").groupBy("job_id", "test_id").agg(F.min("r").alias("r")).select("job_id", "test_id", "r.*")
 
@@ -50,9 +51,9 @@ def ranked_jobs(runs: DataFrame) -> DataFrame:
     return jobs.withColumn("place", place).join(offsets, ["repo", "part"]).select("repo", "job_id", (F.col("offset") + F.col("place")).alias("job_sequence"))
 
 
-def sequenced_runs(test_runs: DataFrame) -> DataFrame:
+def sequenced_runs(test_runs: DataFrame, *fields: str) -> DataFrame:
     """``first_rows`` with job_sequence and the effective time ``ets``: the timestamp, else a day per job."""
-    runs = first_rows(test_runs)
+    runs = first_rows(test_runs, *fields, *(["timestamp"] if fields else []))
     jobs = ranked_jobs(jobs_of(test_runs))
     return runs.join(jobs, ["repo", "job_id"]).withColumn("ets", F.coalesce("timestamp", F.col("job_sequence") * DAY_S))
 

@@ -30,8 +30,13 @@ def query(sql: str | None = None):
     return add
 
 
-def runs_of(spark: SparkSession, d: str) -> DataFrame:
-    return sequenced_runs(table(spark, d, "test_runs"))
+def runs_of(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return sequenced_runs(table(spark, d, "test_runs"), *fields)
+
+
+def timed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What the history columns need of the runs."""
+    return runs_of(spark, d, "duration_ms", "failed")
 
 
 def commits_of(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +153,7 @@ def project_selection_topn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(CTE_RUNS) + """select repo, commit_sha, count(*) n, count("timestamp") timestamped from runs where commit_sha is not null group by 1, 2""")
 def commit_groups(spark: SparkSession, d: str) -> DataFrame:
-    runs = ingest.first_rows(table(spark, d, "test_runs")).where("commit_sha is not null")
+    runs = ingest.first_rows(table(spark, d, "test_runs"), "commit_sha", "timestamp").where("commit_sha is not null")
     return runs.groupBy("repo", "commit_sha").agg(F.count("*").alias("n"), F.count("timestamp").alias("timestamped"))
 
 
@@ -186,7 +191,7 @@ def timestamp_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(CTE_RUNS) + "select repo, count(*) n, count(distinct job_id) jobs, count(distinct test_id) tests from runs group by repo")
 def per_repo_counts(spark: SparkSession, d: str) -> DataFrame:
-    runs = ingest.first_rows(table(spark, d, "test_runs"))
+    runs = ingest.first_rows(table(spark, d, "test_runs"), "failed")
     return runs.groupBy("repo").agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("jobs"), F.count_distinct("test_id").alias("tests"))
 
 
@@ -204,12 +209,12 @@ def outcome_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(CTE_RUNS) + "select repo, outcome, count(*) n from runs group by all")
 def outcome_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.first_rows(table(spark, d, "test_runs")).groupBy("repo", "outcome").agg(F.count("*").alias("n"))
+    return ingest.first_rows(table(spark, d, "test_runs"), "outcome").groupBy("repo", "outcome").agg(F.count("*").alias("n"))
 
 
 @query(with_(CTE_RUNS) + """select repo, test_id, failures, place from (select repo, test_id, cast(sum(failed) as bigint) failures, row_number() over (partition by repo order by sum(failed) desc, test_id) place from runs where failed = 1 group by 1, 2) where place <= 10""")
 def top_failing_tests(spark: SparkSession, d: str) -> DataFrame:
-    counts = ingest.first_rows(table(spark, d, "test_runs")).where("failed = 1").groupBy("repo", "test_id").agg(F.count("*").alias("failures"))
+    counts = ingest.first_rows(table(spark, d, "test_runs"), "failed").where("failed = 1").groupBy("repo", "test_id").agg(F.count("*").alias("failures"))
     by = ingest.Window.partitionBy("repo").orderBy(F.desc("failures"), "test_id")
     return counts.withColumn("place", F.row_number().over(by).cast("bigint")).where("place <= 10").select("repo", "test_id", "failures", "place")
 
@@ -220,7 +225,7 @@ def top_failing_tests(spark: SparkSession, d: str) -> DataFrame:
   round(quantile_cont(duration_ms, 0.99), 4) p99 from runs where duration_ms > 0 group by repo"""
 )
 def duration_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    runs = ingest.first_rows(table(spark, d, "test_runs")).where("duration_ms > 0")
+    runs = ingest.first_rows(table(spark, d, "test_runs"), "duration_ms").where("duration_ms > 0")
     p = F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     got = runs.groupBy("repo").agg(p.alias("p"), F.min("duration_ms").alias("low"), F.max("duration_ms").alias("high"), F.avg("duration_ms").alias("mean"))
     r = lambda c, n: F.round(c, 4).alias(n)
@@ -320,12 +325,12 @@ def author_columns(df: DataFrame) -> DataFrame:
 
 @query(with_(CTE_RUNS, CTE_COMMITS, CTE_AUTHORED) + f"select {AUTHOR_OUT} from author_time")
 def author_features_ts(spark: SparkSession, d: str) -> DataFrame:
-    return author_columns(C.author_by_time(C.author_commits(runs_of(spark, d), commits_of(spark, d))))
+    return author_columns(C.author_by_time(C.author_commits(runs_of(spark, d, "commit_sha", "failed"), commits_of(spark, d))))
 
 
 @query(with_(CTE_RUNS, CTE_COMMITS, CTE_AUTHORED) + f"select {AUTHOR_OUT} from author_seq")
 def author_features_seq(spark: SparkSession, d: str) -> DataFrame:
-    return author_columns(C.author_by_sequence(C.author_commits(runs_of(spark, d), commits_of(spark, d))))
+    return author_columns(C.author_by_sequence(C.author_commits(runs_of(spark, d, "commit_sha", "failed"), commits_of(spark, d))))
 
 
 # History
@@ -370,7 +375,7 @@ def rounded(c: str):
 
 def history_query(name: str, *columns: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return history.test_history(runs_of(spark, d)).select("id", *[rounded(c) for c in columns])
+        return history.test_history(timed_runs(spark, d)).select("id", *[rounded(c) for c in columns])
 
     QUERIES[name] = run
     SQL[name] = history_sql(*columns)
@@ -516,7 +521,7 @@ def union_projects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_runs(spark: SparkSession, d: str) -> DataFrame:
-    return history.test_history(runs_of(spark, d), ("id", "repo", "job_sequence", "test_id", "failed", "duration_ms"))
+    return history.test_history(timed_runs(spark, d), ("id", "repo", "job_sequence", "test_id", "failed", "duration_ms"))
 
 
 SQL_ORDERS = {
@@ -532,7 +537,7 @@ def sql_ranked(order: str) -> str:
 
 def ranks(spark: SparkSession, d: str, order: str) -> DataFrame:
     by = {"mrf": evaluate.mrf_order(), "alphabetical": [F.col("test_id")], "random": evaluate.random_order(42)}[order]
-    return evaluate.ranked(ordered_runs(spark, d) if order == "mrf" else runs_of(spark, d), *by)
+    return evaluate.ranked(ordered_runs(spark, d) if order == "mrf" else timed_runs(spark, d), *by)
 
 
 SQL_APFD = """ select repo, cast(job_sequence as bigint) job_sequence, count(*) tests, cast(sum(failed) as bigint) faults,
@@ -634,7 +639,7 @@ def early_exit_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 def ordered_runs_with_score(spark: SparkSession, d: str) -> DataFrame:
     carry = ("id", "repo", "job_sequence", "test_id", "failed", "duration_ms")
-    return history.test_history(runs_of(spark, d), carry).withColumn("score", F.lit(0.01) + F.greatest(F.col("failure_rate_90d"), F.lit(0.0)))
+    return history.test_history(timed_runs(spark, d), carry).withColumn("score", F.lit(0.01) + F.greatest(F.col("failure_rate_90d"), F.lit(0.0)))
 
 
 @query(
@@ -644,7 +649,7 @@ def ordered_runs_with_score(spark: SparkSession, d: str) -> DataFrame:
   select repo, test_id, n runs, round(score, 5) score from scored"""
 )
 def flaky_score(spark: SparkSession, d: str) -> DataFrame:
-    past = history.test_history(runs_of(spark, d), ("repo", "test_id"))
+    past = history.test_history(timed_runs(spark, d), ("repo", "test_id"))
     return evaluate.flaky_scores(past).select("repo", "test_id", "runs", F.round("score", 5).alias("score"))
 
 
@@ -662,14 +667,14 @@ PSI_COLUMNS = ("failure_rate_30d", "days_since_last_run", "consecutive_passes",
   select feature, round(sum((a - e) * ln(a / e)), 6) psi from parts group by feature"""
 )
 def psi_drift(spark: SparkSession, d: str) -> DataFrame:
-    past = stored(split.split_sides(history.test_history(runs_of(spark, d), ("repo", "job_sequence"))).select("side", *PSI_COLUMNS), "history")
+    past = stored(split.split_sides(history.test_history(timed_runs(spark, d), ("repo", "job_sequence"))).select("side", *PSI_COLUMNS), "history")
     got = evaluate.psi(past.where("side = 'train'"), past.where("side = 'test'"), PSI_COLUMNS)
     return got.select("feature", F.round("psi", 6).alias("psi"))
 
 
 @query(with_(CTE_RUNS) + """, aged as (select *, row_number() over (partition by repo, test_id order by job_sequence desc) - 1 age from runs) select repo, test_id, round(sum(failed * 0.8 * pow(0.2, age)), 9) priority from aged group by 1, 2""")
 def ema_priority(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.ema_priority(runs_of(spark, d)).select("repo", "test_id", F.round("priority", 9).alias("priority"))
+    return evaluate.ema_priority(runs_of(spark, d, "failed")).select("repo", "test_id", F.round("priority", 9).alias("priority"))
 
 
 @query()
