@@ -1,10 +1,10 @@
 """Filling missing values from similar records with a Chow-Liu dependency tree.
 
 Numeric fields are discretised at quantiles, categorical ones into their most frequent values plus hash buckets, and
-what the other rows of the same group (job) say is a field of its own. The tree that keeps most of the pairwise
+what the other rows of the same group (job, commit, test) say are fields of their own, for every group, frequent or not. The tree that keeps most of the pairwise
 mutual information over all rows is found from contingency tables; for a row with missing cells, messages along the
-tree give the posterior of each missing field given what the row has. It is decoded to its mode, for a numeric field
-to the median of that bin: the group's own value where the group has one in the bin, else that of all rows.
+tree give the posterior of each missing field given what the row has. It is decoded to its median, which has the least
+expected distance in bins, and there to a group's own value where a group has one in that bin, else to the bin's median.
 
 The model is bounded whatever the data: ``bins`` per numeric field, ``top + buckets`` per categorical one. Counts,
 quantiles and tables cover all rows.
@@ -12,7 +12,7 @@ quantiles and tables cover all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -117,6 +117,12 @@ class Tree:
         return belief(target, -1)
 
 
+def middle(log_posterior: np.ndarray) -> np.ndarray:
+    """The median bin of each row's posterior."""
+    p = np.exp(log_posterior - log_posterior.max(1, keepdims=True)).cumsum(1)
+    return (p >= 0.5 * p[:, -1:]).argmax(1)
+
+
 def frequent(rows: DataFrame, column: str, top: int) -> DataFrame:
     """(column, code): the ``top`` most frequent values; at most that many rows."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(top)
@@ -124,6 +130,26 @@ def frequent(rows: DataFrame, column: str, top: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(got, f"{column} string, code int")
 
 
+def said_by_others(rows: DataFrame, group: str, least: Mapping[str, str], means: Mapping[str, str]) -> DataFrame:
+    """``rows`` with what the other rows of the same ``group`` say: of each field of ``least`` the least value, of each of
+    ``means`` (no negative values) the mean on a logarithmic scale; both name the new columns by field.
+
+    A value that only the row itself has says nothing. Sums are whole numbers, so they do not depend on the order of rows.
+    """
+    log = lambda f: F.round(F.log1p(F.greatest(F.col(f), F.lit(0.0))) * 1e6).cast("bigint")
+    made = [x for f in least for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))] + [F.sum(log(f)).alias(f"_sum_{f}") for f in means]
+    stats = rows.where(F.col(group).isNotNull()).groupBy(group).agg(*made, *[F.count(f).alias(f"_n_{f}") for f in {**least, **means}])
+    out = rows.join(stats, group, "left")
+    for f, name in [*least.items(), *means.items()]:
+        others = F.col(f"_n_{f}") - F.col(f).isNotNull().cast("int")
+        if f in least:
+            said = F.when((F.col(f) == F.col(f"_lo_{f}")) & (others == 1), F.col(f"_hi_{f}")).otherwise(F.col(f"_lo_{f}"))
+        else:
+            said = F.expm1((F.col(f"_sum_{f}") - F.coalesce(log(f), F.lit(0))) / others / 1e6)
+        out = out.withColumn(name, F.when(others > 0, said))
+    return out.drop(*[c for c in stats.columns if c != group])
+
+
 def contingency(encoded: DataFrame, sizes: list[int]) -> dict[tuple[int, int], np.ndarray]:
     """Counts of each pair of fields over all rows that have both: added up within tasks, then over tasks."""
     pairs = list(combinations(range(len(sizes)), 2))
@@ -161,43 +187,46 @@ def fill_missing(
     bins: int = 48,
     top: int = 512,
     buckets: int = 256,
+    more_groups: Mapping[str, Sequence[str]] | None = None,
+    means: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """(key, targets..., <target>_filled...): every row, missing cells of the numeric ``targets`` filled and marked.
 
     numeric, categorical: further fields that help. group, group_fields: the other rows of the same group say what
-    the group's value of these targets is (the least one; a value that only the row itself has does not count). A null is a missing value; NaN must have been made null. A target
+    the group's value of these targets is (the least one; a value that only the row itself has does not count). more_groups: further
+    groups and their fields, used alike; means: groups whose other rows say the mean of the logarithms of these targets. A null is a missing value; NaN must have been made null. A target
     without any value in the whole table stays null and unmarked. Repeated rows are filled alike; other columns are
-    not carried. A group may hold any share of the rows: it is aggregated before it meets them.
+    not carried. A group may hold any share of the rows and there may be any number of them: each is aggregated before it meets its rows.
     """
     spark = rows.sparkSession
     fields = [*targets, *numeric]
-    rows = stored(rows.select(*dict.fromkeys([key, *([group] if group else []), *fields, *categorical])), "rows")  # read column by column below
+    least = {**({group: group_fields} if group else {}), **(more_groups or {})}
+    means = means or {}
+    by = list(dict.fromkeys([*least, *means]))
+    rows = stored(rows.select(*dict.fromkeys([key, *by, *fields, *categorical])), "rows")  # read column by column below
     points = [k / (2 * bins) for k in range(2 * bins + 1)]
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), points, 1000).alias(f) for f in fields]).first()
     cut = {f: Bins.of(found[f]) for f in fields}
 
-    slim = rows.select(key, *([group] if group else []), *[F.col(f).cast("double").alias(f) for f in fields], *[F.col(c).cast("string").alias(c) for c in categorical])
+    slim = rows.select(key, *[F.col(g).alias(f"of_{k}") for k, g in enumerate(by)], *[F.col(f).cast("double").alias(f) for f in fields], *[F.col(c).cast("string").alias(c) for c in categorical])
     for c in categorical:
         codes = F.broadcast(frequent(slim, c, top)).withColumnRenamed("code", f"{c}_code")
         code = F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_code", top + F.pmod(F.xxhash64(c), F.lit(buckets)))).cast("smallint")
         slim = slim.join(codes, c, "left").withColumn(c, code).drop(f"{c}_code")
-    if group:
-        least = [F.min(f).alias(f"g_{f}") for f in group_fields] + [F.max(f).alias(f"x_{f}") for f in group_fields] + [F.count(f).alias(f"n_{f}") for f in group_fields]
-        stats = slim.where(F.col(group).isNotNull()).groupBy(group).agg(*least)
-        slim = slim.join(stats, group, "left")
-        for f in group_fields:  # of the other rows: a value that only this row has says nothing
-            others = F.col(f"n_{f}") - F.col(f).isNotNull().cast("int")
-            slim = slim.withColumn(f"g_{f}", F.when(others > 0, F.when((F.col(f) == F.col(f"g_{f}")) & (others == 1), F.col(f"x_{f}")).otherwise(F.col(f"g_{f}")))).drop(f"x_{f}", f"n_{f}")
-    nodes = [(F.col(f), cut[f]) for f in fields] + [(F.col(f"g_{f}"), cut[f]) for f in group_fields if group]
+    said: dict[str, str] = {}  # column of what others say -> its target
+    for k, g in enumerate(by):
+        low, mean = ({f: f"{kind}{k}_{f}" for f in of.get(g, ())} for kind, of in (("g", least), ("m", means)))
+        slim = said_by_others(slim, f"of_{k}", low, mean).drop(f"of_{k}")
+        said |= {name: f for own in (low, mean) for f, name in own.items()}
+    nodes = [(F.col(f), cut[f]) for f in fields] + [(F.col(name), cut[f]) for name, f in said.items()]
     sizes = [max(1, b.size) for _, b in nodes] + [top + buckets] * len(categorical)
     codes = [bin_of(c, b.cuts) for c, b in nodes] + [F.col(c) for c in categorical]
-    kept = [*targets, *[f"g_{f}" for f in group_fields if group]]
+    kept = [*targets, *said]
     encoded = stored(slim.select(key, *kept, *[c.alias(f"c{k}") for k, c in enumerate(codes)]), "encoded")
 
-    names = [*fields, *[f"g_{f}" for f in group_fields if group], *categorical]
+    names = [*fields, *said, *categorical]
     tree = Tree.learn(names, sizes, contingency(encoded, sizes))
     fillable = [t for t in targets if cut[t].size]
-    group_of = {t: f"g_{t}" for t in group_fields if group}
     medians = {t: np.asarray(cut[t].medians) for t in fillable}
     cuts = {t: np.asarray(cut[t].cuts) for t in fillable}
     code_names = [f"c{k}" for k in range(len(names))]
@@ -218,10 +247,10 @@ def fill_missing(
                 for k, t in enumerate(targets):
                     if not pattern[k] or t not in medians:
                         continue
-                    best = tree.posterior(k, codes[at], pattern).argmax(1)
+                    best = middle(tree.posterior(k, codes[at], pattern))
                     value = medians[t][best]
-                    if t in group_of:
-                        own = pdf[group_of[t]].to_numpy(dtype=float, na_value=np.nan)[at]
+                    for name in reversed([name for name, f in said.items() if f == t]):  # the first group that has one counts
+                        own = pdf[name].to_numpy(dtype=float, na_value=np.nan)[at]
                         same = ~np.isnan(own) & (np.searchsorted(cuts[t], own, side="right") == best)
                         value = np.where(same, own, value)
                     out.iloc[at, out.columns.get_loc(t)] = value

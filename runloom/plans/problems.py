@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.functions.keys import epoch_s, failed, job_number, trimmed, usable_duration, usable_sequence, usable_timestamp
+from runloom.functions.commits import known_commits, short_names
+from runloom.functions.keys import epoch_s, failed, is_sha, is_short_sha, job_number, reference, trimmed, usable_duration, usable_sequence, usable_timestamp
 from runloom.functions.runs import distinct_runs
 from runloom.operators import asof, impute, orphans, rolling
 from runloom.session import stored
@@ -160,9 +161,15 @@ SQL["p7_loaded"] = SQL_LINES + """ select line_id, cast(f[1] as bigint) job_id,
 FILLED = ("timestamp", "job_sequence", "duration_ms")
 
 
-def filled_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "test_runs")
-    rows = runs.select(
+def fillable_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of test_runs with null for what is missing, and ``commit``: the full sha, for a short reference that of the one commit of the repo it begins."""
+    ref = reference()
+    runs = table(spark, d, "test_runs").withColumn("ref", F.when(is_sha(ref) | is_short_sha(ref), ref))
+    is_short = F.coalesce(F.length("ref") < 40, F.lit(False))
+    names = short_names(runs.where(is_short).select("repo", "ref"), known_commits(table(spark, d, "commits")))
+    only = names.groupBy("repo", "ref").agg(F.min("sha").alias("sha"), F.count("*").alias("n")).where("n = 1").drop("n")
+    named = runs.where(is_short).join(only, ["repo", "ref"], "left").unionByName(runs.where(~is_short).withColumn("sha", F.col("ref")))
+    return named.select(
         "id",
         job_number().alias("job"),
         usable_timestamp().alias("timestamp"),
@@ -172,8 +179,17 @@ def filled_runs(spark: SparkSession, d: str) -> DataFrame:
         "repo",
         "test_id",
         F.upper(trimmed("outcome")).alias("outcome"),
+        F.unhex("sha").alias("commit"),
     )
-    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["repo", "test_id", "outcome"], "job", ["timestamp", "job_sequence"])
+
+
+def fill_runs(rows: DataFrame) -> DataFrame:
+    found = {"commit": ["timestamp", "job_sequence"]}
+    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["repo", "test_id", "outcome"], "job", ["timestamp", "job_sequence"], more_groups=found, means={"test_id": ["duration_ms"]})
+
+
+def filled_runs(spark: SparkSession, d: str) -> DataFrame:
+    return fill_runs(fillable_runs(spark, d))
 
 
 @query
