@@ -55,6 +55,8 @@ PROJECT = "|".join(
 SENTENCE_END = r"(?<=[.!?…][\"')\]]?)\s+|(?<=[。！？])|(?<=\w:)\s+"  # a title before a colon stands for itself
 SEPARATORS = r"[,;|·/•>=\t«»–—、]|\s-\s"
 WORD = r"[^\W\d_](?:[\w'’]*\w)?"
+JOINT = r"[^\w'’]+|_+"  # between words joined without blanks
+LONG_WORD = 200  # longer ones are looked into
 CJK_WEIGHT = 2.5  # a CJK letter says as much as so many others
 
 FEATURES = ("links", "bare", "function_words", "repetition", "entropy", "prose")
@@ -80,15 +82,20 @@ class Reader:
     def __init__(self):
         import regex
 
-        self.re = {k: regex.compile(v) for k, v in {"hidden": HIDDEN, "link": LINK, "markup": MARKUP, "project": PROJECT, "sentence": SENTENCE_END, "sep": SEPARATORS, "word": WORD, "cjk": CJK_LETTERS, "particle": CJK_PARTICLES}.items()}
+        self.re = {k: regex.compile(v) for k, v in {"hidden": HIDDEN, "link": LINK, "markup": MARKUP, "project": PROJECT, "sentence": SENTENCE_END, "sep": SEPARATORS, "word": WORD, "joint": JOINT, "cjk": CJK_LETTERS, "particle": CJK_PARTICLES}.items()}
 
     def weight(self, text: str) -> float:
-        """Letters and digits, CJK letters by their weight; runs of one character and overlong words count little."""
+        """Letters and digits, CJK letters by their weight; runs of a few characters count nothing, words joined without blanks each by itself."""
         if text.isascii():
-            return float(sum(len(w) for w in text.split() if len(w) <= 200))
-        n = sum(min(len(w), 200) for w in text.split() if len(set(w)) > 2 or len(w) < 6)
+            return float(sum(len(w) if len(w) <= LONG_WORD else self.joined(w) for w in text.split()))
+        n = sum(len(w) if len(w) <= LONG_WORD else self.joined(w) for w in text.split() if len(set(w)) > 2 or len(w) < 6)
         return n + (CJK_WEIGHT - 1) * len(self.re["cjk"].findall(text))
 
+    def joined(self, word: str) -> int:
+        """The weight of an overlong word: that of its pieces with letters that are no runs."""
+        pieces = self.re["joint"].split(word)
+        return sum(len(p) for p in pieces if not (p.isdigit() or (len(p) >= 6 and len(set(p)) <= 2) or (len(p) > LONG_WORD and len(set(p)) <= 4)))
+
     def prose(self, sentence: str, words: list[str]) -> bool:
         letters = len(self.re["cjk"].findall(sentence)) if not sentence.isascii() else 0
         if letters >= 6 and letters > 0.25 * len(sentence.replace(" ", "")):
