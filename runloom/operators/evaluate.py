@@ -129,7 +129,7 @@ def ema_priority(runs: DataFrame, alpha: float = 0.8, last: int = 40) -> DataFra
     return rows.groupBy("repo", "test_id").agg(F.sum(F.col("failed") * F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_age"))).alias("priority"))
 
 
-def bootstrap_interval(values: DataFrame, column: str, key: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_interval(values: DataFrame, column: str, key: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(mean, low, high): the mean and its 2.5 and 97.5 percentiles over Poisson resamples, with weights told by hash of key and resample."""
     draws = values.select(column, key).withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))))  # -1: the values themselves
     u = F.pmod(F.xxhash64(F.lit(seed), "b", key), F.lit(1_000_000)) / 1_000_000.0
