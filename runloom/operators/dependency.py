@@ -43,15 +43,40 @@ def modules(files: DataFrame, poms: DataFrame | None = None) -> DataFrame:
     return files.join(nearest, ["repo", "file_path"], "left").withColumn("module", F.coalesce("nearest", top_module(F.col("file_path")))).drop("nearest")
 
 
-def test_sources(files: DataFrame, poms: DataFrame | None = None) -> DataFrame:
-    """(repo, test_id, test_path, test_package, test_module): where each test was seen among the changed files, the shortest path first."""
+def test_sources(files: DataFrame, poms: DataFrame | None = None, located: DataFrame | None = None) -> DataFrame:
+    """(repo, test_id, test_path, test_package, test_module): where each test was seen among the changed files, the shortest path first;
+    ``located`` (repo, test_id, file_path) serves the tests that were not."""
     seen = files.where(F.col("file_path").contains(TEST_ROOT) & F.lower("file_path").endswith(".java")).select("repo", "file_path").distinct()
     test_id = F.regexp_replace(F.regexp_replace(F.regexp_extract("file_path", r"src/test/java/(.*)$", 1), r"\.[^./]*$", ""), "/", ".")
     first = seen.withColumn("test_id", test_id).groupBy("repo", "test_id").agg(F.min(F.struct(F.length("file_path").alias("n"), "file_path")).alias("s"))
-    paths = modules(first.select("repo", "test_id", F.col("s.file_path").alias("file_path")), poms)
+    first = first.select("repo", "test_id", F.col("s.file_path").alias("file_path"))
+    if located is not None:
+        first = first.unionByName(located.join(first, ["repo", "test_id"], "left_anti"))
+    paths = modules(first, poms)
     return paths.select("repo", "test_id", F.col("file_path").alias("test_path"), package_of(F.col("file_path")).alias("test_package"), F.col("module").alias("test_module"))
 
 
+def path_of(test_id: Column) -> Column:
+    """Where the source of a test stands by its name."""
+    return F.concat(F.lit(TEST_ROOT), F.regexp_replace(test_id, r"\.", "/"), F.lit(".java"))
+
+
+def located_sources(tests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(repo, test_id, file_path) of tests found among ``sources`` (repo, path): at the path of their name; else below a directory at
+    that path; else a file of the same name under a test root; of several the shortest path.
+
+    All candidates share the file's name, so this is an equi-join on it.
+    """
+    name = lambda c: F.substring_index(c, "/", -1)
+    of = tests.select("repo", "test_id").distinct().withColumn("exact", path_of(F.col("test_id"))).withColumn("_file", name(F.col("exact")))
+    at = sources.select("repo", F.col("path").alias("file_path"), name(F.col("path")).alias("_file")).distinct()
+    path = F.col("file_path")
+    rank = F.when(path == F.col("exact"), 0).when(path.endswith(F.concat(F.lit("/"), F.col("exact"))), 1).when(F.concat(F.lit("/"), path).contains("/" + TEST_ROOT), 2)
+    found = of.join(at, ["repo", "_file"]).withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    best = found.groupBy("repo", "test_id").agg(F.min(F.struct("_rank", F.length(path).alias("n"), "file_path")).alias("s"))
+    return best.select("repo", "test_id", F.col("s.file_path").alias("file_path"))
+
+
 def java_header(text: Column) -> tuple[Column, Column, Column]:
     """(package, imported names, whether it can be read) of a Java source: comments and strings are removed first; braces must balance."""
     bare = F.regexp_replace(text, r'(?s)/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"', " ")
@@ -73,8 +98,8 @@ def import_overlap(tests: DataFrame, imports: DataFrame, files: DataFrame) -> Da
     return pairs.groupBy("repo", "commit_sha", "test_id").agg(F.count_distinct("file_path").alias("import_overlap"))
 
 
-def dependency_features(tests: DataFrame, files: DataFrame, imports: DataFrame | None = None, poms: DataFrame | None = None) -> DataFrame:
-    """The five columns for each distinct (repo, commit_sha, test_id) of ``tests``.
+def dependency_features(tests: DataFrame, files: DataFrame, imports: DataFrame | None = None, poms: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """The five columns for each distinct (repo, commit_sha, test_id) of ``tests``; sources: (repo, path) of files that exist.
 
     A test whose source was never seen has zeros and dependency_parse_failed = 1. Files are counted per package
     and module of a commit before they meet the tests: no join of all tests with all files.
@@ -82,7 +107,8 @@ def dependency_features(tests: DataFrame, files: DataFrame, imports: DataFrame |
     key = ["repo", "commit_sha"]
     tests = tests.select(*key, "test_id").distinct()
     placed = modules(files, poms).withColumn("package", package_of(F.col("file_path")))
-    out = tests.join(test_sources(files, poms), ["repo", "test_id"], "left")
+    located = located_sources(tests, sources) if sources is not None else None
+    out = tests.join(test_sources(files, poms, located), ["repo", "test_id"], "left")
     touched = files.select(*key, F.col("file_path").alias("test_path"), F.lit(1).alias("touched"))
     packages = placed.select(*key, F.col("package").alias("test_package"), F.lit(1).alias("same")).distinct()
     in_module = placed.groupBy(*key, F.col("module").alias("test_module")).agg(F.count("*").alias("in_module"))

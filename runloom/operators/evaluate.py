@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.operators.past import percent_ranks
+from runloom.session import stored
+
 JOB = ("repo", "job_sequence")
 
 
@@ -70,17 +73,29 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((sa > 1e-9) & (sb > 1e-9), F.try_divide(F.covar_pop(a, b), sa * sb))
 
 
-def early_exit(order: DataFrame, score: str, thresholds: tuple[float, ...]) -> DataFrame:
-    """(threshold, jobs, share_run, fault_miss_rate): each job stops at the first test where the running share of its score passes
-    the threshold; the rest is skipped and its faults are missed."""
+def stopped(order: DataFrame, score: str, thresholds: tuple[float, ...]) -> DataFrame:
+    """``order`` once per threshold, with ``_run``: whether the test runs before its job stops. A job stops at the first test where the running
+    share of its score passes the threshold."""
     by = Window.partitionBy(*JOB).orderBy("rank")
     so_far = F.coalesce(F.sum(score).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = order.withColumn("_before", F.round(F.try_divide(so_far, F.sum(score).over(Window.partitionBy(*JOB))), 9))
-    rows = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("_run", F.coalesce(F.col("_before") <= F.col("threshold"), F.lit(True)))
+    return rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("_run", F.coalesce(F.col("_before") <= F.col("threshold"), F.lit(True)))
+
+
+def early_exit(order: DataFrame, score: str, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold, tests, share_run, fault_miss_rate): what jobs that stop early run, and the share of faults among what they skip."""
+    rows = stopped(order, score, thresholds)
     missed = F.sum(F.when(~F.col("_run"), F.col("failed")).otherwise(0))
     return rows.groupBy("threshold").agg(F.count("*").alias("tests"), F.avg(F.col("_run").cast("double")).alias("share_run"), F.try_divide(missed.cast("double"), F.sum("failed")).alias("fault_miss_rate"))
 
 
+def time_saved(order: DataFrame, score: str, thresholds: tuple[float, ...], cost: str = "duration_ms") -> DataFrame:
+    """(threshold, total_ms, saved_ms, saved_share): the time of the tests that jobs skip when they stop as in ``early_exit``."""
+    rows = stopped(order, score, thresholds).withColumn("_c", F.coalesce(F.col(cost), F.lit(0.0)))
+    total, saved = F.sum("_c"), F.sum(F.when(~F.col("_run"), F.col("_c")).otherwise(0.0))
+    return rows.groupBy("threshold").agg(total.alias("total_ms"), saved.alias("saved_ms"), F.coalesce(F.try_divide(saved, total), F.lit(0.0)).alias("saved_share"))
+
+
 def flaky_scores(history: DataFrame, least_runs: int = 20) -> DataFrame:
     """(repo, test_id, runs, score, flagged): percent rank of the mean duration variance times one minus the correlation of the 7-day
     and 30-day failure rates; flagged above 0.7 with a 30-day rate between 0.05 and 0.5.
@@ -95,9 +110,8 @@ def flaky_scores(history: DataFrame, least_runs: int = 20) -> DataFrame:
         F.avg("failure_rate_30d").alias("rate"),
     )
     tests = tests.where(F.col("runs") >= least_runs)
-    rank = F.percent_rank().over(Window.partitionBy("repo").orderBy("variance"))
     score = F.col("pct") * (1 - F.col("agreement"))
-    return tests.withColumn("pct", rank).select("repo", "test_id", "runs", score.alias("score"), ((score > 0.7) & (F.col("rate") > 0.05) & (F.col("rate") < 0.5)).alias("flagged"))
+    return percent_ranks(stored(tests, "tests"), "repo", "variance").select("repo", "test_id", "runs", score.alias("score"), ((score > 0.7) & (F.col("rate") > 0.05) & (F.col("rate") < 0.5)).alias("flagged"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, columns: tuple[str, ...], bins: int = 10, least: float = 1e-4) -> DataFrame:
@@ -113,20 +127,35 @@ def psi(expected: DataFrame, actual: DataFrame, columns: tuple[str, ...], bins:
     return share.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
 
 
+DRIFTED = 0.2  # a mean index above it
+
+
+def drift_verdict(indices: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """(features, mean_psi, drifted): the mean index of ``features`` (those that matter most), and whether it passes DRIFTED."""
+    got = indices.where(F.col("feature").isin(*features)).agg(F.count("psi").alias("features"), F.avg("psi").alias("mean_psi"))
+    return got.withColumn("drifted", F.coalesce(F.col("mean_psi") > DRIFTED, F.lit(False)))
+
+
 def _bin(c: str, lo: float | None, hi: float | None, bins: int) -> Column:
     v = F.col(c).cast("double")
     inside = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * bins) if lo is not None and hi > lo else F.lit(0)
     return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), inside)))
 
 
-def ema_priority(runs: DataFrame, alpha: float = 0.8, last: int = 40) -> DataFrame:
-    """(repo, test_id, priority): P = alpha F + (1 - alpha) P over a test's runs in order, from 0.
+def ema_priority(runs: DataFrame, alpha: float = 0.8) -> DataFrame:
+    """(repo, test_id, priority): P = alpha F + (1 - alpha) P over all of a test's runs in order, from 0.
 
-    The weights (1 - alpha)^age fall below a double's precision after ``last`` runs, which are therefore all that counts.
+    Runs are range-partitioned by test and job; each part of a test's history gives its own sum and length, and a part counts
+    (1 - alpha) to the number of runs after it: a test of any size lies in as many tasks as it needs.
     """
-    age = F.row_number().over(Window.partitionBy("repo", "test_id").orderBy(F.desc("job_sequence"))) - 1
-    rows = runs.withColumn("_age", age).where(F.col("_age") < last)
-    return rows.groupBy("repo", "test_id").agg(F.sum(F.col("failed") * F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_age"))).alias("priority"))
+    keys, fade = ["repo", "test_id"], F.lit(float(1 - alpha))
+    rows = stored(runs.select(*keys, "job_sequence", "failed").repartitionByRange(*keys, "job_sequence").withColumn("_part", F.spark_partition_id()), "ranged")
+    age = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(F.desc("job_sequence"))) - 1
+    value = F.sum(F.col("failed") * F.lit(alpha) * F.pow(fade, F.col("_age")))
+    parts = rows.withColumn("_age", age).groupBy("_part", *keys).agg(value.alias("_sum"), F.count("*").alias("_n"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = parts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    return whole.groupBy(*keys).agg(F.sum(F.col("_sum") * F.pow(fade, F.col("_later"))).alias("priority"))
 
 
 def bootstrap_interval(values: DataFrame, column: str, key: str, resamples: int = 1000, seed: int = 42) -> DataFrame:

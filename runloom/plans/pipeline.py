@@ -1,4 +1,4 @@
-"""From the tables to checked feature matrices: ``python -m runloom.plans.pipeline TABLES OUT [--force] [--repo NAME]``."""
+"""From the tables to checked feature matrices: ``python -m runloom.plans.pipeline TABLES OUT [--force] [--repos NAME ...] [--summary FILE]``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators import ingest, matrix, quality, split
-from runloom.session import stored
-from runloom.sources.projects import list_files, write_once
+from runloom.session import clear, stored
+from runloom.sources.projects import list_files, markdown_table, read_selected, report_rows, wanted_projects, write_once
 from runloom.sources.tables import table
 
 
@@ -20,8 +20,9 @@ def build(spark: SparkSession, tables: str, repo: str | None = None) -> DataFram
     return matrix.feature_matrix(runs, ingest.commit_rows(of("commits")), stored(ingest.changed_files(of("file_changes")), "files"))
 
 
-def run(spark: SparkSession, tables: str, out: str, repo: str | None = None, force: bool = False) -> DataFrame | None:
-    """Builds, checks and only then writes the matrix; does nothing where it is already there, unless forced.
+def run(spark: SparkSession, tables: str, out: str, repo: str | None = None, force: bool = False, strict: bool = False) -> DataFrame | None:
+    """Builds, checks and only then writes the matrix; does nothing where it is already there, unless forced. strict: also
+    refuses a matrix in which times fall from one job to the next; rebuilt jobs make them do so in honest data.
 
     Returns (repo, label, rows).
     """
@@ -30,15 +31,16 @@ def run(spark: SparkSession, tables: str, out: str, repo: str | None = None, for
         return None
     features = stored(build(spark, tables, repo), "matrix")
     quality.require_no_nulls(features)
-    quality.validate_features(features)
+    # The source baselines name repos by the names of known projects; those that are absent here check nothing.
+    quality.validate_features(features, quality.SOURCE_BASELINES, in_order=strict)
     write_once(features.repartition("repo"), target, force=True)
     return features.groupBy("repo", "label").agg(F.count("*").alias("rows"))
 
 
-def assemble(spark: SparkSession, paths: list[str], out: str) -> DataFrame:
+def assemble(spark: SparkSession, paths: list[str], out: str, strict: bool = False) -> DataFrame:
     """Unites matrices of several repos, checks and writes them."""
     full = split.union_projects([spark.read.parquet(p) for p in paths])
-    quality.validate_features(full)
+    quality.validate_features(full, quality.SOURCE_BASELINES, in_order=strict)
     full.write.mode("overwrite").parquet(out)
     return full
 
@@ -52,13 +54,19 @@ def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("tables")
     p.add_argument("out")
-    p.add_argument("--repo")
+    p.add_argument("--repos", nargs="*", default=[], help="names, parted by blanks or commas; in this order, each once")
+    p.add_argument("--summary", help="a Markdown table of projects: those marked SELECTED are taken where no names are given")
     p.add_argument("--force", action="store_true")
+    p.add_argument("--strict", action="store_true", help="refuse a matrix whose times fall from one job to the next")
     a = p.parse_args()
-    report = run(SparkSession.builder.appName("runloom").getOrCreate(), a.tables, a.out, a.repo, a.force)
-    print("the matrix is there already" if report is None else "written")
-    if report is not None:
-        report.orderBy("repo", "label").show(1000, False)
+    spark = SparkSession.builder.appName("runloom").getOrCreate()
+    selected = [r["project"] for r in read_selected(spark, a.summary).collect()] if a.summary else []  # the lines of a report
+    for repo in wanted_projects(a.repos, selected) or [None]:
+        report = run(spark, a.tables, a.out, repo, a.force, a.strict)
+        print(f"{repo or 'all'}: the matrix is there already" if report is None else f"{repo or 'all'}: written")
+        if report is not None:
+            print(markdown_table(report_rows(report, "repo", "label")))
+    clear(spark)
 
 
 if __name__ == "__main__":

@@ -9,6 +9,7 @@ from runloom.functions.keys import is_sha, job_number, reference, trimmed
 from runloom.operators import commits as C
 from runloom.operators import dependency, evaluate, history, ingest, matrix, models, quality, split
 from runloom.operators.ingest import changed_files, commit_rows, sequenced_runs
+from runloom.operators.past import exact_percentiles
 from runloom.plans import pipeline
 from runloom.plans.problems import FAILED, JOB, REF, SQL_LINES, USABLE_MS, USABLE_TS
 from runloom.session import stored
@@ -148,6 +149,15 @@ def project_selection_topn(spark: SparkSession, d: str) -> DataFrame:
     return marked.join(chosen, "repo", "left").select("repo", F.round("rate", 6).alias("rate"), "builds", status.alias("status"), "reasons")
 
 
+@query(
+    SQL_STATS
+    + f""", marked as (select least({SELECTED}, count(*)) selected from judged where has_patches and builds >= {LEAST_BUILDS} and rate >= {LEAST_RATE}) select selected, selected >= {quality.LEAST_PROJECTS} ok from marked"""
+)
+def selection_gate(spark: SparkSession, d: str) -> DataFrame:
+    selected = project_selection_topn(spark, d).agg(F.count_if(F.col("status") == "SELECTED").alias("selected"))
+    return selected.withColumn("ok", F.col("selected") >= quality.LEAST_PROJECTS)
+
+
 # Timestamps
 
 
@@ -186,6 +196,11 @@ def timestamp_coverage(spark: SparkSession, d: str) -> DataFrame:
     return every.select("repo", "shas", "resolved_shas", "eligible", "timestamped", pct("resolved_shas", "shas").alias("sha_pct"), pct("timestamped", "eligible").alias("row_pct"))
 
 
+@query("select repo, sha_pct, row_pct, sha_pct >= 70 and row_pct >= 70 ok from (" + SQL["timestamp_coverage"] + ")")
+def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
+    return quality.coverage_gate(timestamp_coverage(spark, d))
+
+
 # Profiles
 
 
@@ -226,10 +241,11 @@ def top_failing_tests(spark: SparkSession, d: str) -> DataFrame:
 )
 def duration_percentiles(spark: SparkSession, d: str) -> DataFrame:
     runs = ingest.first_rows(table(spark, d, "test_runs"), "duration_ms").where("duration_ms > 0")
-    p = F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    got = runs.groupBy("repo").agg(p.alias("p"), F.min("duration_ms").alias("low"), F.max("duration_ms").alias("high"), F.avg("duration_ms").alias("mean"))
+    runs = stored(runs.select("repo", "duration_ms"), "durations")
+    ends = runs.groupBy("repo").agg(F.min("duration_ms").alias("low"), F.max("duration_ms").alias("high"), F.avg("duration_ms").alias("mean"))
+    got = ends.join(exact_percentiles(runs, "repo", "duration_ms", (0.5, 0.95, 0.99)), "repo")
     r = lambda c, n: F.round(c, 4).alias(n)
-    return got.select("repo", r("low", "low"), r(F.col("p")[0], "median"), r(F.col("p")[1], "p95"), r("high", "high"), r("mean", "mean"), r(F.col("p")[2], "p99"))
+    return got.select("repo", r("low", "low"), r("p0", "median"), r("p1", "p95"), r("high", "high"), r("mean", "mean"), r("p2", "p99"))
 
 
 @query(with_(CTE_FILES) + "select repo, count(*) changes, count(distinct commit_sha) commits from files group by repo")
@@ -354,7 +370,7 @@ SQL_HISTORY_COLUMNS = {
     "days_since_last_run": "days_since_last_run",
     "consecutive_passes": "cast(consecutive_passes as bigint)",
     "avg_duration_ms": "round(avg_duration_ms, 4)",
-    "duration_variance": "round(sqrt(abs(duration_variance)), 3)",
+    "duration_variance": "case when duration_variance < 1e-9 then 0.0::double else floor(duration_variance / pow(2.0::double, floor(log2(duration_variance)) - 20) + 0.2863719::double) * pow(2.0::double, floor(log2(duration_variance)) - 20) end",
     "run_count_30d": "cast(run_count_30d as bigint)",
 }
 
@@ -369,7 +385,9 @@ def rounded(c: str):
     if c in ("consecutive_passes", "run_count_30d"):
         return F.col(c).cast("bigint").alias(c)
     if c == "duration_variance":
-        return F.round(F.sqrt(F.abs(F.col(c))), 3).alias(c)
+        # 21 binary digits, in which sums in different order agree; cut off the halves and tenths in which variances of few runs end
+        step = F.pow(F.lit(2.0), F.floor(F.log2(c)) - 20)
+        return F.when(F.col(c) < 1e-9, F.lit(0.0)).otherwise(F.floor(F.col(c) / step + 0.2863719) * step).alias(c)
     return F.round(c, 4 if c == "avg_duration_ms" else 6).alias(c)
 
 
@@ -505,6 +523,36 @@ def label_correlation(spark: SparkSession, d: str) -> DataFrame:
     return got.select("feature", F.round("correlation", 6).alias("correlation"))
 
 
+def top_features(m: DataFrame, n: int) -> tuple[str, ...]:
+    """The n features of greatest correlation with the label; the matrix has few columns."""
+    tied = evaluate.label_correlation(m, NUMERIC).withColumn("correlation", F.round("correlation", 6)).where("correlation is not null")
+    return tuple(r["feature"] for r in tied.orderBy(F.desc("correlation"), "feature").limit(n).collect())
+
+
+@query("select * from (" + SQL["label_correlation"] + ") where correlation is not null order by correlation desc, feature limit 15")
+def label_correlation_top15(spark: SparkSession, d: str) -> DataFrame:
+    return label_correlation(spark, d).where("correlation is not null").orderBy(F.desc("correlation"), "feature").limit(15)
+
+
+@query()
+def label_information_top5(spark: SparkSession, d: str) -> DataFrame:
+    return label_information(spark, d).orderBy(F.desc("information"), "feature").limit(5)
+
+
+@query(
+    WITH_MATRIX
+    + " union all ".join(f"select '{c}' feature, count(*) filter ({c}::double not in (999, -1)) known, round(avg({c}::double) filter ({c}::double not in (999, -1)), 4) mean from matrix" for c in history.COLUMNS if c != "duration_variance")
+)
+def known_feature_means(spark: SparkSession, d: str) -> DataFrame:
+    got = matrix.known_means(history.test_history(timed_runs(spark, d)), tuple(c for c in history.COLUMNS if c != "duration_variance"))
+    return got.select("feature", "known", F.round("mean", 4).alias("mean"))
+
+
+@query(with_(CTE_RUNS) + """select repo, test_id, coalesce(bool_and(fine), true) ok from (select repo, test_id, "timestamp" >= lag("timestamp") over (partition by repo, test_id order by job_sequence) fine from runs where "timestamp" is not null) group by 1, 2""")
+def monotonic_gate(spark: SparkSession, d: str) -> DataFrame:
+    return quality.monotonic(runs_of(spark, d, "failed"))
+
+
 @query()
 def label_information(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.mutual_information(matrix_of(spark, d), NUMERIC)
@@ -544,6 +592,10 @@ SQL_APFD = """ select repo, cast(job_sequence as bigint) job_sequence, count(*)
   round(case when sum(failed) > 0 then 1 - sum(rank_ * failed) / (count(*) * sum(failed))::double + 1 / (2 * count(*))::double else 0.0::double end, 6) apfd from ranked group by repo, job_sequence"""
 
 
+SQL_MEASURED = """, measured as (select repo, cast(job_sequence as bigint) job_sequence,
+  case when sum(failed) > 0 then 1 - sum(rank_ * failed) / (count(*) * sum(failed))::double + 1 / (2 * count(*))::double else 0.0::double end apfd from ranked group by repo, job_sequence"""
+
+
 def apfd_query(order: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return evaluate.apfd(ranks(spark, d, order)).select("repo", F.col("job_sequence").cast("bigint").alias("job_sequence"), "tests", "faults", F.round("apfd", 6).alias("apfd"))
@@ -582,12 +634,26 @@ def precision_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql_ranked("mrf")
-    + SQL_APFD.replace(" select repo", ", measured as (select repo", 1)
-    + " having sum(failed) > 0) select repo, count(*) jobs, round(avg(apfd), 4) mean, round(stddev_pop(apfd), 4) deviation from measured group by repo"
+    + SQL_MEASURED
+    + " having sum(failed) > 0) select repo, count(*) jobs, round(avg(apfd), 9) mean, round(stddev_pop(apfd), 6) deviation from measured group by repo"
 )
 def apfd_by_repo(spark: SparkSession, d: str) -> DataFrame:
-    rows = evaluate.apfd(ranks(spark, d, "mrf")).where("faults > 0").withColumn("apfd", F.round("apfd", 6))
-    return rows.groupBy("repo").agg(F.count("*").alias("jobs"), F.round(F.avg("apfd"), 4).alias("mean"), F.round(F.stddev_pop("apfd"), 4).alias("deviation"))
+    rows = evaluate.apfd(ranks(spark, d, "mrf")).where("faults > 0")
+    return rows.groupBy("repo").agg(F.count("*").alias("jobs"), F.round(F.avg("apfd"), 9).alias("mean"), F.round(F.stddev_pop("apfd"), 6).alias("deviation"))
+
+
+@query(
+    sql_ranked("mrf")
+    + SQL_MEASURED
+    + """ having sum(failed) > 0), days as (select repo, job_sequence, cast(floor(min("timestamp") / 86400) as bigint) day_no from runs where "timestamp" is not null group by 1, 2)
+  select repo, day_no, count(*) jobs, round(avg(apfd), 9) mean from measured join days using (repo, job_sequence) group by 1, 2"""
+)
+def daily_apfd(spark: SparkSession, d: str) -> DataFrame:
+    """Of the jobs with a fault, by the day of their first timed run."""
+    keys = list(evaluate.JOB)
+    days = runs_of(spark, d, "failed").where("timestamp is not null").groupBy(*keys).agg(F.floor(F.min("timestamp") / 86400).alias("day_no"))
+    rows = evaluate.apfd(ranks(spark, d, "mrf")).where("faults > 0").join(days, keys)
+    return rows.groupBy("repo", "day_no").agg(F.count("*").alias("jobs"), F.round(F.avg("apfd"), 9).alias("mean"))
 
 
 SQL_CROSS = (
@@ -637,6 +703,16 @@ def early_exit_sweep(spark: SparkSession, d: str) -> DataFrame:
     return got.select("threshold", "tests", F.round("share_run", 6).alias("share_run"), F.round("fault_miss_rate", 6).alias("fault_miss_rate"))
 
 
+@query(
+    SQL["early_exit_sweep"].split(" select threshold, count(*)")[0]
+    + """ select threshold, round(sum(coalesce(duration_ms, 0.0)), 1) total_ms, round(sum(case when round(before_, 9) > threshold then coalesce(duration_ms, 0.0) else 0.0 end), 1) saved_ms,
+  round(sum(case when round(before_, 9) > threshold then coalesce(duration_ms, 0.0) else 0.0 end) / sum(coalesce(duration_ms, 0.0)), 6) saved_share from at_ group by threshold"""
+)
+def time_savings(spark: SparkSession, d: str) -> DataFrame:
+    got = evaluate.time_saved(evaluate.ranked(ordered_runs_with_score(spark, d), F.round("score", 9).desc(), F.col("test_id")), "score", THRESHOLDS)
+    return got.select("threshold", F.round("total_ms", 1).alias("total_ms"), F.round("saved_ms", 1).alias("saved_ms"), F.round("saved_share", 6).alias("saved_share"))
+
+
 def ordered_runs_with_score(spark: SparkSession, d: str) -> DataFrame:
     carry = ("id", "repo", "job_sequence", "test_id", "failed", "duration_ms")
     return history.test_history(timed_runs(spark, d), carry).withColumn("score", F.lit(0.01) + F.greatest(F.col("failure_rate_90d"), F.lit(0.0)))
@@ -646,30 +722,47 @@ def ordered_runs_with_score(spark: SparkSession, d: str) -> DataFrame:
     with_(CTE_RUNS, CTE_HISTORY)
     + f""", tests as (select repo, test_id, count(*) n, round(avg(duration_variance), 6) v, coalesce({sql_corr('failure_rate_7d', 'failure_rate_30d')}, 0.0) agreement, avg(failure_rate_30d) rate from history group by 1, 2 having count(*) >= 20),
   scored as (select *, percent_rank() over (partition by repo order by v) * (1 - agreement) score from tests)
-  select repo, test_id, n runs, round(score, 5) score from scored"""
+  select repo, test_id, n runs, round(score, 5) score, score > 0.7 and rate > 0.05 and rate < 0.5 flagged from scored"""
 )
 def flaky_score(spark: SparkSession, d: str) -> DataFrame:
     past = history.test_history(timed_runs(spark, d), ("repo", "test_id"))
-    return evaluate.flaky_scores(past).select("repo", "test_id", "runs", F.round("score", 5).alias("score"))
+    return evaluate.flaky_scores(past).select("repo", "test_id", "runs", F.round("score", 5).alias("score"), "flagged")
 
 
-PSI_COLUMNS = ("failure_rate_30d", "days_since_last_run", "consecutive_passes", "avg_duration_ms", "run_count_30d")
-
-
-@query(
-    with_(CTE_RUNS, CTE_HISTORY)
-    + ", sides as (select *, case when job_sequence <= cast(floor(0.8::double * max(job_sequence) over (partition by repo)) as bigint) then 'e' else 'a' end side from history), long_ as ("
-    + " union all ".join(f"select '{c}' feature, {c}::double v, side from sides" for c in PSI_COLUMNS)
+SQL_PSI = (
+    WITH_MATRIX
+    + ", sides as (select *, case when job_sequence <= cast(floor(0.8::double * max(job_sequence) over (partition by repo)) as bigint) then 'e' else 'a' end side from matrix), long_ as ("
+    + " union all ".join(f"select '{c}' feature, {c}::double v, side from sides" for c in NUMERIC)
     + """), span as (select feature, min(v) filter (side = 'e') lo, max(v) filter (side = 'e') hi from long_ group by 1),
   bins as (select l.feature, side, case when hi > lo then greatest(0, least(9, floor((v - lo) / (hi - lo) * 10))) else 0 end b from long_ l join span s using (feature)),
   shares as (select feature, b, count(*) filter (side = 'e') e, count(*) filter (side = 'a') a from bins group by 1, 2),
-  parts as (select feature, greatest(e / sum(e) over (partition by feature)::double, 0.0001) e, greatest(a / sum(a) over (partition by feature)::double, 0.0001) a from shares)
-  select feature, round(sum((a - e) * ln(a / e)), 6) psi from parts group by feature"""
+  parts as (select feature, greatest(e / sum(e) over (partition by feature)::double, 0.0001) e, greatest(a / sum(a) over (partition by feature)::double, 0.0001) a from shares),
+  index_ as (select feature, sum((a - e) * ln(a / e)) psi from parts group by feature)"""
 )
+
+
+def drift_indices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stability index of each feature between the first four fifths of the jobs and the rest, and the matrix."""
+    rows = stored(split.split_sides(matrix_of(spark, d)).select("side", "label", *NUMERIC), "sides")
+    return evaluate.psi(rows.where("side = 'train'"), rows.where("side = 'test'"), NUMERIC), rows
+
+
+@query(SQL_PSI + " select feature, round(psi, 6) psi from index_")
 def psi_drift(spark: SparkSession, d: str) -> DataFrame:
-    past = stored(split.split_sides(history.test_history(timed_runs(spark, d), ("repo", "job_sequence"))).select("side", *PSI_COLUMNS), "history")
-    got = evaluate.psi(past.where("side = 'train'"), past.where("side = 'test'"), PSI_COLUMNS)
-    return got.select("feature", F.round("psi", 6).alias("psi"))
+    return drift_indices(spark, d)[0].select("feature", F.round("psi", 6).alias("psi"))
+
+
+@query(
+    SQL_PSI
+    + ", tied as ("
+    + " union all ".join(f"select '{c}' feature, round(abs({sql_corr(c, 'label')}), 6) correlation from matrix" for c in NUMERIC)
+    + "), top_ as (select feature from tied where correlation is not null order by correlation desc, feature limit 10) select count(*) features, round(avg(psi), 6) mean_psi, avg(psi) > 0.2 drifted from index_ join top_ using (feature)"
+)
+def drift_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ten features most tied to the label have drifted."""
+    indices, rows = drift_indices(spark, d)
+    got = evaluate.drift_verdict(indices, top_features(rows, 10))
+    return got.select("features", F.round("mean_psi", 6).alias("mean_psi"), "drifted")
 
 
 @query(with_(CTE_RUNS) + """, aged as (select *, row_number() over (partition by repo, test_id order by job_sequence desc) - 1 age from runs) select repo, test_id, round(sum(failed * 0.8 * pow(0.2, age)), 9) priority from aged group by 1, 2""")
@@ -698,6 +791,26 @@ def daily_dashboard(spark: SparkSession, d: str) -> DataFrame:
     return got.select("repo", "day_no", "builds", "runs", "failed", F.round(F.col("failed") / F.col("runs"), 6).alias("rate"), F.round("duration_ms", 1).alias("duration_ms"))
 
 
+SQL_DASHBOARD = SQL["daily_dashboard"]
+TREND_DAYS = 30
+
+
+@query(f"select * from ({SQL_DASHBOARD}) q where day_no > (select max(day_no) from ({SQL_DASHBOARD}) x where x.repo = q.repo) - {TREND_DAYS}")
+def trend_30d(spark: SparkSession, d: str) -> DataFrame:
+    """The dashboard's days of each repo's last 30."""
+    days = stored(daily_dashboard(spark, d), "days")
+    last = days.groupBy("repo").agg(F.max("day_no").alias("_last"))
+    return days.join(last, "repo").where(F.col("day_no") > F.col("_last") - TREND_DAYS).drop("_last")
+
+
+@query(f"select cast(sum(builds) as bigint) builds, cast(sum(runs) as bigint) runs, cast(sum(failed) as bigint) failed, round(sum(failed) / sum(runs)::double, 6) rate, count(distinct repo) repos, count(distinct day_no) as days from ({SQL_DASHBOARD})")
+def kpis(spark: SparkSession, d: str) -> DataFrame:
+    """One row over all repos and days. A build that runs over two days counts on each."""
+    total = lambda c: F.sum(c).alias(c)
+    got = daily_dashboard(spark, d).agg(total("builds"), total("runs"), total("failed"), F.count_distinct("repo").alias("repos"), F.count_distinct("day_no").alias("days"))
+    return got.select("builds", "runs", "failed", F.round(F.try_divide(F.col("failed").cast("double"), F.col("runs")), 6).alias("rate"), "repos", "days")
+
+
 # Streaming
 
 

@@ -9,23 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests, one machine) a new temporary one, which is then set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("runloom.shared.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a temporary one serves a session on one machine
+    (tests); on a cluster that is an error, as executors would not share it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("runloom.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="runloom-")
         spark.conf.set("runloom.shared.dir", path)
     return path.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/runloom-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table into the shared folder and read back: later steps neither recompute it nor lose it with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as a table into the shared folder and read back: later steps neither recompute it nor lose it with an executor.
+    It stays until ``clear``, since results that read it are evaluated later."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables this application has stored. To be called when its results have been written or read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: for costly steps on a table that came as one small file.
     A table of many files is left as it is."""

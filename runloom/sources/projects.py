@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from runloom.sources.csv_rejects import BYTE_ORDER_MARK, HEADER
 
 NOT_MAIN = ("-patches.csv", "-pr.csv", "-offenders.csv")
 REQUIRED = set(HEADER)
+MOST_MISSING = 0.1
 
 
 def bare(c: str):
@@ -94,17 +96,46 @@ def read_offenders(spark: SparkSession, path: str) -> DataFrame:
     return read_text_csv(spark, path).select(trimmed("tr_job_id").try_cast("bigint").cast("string").alias("job_id")).where("job_id is not null").distinct()
 
 
-def dry_run(results: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(rows, unmapped, null_durations) of what a load would read."""
+def dry_run(results: DataFrame, mapping: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """(rows, unmapped, null_durations, patch_rows) of what a load would read, with the rates of the middle two and whether
+    one of them passes MOST_MISSING; an empty file has rates of 0."""
     rows = results.join(mapping, "job_id", "left")
-    return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("commit_sha").isNull()).alias("unmapped"), F.count_if(F.col("duration_ms").isNull()).alias("null_durations"))
+    got = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("commit_sha").isNull()).alias("unmapped"), F.count_if(F.col("duration_ms").isNull()).alias("null_durations"))
+    got = got.withColumn("patch_rows", F.lit(patches.count() if patches is not None else 0).cast("bigint"))
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("rows")), F.lit(0.0))
+    got = got.withColumn("unmapped_rate", rate("unmapped")).withColumn("null_duration_rate", rate("null_durations"))
+    return got.withColumn("warning", F.greatest("unmapped_rate", "null_duration_rate") > MOST_MISSING)
 
 
 def read_selected(spark: SparkSession, path: str) -> DataFrame:
-    """(project) of the rows of a Markdown table whose fourth cell is exactly SELECTED."""
+    """(project) of the rows of a Markdown table with at least five cells whose fifth is exactly SELECTED."""
     cells = F.transform(F.split(F.expr("trim(both '|' from trim(value))"), r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).where(F.col("value").startswith("|")).select(cells.alias("c"))
-    return rows.where((F.size("c") >= 4) & (F.col("c")[3] == "SELECTED")).select(F.col("c")[0].alias("project"))
+    return rows.where((F.size("c") >= 5) & (F.col("c")[4] == "SELECTED")).select(F.col("c")[0].alias("project"))
+
+
+def wanted_projects(named: Sequence[str], selected: Sequence[str] = ()) -> list[str]:
+    """The projects named (several may share one argument, parted by commas or blanks), else the selected ones: in order, each once."""
+    given = [p for argument in named for p in argument.replace(",", " ").split()]
+    return list(dict.fromkeys(given or selected))
+
+
+def report_rows(df: DataFrame, *order: str) -> DataFrame:
+    """A report in a defined order: by ``order``, then by all its other columns; nulls last."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in dict.fromkeys([*order, *df.columns])])
+
+
+def short_sha(c: str):
+    return F.substring(c, 1, 8)
+
+
+def percent(c: str):
+    """A share as text such as 12.5%."""
+    return F.format_string("%.1f%%", 100 * F.col(c).cast("double"))
+
+
+def thousands(c: str):
+    return F.format_number(F.col(c), 0)
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
@@ -116,17 +147,28 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
-def read_git_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """(repo, commit_sha, committed_ts) from lines of sha and epoch second; other lines are skipped."""
+def read_git_log(spark: SparkSession, path: str, repo: str, needed: DataFrame | None = None, later: str | None = None) -> DataFrame:
+    """(repo, commit_sha, committed_ts) from lines of sha and epoch second; other lines are skipped.
+
+    ``needed`` (commit_sha): only these commits; ``later``: a second file of the same form, asked for those the first one lacks.
+    """
+    if later is not None:
+        first, second = read_git_log(spark, path, repo, needed), read_git_log(spark, later, repo, needed)
+        return first.unionByName(second.join(first.select("repo", "commit_sha"), ["repo", "commit_sha"], "left_anti"))
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(F.lit(repo).alias("repo"), parts[0].alias("commit_sha"), F.try_element_at(parts, F.lit(2)).try_cast("bigint").alias("committed_ts"))
-    return rows.where("committed_ts is not null").dropDuplicates(["repo", "commit_sha"])
+    rows = rows.where("committed_ts is not null")
+    if needed is not None:
+        rows = rows.join(needed.select("commit_sha").distinct(), "commit_sha", "left_semi").select("repo", "commit_sha", "committed_ts")
+    return rows.groupBy("repo", "commit_sha").agg(F.min("committed_ts").alias("committed_ts"))
 
 
 def read_numstat(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """(repo, commit_sha, parent_no, added, deleted, path) from tab-separated lines of sha, added, deleted and path."""
+    """(repo, commit_sha, parent_no, added, deleted, path) from tab-separated lines of sha, added, deleted, path and, for
+    merges, the number of the parent (absent: the first)."""
     p = F.split("value", "\t")
-    return spark.read.text(path).where(F.size(p) >= 4).select(F.lit(repo).alias("repo"), F.trim(p[0]).alias("commit_sha"), F.lit(1).alias("parent_no"), p[1].alias("added"), p[2].alias("deleted"), p[3].alias("path"))
+    parent = F.coalesce(F.try_element_at(p, F.lit(5)).try_cast("int"), F.lit(1))
+    return spark.read.text(path).where(F.size(p) >= 4).select(F.lit(repo).alias("repo"), F.trim(p[0]).alias("commit_sha"), parent.alias("parent_no"), p[1].alias("added"), p[2].alias("deleted"), p[3].alias("path"))
 
 
 def read_sources(spark: SparkSession, root: str, repo: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runloom.functions.keys import failed, usable_timestamp
 from runloom.operators.ingest import derived_outcome, insert_new
-from runloom.session import shared_dir
+from runloom.session import work_dir
 from runloom.sources.csv_rejects import load_results
 
 KEYS = ["repo", "job_id", "test_id"]
@@ -61,7 +61,7 @@ def daily_counts(runs: DataFrame, late_days: int = 3650) -> DataFrame:
 def latest(stream: DataFrame, name: str) -> DataFrame:
     """Runs an aggregating stream over all there is now and returns its last complete result."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{id(stream):x}-{pd.Timestamp.now().value:x}"
+    base = f"{work_dir(spark)}/{name}-{id(stream):x}-{pd.Timestamp.now().value:x}"
     last: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -55,3 +55,12 @@ def test_header(spark):
     got = spark.createDataFrame([(good,), ("class X {",), (None,)], "t string").select(*D.java_header(F.col("t"))).collect()
     assert tuple(got[0]) == ("com.a", ["b.C", "d.E.f", "g"], True)
     assert got[1][2] is False and got[2][2] is not True
+
+
+def test_sources_by_name(spark, changed):
+    tests = spark.createDataFrame([("r", "s", t) for t in ("p.A", "p.B", "p.C", "p.D", "p.E")], "repo string, commit_sha string, test_id string")
+    paths = ["src/test/java/p/A.java", "m/src/test/java/p/A.java", "long/er/src/test/java/p/B.java", "m/src/test/java/p/B.java", "m/src/test/java/q/C.java", "src/main/java/p/D.java"]
+    sources = spark.createDataFrame([("r", p) for p in paths] + [("other", "src/test/java/p/E.java")], "repo string, path string")
+    assert rows(D.located_sources(tests, sources), "test_id", "file_path") == [("p.A", paths[0]), ("p.B", paths[3]), ("p.C", paths[4])]
+    got = D.dependency_features(tests, changed(["m/src/main/java/q/X.java"]), sources=sources)
+    assert rows(got, "test_id", "same_package", "changed_files_in_module", "dependency_parse_failed") == [("p.A", 0, 0, 0), ("p.B", 0, 1, 0), ("p.C", 1, 1, 0), ("p.D", 0, 0, 1), ("p.E", 0, 0, 1)]

@@ -38,3 +38,22 @@ def test_trailing_rows(spark, block):
     df = spark.createDataFrame([("a", k, k * k % 17) for k in range(1, 60)] + [("b", 1, 5)], "g string, p int, v int")
     got = {(r.g, r.p): r.s for r in trailing_rows(df, ["g"], "p", 4, {"s": F.sum("v")}, block).collect()}
     assert got == {("a", k): sum(j * j % 17 for j in range(max(1, k - 3), k + 1)) for k in range(1, 60)} | {("b", 1): 5}
+
+
+def test_exact_percentiles_and_ranks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from runloom.operators.past import exact_percentiles, percent_ranks
+
+    rng = np.random.default_rng(5)
+    data = [(k, float(x)) for k, n in (("a", 501), ("b", 2), ("c", 1)) for x in np.round(rng.random(n) * 40) / 7] + [("a", None), (None, 1.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    for r in exact_percentiles(df, "k", "v", (0.0, 0.5, 0.95, 0.99, 1.0)).collect():
+        own = [v for k, v in data if k == r.k and v is not None]
+        assert r.n == len(own) and [r.p0, r.p1, r.p2, r.p3, r.p4] == np.percentile(own, [0, 50, 95, 99, 100]).tolist()
+    whole = df.where("k is not null and v is not null").withColumn("id", F.monotonically_increasing_id()).persist()
+    for r in percent_ranks(whole, "k", "v").collect():
+        own = [v for k, v in data if k == r.k and v is not None]
+        assert abs(r.pct - (sum(v < r.v for v in own) / (len(own) - 1) if len(own) > 1 else 0.0)) < 1e-12
+    assert percent_ranks(whole, "k", "v").count() == 504

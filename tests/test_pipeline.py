@@ -33,15 +33,15 @@ def test_order_of_input_and_the_future_change_nothing(spark, make_runs):
 
 
 def test_gates(small):
-    with pytest.raises(AssertionError, match="0 rows"):
+    with pytest.raises(AssertionError, match="no rows"):
         quality.validate_features(small.limit(0))
-    with pytest.raises(AssertionError, match="Missing required"):
+    with pytest.raises(AssertionError, match="lacks label"):
         quality.validate_features(small.drop("label"))
-    with pytest.raises(AssertionError, match="NULL"):
+    with pytest.raises(AssertionError, match="too many nulls"):
         quality.validate_features(small.withColumn("run_count_30d", F.lit(None).cast("bigint")))
     with pytest.raises(AssertionError, match="label"):
         quality.validate_features(small.withColumn("label", F.lit(2)))
-    with pytest.raises(AssertionError, match="feature_source"):
+    with pytest.raises(AssertionError, match="unknown source"):
         quality.validate_features(small.withColumn("feature_source", F.lit("x")))
     with pytest.raises(AssertionError, match="baselines"):
         quality.validate_features(small, {"a@b": (90.0, "absolute", 0.5)})
@@ -50,6 +50,31 @@ def test_gates(small):
         quality.require_no_nulls(small.withColumn("label", F.lit(None).cast("int")))
     assert rows(quality.null_profile(small).where("nulls > 0"), "column", "nulls") == [("commit_sha", 2), ("timestamp", 2)]
     assert quality.monotonic(small).where("not ok").count() == 0
+    falling = small.withColumn("timestamp", F.when(F.col("job_sequence") == 1, F.col("timestamp") + 10**6).otherwise(F.col("timestamp")))
+    assert quality.monotonic(falling).where("not ok").count() == 2
+    with pytest.raises(AssertionError, match="fall from one job"):
+        quality.validate_features(falling)
+    quality.validate_features(falling, in_order=False)
+
+
+def test_coverage_and_selection(spark):
+    got = quality.coverage_gate(spark.createDataFrame([("a", 70.0, 70.0), ("b", 100.0, 69.9), ("c", 0.0, 80.0)], "repo string, sha_pct double, row_pct double"))
+    assert rows(got, "repo", "ok") == [("a", True), ("b", False), ("c", False)]
+    marked = [("b", 0.5, "SELECTED"), ("A", 0.5, "SELECTED"), ("c", 0.7, "SELECTED"), ("d", 0.9, "REJECTED")]
+    df = spark.createDataFrame(marked, "repo string, rate double, status string")
+    assert quality.require_selected(df) == ["c", "A", "b"]
+    with pytest.raises(ValueError, match="2 of at least 3"):
+        quality.require_selected(df.where("repo <> 'c'"))
+
+
+def test_order_and_known_means(small):
+    got = matrix.in_order(small).collect()
+    assert [r.timestamp is None for r in got] == sorted(r.timestamp is None for r in got) or got[0].timestamp is None  # a day per job lies before real times
+    keys = [(r.timestamp if r.timestamp is not None else r.job_sequence * 86400, r.job_sequence, r.commit_sha or "~", r.test_id) for r in got]
+    assert keys == sorted(keys)
+    days = [r.days_since_last_fail for r in small.collect() if r.days_since_last_fail != 999.0]
+    m = {r.feature: r for r in matrix.known_means(small).collect()}["days_since_last_fail"]
+    assert m.known == len(days) and m.mean == (pytest.approx(sum(days) / len(days)) if days else None)
 
 
 def jobs(spark, n, repo="a"):
@@ -103,6 +128,12 @@ def test_ema(spark):
     for f in (1, 0, 1):
         p = 0.8 * f + 0.2 * p
     assert evaluate.ema_priority(runs).first().priority == pytest.approx(p)
+    many = spark.range(1, 301).select(F.lit("r").alias("repo"), (F.col("id") % 2).cast("string").alias("test_id"), F.col("id").alias("job_sequence"), (F.col("id") % 7 != 3).cast("int").alias("failed"))
+    for alpha in (0.05, 0.8, 1.0):
+        want = {"0": 0.0, "1": 0.0}
+        for k in range(1, 301):
+            want[str(k % 2)] = alpha * (k % 7 != 3) + (1 - alpha) * want[str(k % 2)]
+        assert {r.test_id: r.priority for r in evaluate.ema_priority(many, alpha).collect()} == pytest.approx(want)
 
 
 def test_paired(spark):
@@ -124,6 +155,14 @@ def test_early_exit(spark):
     df = order(spark, [(1, 1.0), (0, 1.0), (1, 1.0)]).withColumn("score", F.when(F.col("rank") == 1, 0.9).otherwise(0.05))
     got = {r.threshold: r for r in evaluate.early_exit(df, "score", (0.7, 0.95)).collect()}
     assert got[0.7].fault_miss_rate == 0.5 and got[0.95].fault_miss_rate == 0.0
+    saved = {r.threshold: (r.total_ms, r.saved_ms) for r in evaluate.time_saved(df, "score", (0.7, 0.95)).collect()}
+    assert saved == {0.7: (3.0, 2.0), 0.95: (3.0, 0.0)}
+
+
+def test_drift_verdict(spark):
+    df = spark.createDataFrame([("a", 0.5), ("b", 0.1), ("c", 9.0)], "feature string, psi double")
+    assert tuple(evaluate.drift_verdict(df, ("a", "b")).first()) == (2, pytest.approx(0.3), True)
+    assert evaluate.drift_verdict(df, ("b",)).first().drifted is False and evaluate.drift_verdict(df, ()).first().drifted is False
 
 
 def test_run_checks_writes_once_and_unites(spark, make_runs, make_commits, tmp_path):

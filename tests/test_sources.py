@@ -35,7 +35,9 @@ def test_results_to_runs(spark, root):
     (root / "m.csv").write_text("tr_job_id,git_commit_id\n1,old\n1,new\n2,\n")
     mapping = P.read_mapping(spark, str(root / "m.csv"))
     assert rows(mapping) == [("1", "new")]
-    assert tuple(P.dry_run(df, mapping).first()) == (4, 2, 1)
+    assert tuple(P.dry_run(df, mapping).first()) == (4, 2, 1, 0, 0.5, 0.25, True)
+    patches = P.read_patches(spark, str(root / "own@proj/own@proj-patches.csv"), "r")
+    assert tuple(P.dry_run(df.limit(0), mapping, patches).first()) == (0, 0, 0, 1, 0.0, 0.0, False)
     outcome = rows(df.withColumn("outcome", ingest.derived_outcome()), "line_id", "outcome")
     assert [o for _, o in outcome] == ["PASS", "FAIL", "PASS", "SKIPPED"]
     (root / "bad.csv").write_text("testName\nx\n")
@@ -49,8 +51,11 @@ def test_patches_offenders_and_git(spark, root):
     assert rows(P.read_offenders(spark, str(root / "off.csv"))) == [("7",)]
     (root / "log.txt").write_text("abc 12\nbad\nabc 12\n")
     assert rows(P.read_git_log(spark, str(root / "log.txt"), "r")) == [("r", "abc", 12)]
-    (root / "num.txt").write_text("abc\t1\t-\tp/x.java\nbad\n")
-    assert rows(P.read_numstat(spark, str(root / "num.txt"), "r")) == [("r", "abc", 1, "1", "-", "p/x.java")]
+    (root / "later.txt").write_text("abc 99\ndef 5\nghi 6\n")
+    needed = spark.createDataFrame([("abc",), ("def",)], "commit_sha string")
+    assert rows(P.read_git_log(spark, str(root / "log.txt"), "r", needed, str(root / "later.txt"))) == [("r", "abc", 12), ("r", "def", 5)]
+    (root / "num.txt").write_text("abc\t1\t-\tp/x.java\nbad\nabc\t7\t0\tp/x.java\t2\n")
+    assert rows(P.read_numstat(spark, str(root / "num.txt"), "r")) == [("r", "abc", 1, "1", "-", "p/x.java"), ("r", "abc", 2, "7", "0", "p/x.java")]
     (root / "src").mkdir()
     (root / "src/X.java").write_text("class X {}")
     assert rows(P.read_sources(spark, str(root / "src"), "r")) == [("r", "X.java", "class X {}")]
@@ -59,12 +64,21 @@ def test_patches_offenders_and_git(spark, root):
 def test_reports(spark, root):
     df = spark.createDataFrame([("own@proj", 1.5), ("x", None)], "project string, rate double")
     assert P.markdown_table(df) == "| project | rate |\n|---|---|\n| own@proj | 1.5 |\n| x |  |"
-    (root / "s.md").write_text("# x\n| project | a | b | status | why |\n|---|---|---|---|---|\n| own@proj | 1 | 2 | SELECTED |  |\n| q | 1 | 2 | NOT SELECTED | x |\n")
+    summary = "# x\n| Project | Builds | Tests | Failure Rate | Status |\n|---|---|---|---|---|\n| own@proj | 10 | 1,020 | 2.0% | SELECTED |\n| q | 10 | 20 | 0.2% | NOT SELECTED (rate) |\n| r | 1 | 2 | SELECTED |\n"
+    (root / "s.md").write_text(summary)
     assert rows(P.read_selected(spark, str(root / "s.md"))) == [("own@proj",)]
     with pytest.raises(ValueError):
         P.markdown_table(spark.range(5), most=3)
 
 
+def test_names_and_formats(spark):
+    assert P.wanted_projects(["b,a", "c b"], ["z"]) == ["b", "a", "c"] and P.wanted_projects([], ["z", "z"]) == ["z"] and P.wanted_projects([]) == []
+    df = spark.createDataFrame([("0123456789abc", 0.125, 1234567)], "sha string, share double, n bigint")
+    assert tuple(df.select(P.short_sha("sha"), P.percent("share"), P.thousands("n")).first()) == ("01234567", "12.5%", "1,234,567")
+    got = P.report_rows(spark.createDataFrame([("b", None), (None, 1), ("b", 2), ("a", 3)], "repo string, n int"), "repo").collect()
+    assert [tuple(r) for r in got] == [("a", 3), ("b", 2), ("b", None), (None, 1)]
+
+
 def test_write_once(spark, root):
     out = str(root / "out")
     assert P.write_once(spark.range(3), out) and not P.write_once(spark.range(5), out)
