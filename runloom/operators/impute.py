@@ -6,13 +6,13 @@ mutual information over all rows is found from contingency tables; for a row wit
 tree give the posterior of each missing field given what the row has. It is decoded to its median, which has the least
 expected distance in bins, and there to a group's own value where a group has one in that bin, else to the bin's median.
 
-The model is bounded whatever the data: ``bins`` per numeric field, ``top + buckets`` per categorical one. Counts,
-quantiles and tables cover all rows.
+The model is bounded whatever the data: ``bins`` per numeric field, ``top + buckets`` per categorical one of few values; columns
+of many values take part through their groups. Counts, quantiles and tables cover all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from runloom.session import stored
 
+Aliases = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Bins:
@@ -47,16 +48,9 @@ class Bins:
         return Bins(cuts.tolist(), [float(np.median(q[at == b])) if (at == b).any() else float(cuts[b - 1]) for b in range(len(cuts) + 1)])
 
 
-def bin_of(value: Column, cuts: Sequence[float]) -> Column:
-    """The number of cuts <= value, as a balanced tree of comparisons; null stays null."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(float(cuts[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(value.isNotNull(), tree(0, len(cuts))).cast("smallint")
+def codes_of(values: np.ndarray, cuts: Sequence[float]) -> np.ndarray:
+    """The number of cuts <= value, -1 for NaN."""
+    return np.where(np.isnan(values), -1, np.searchsorted(cuts, values, side="right"))
 
 
 @dataclass
@@ -130,35 +124,104 @@ def frequent(rows: DataFrame, column: str, top: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(got, f"{column} string, code int")
 
 
-def said_by_others(rows: DataFrame, group: str, least: Mapping[str, str], means: Mapping[str, str]) -> DataFrame:
-    """``rows`` with what the other rows of the same ``group`` say: of each field of ``least`` the least value, of each of
-    ``means`` (no negative values) the mean on a logarithmic scale; both name the new columns by field.
+def log_units(f: str) -> Column:
+    """A value that is not negative, on a logarithmic scale in millionths: whole numbers, whose sums do not depend on the order of rows."""
+    return F.round(F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))) * 1e6).cast("bigint")
+
+
+def joined(rows: DataFrame, stats: DataFrame, group: str, *spread_by: str) -> DataFrame:
+    """``rows`` left-joined with ``stats`` on ``group``; rows without a group, which find nothing, are spread over the tasks."""
+    salt = F.when(F.col(group).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(4096))).otherwise(0).cast("int")
+    return rows.withColumn("_salt", salt).join(stats.withColumn("_salt", F.lit(0)), [group, "_salt"], "left").drop("_salt")
+
 
-    A value that only the row itself has says nothing. Sums are whole numbers, so they do not depend on the order of rows.
+def least_of_groups(rows: DataFrame, key: str, least: Mapping[str, Sequence[str]], names: Mapping[tuple[str, str], str], aliases: Mapping[str, Aliases]) -> DataFrame:
+    """``rows`` with the least value the other rows of each group have in each of its fields.
+
+    The rows of each combination of groups are combined first; groups are added up from these combinations, and each
+    row meets its combination, and so all of its groups, in one join. A value that only the row itself has says nothing.
     """
-    log = lambda f: F.round(F.log1p(F.greatest(F.col(f), F.lit(0.0))) * 1e6).cast("bigint")
-    made = [x for f in least for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))] + [F.sum(log(f)).alias(f"_sum_{f}") for f in means]
-    stats = rows.where(F.col(group).isNotNull()).groupBy(group).agg(*made, *[F.count(f).alias(f"_n_{f}") for f in {**least, **means}])
-    out = rows.join(stats, group, "left")
-    for f, name in [*least.items(), *means.items()]:
-        others = F.col(f"_n_{f}") - F.col(f).isNotNull().cast("int")
-        if f in least:
-            said = F.when((F.col(f) == F.col(f"_lo_{f}")) & (others == 1), F.col(f"_hi_{f}")).otherwise(F.col(f"_lo_{f}"))
+    by, fields = list(least), sorted({f for own in least.values() for f in own})
+    ends = [x for f in fields for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"), F.count(f).alias(f"_n_{f}"))]
+    cells = stored(rows.groupBy(*by).agg(*ends), "cells")
+    out = cells.select(*by)
+    for k, g in enumerate(by):
+        own = cells
+        if g in aliases:
+            of = aliases[g](cells.select(g).where(F.col(g).isNotNull()).distinct())
+            own = joined(own, of, g, *by).withColumn("_of", F.coalesce("_of", g))
+            out = joined(out, of, g, *by).withColumn("_of", F.coalesce("_of", g))
         else:
-            said = F.expm1((F.col(f"_sum_{f}") - F.coalesce(log(f), F.lit(0))) / others / 1e6)
-        out = out.withColumn(name, F.when(others > 0, said))
-    return out.drop(*[c for c in stats.columns if c != group])
+            own, out = own.withColumn("_of", F.col(g)), out.withColumn("_of", F.col(g))
+        made = [x for f in least[g] for x in (F.min(f"_lo_{f}").alias(f"_lo_{k}_{f}"), F.max(f"_hi_{f}").alias(f"_hi_{k}_{f}"), F.sum(f"_n_{f}").alias(f"_n_{k}_{f}"))]
+        out = joined(out, own.where(F.col("_of").isNotNull()).groupBy("_of").agg(*made), "_of", *by).drop("_of")
+    none = F.lit(True)
+    for g in by:
+        none &= F.col(g).isNull()
+    renamed = out.withColumnsRenamed({g: f"_c_{g}" for g in by}).withColumn("_c_salt", F.lit(0))
+    same = F.col("_salt") == F.col("_c_salt")
+    for g in by:
+        same &= F.col(g).eqNullSafe(F.col(f"_c_{g}"))
+    rows = rows.withColumn("_salt", F.when(none, F.pmod(F.xxhash64(key), F.lit(4096))).otherwise(0).cast("int")).join(renamed, same, "left")
+    for k, g in enumerate(by):
+        for f in least[g]:
+            lo, hi = F.col(f"_lo_{k}_{f}"), F.col(f"_hi_{k}_{f}")
+            others = F.col(f"_n_{k}_{f}") - F.col(f).isNotNull().cast("int")
+            rows = rows.withColumn(names[g, f], F.when(others > 0, F.when((F.col(f) == lo) & (others == 1), hi).otherwise(lo)).cast("double"))
+    return rows.drop("_salt", *renamed.columns)
+
+
+def means_of_groups(rows: DataFrame, key: str, means: Mapping[str, Sequence[str]], names: Mapping[tuple[str, str], str]) -> DataFrame:
+    """``rows`` with the mean, on a logarithmic scale, of each field over the other rows of each group."""
+    for g, fields in means.items():
+        made = [x for f in fields for x in (F.sum(log_units(f)).alias(f"_sum_{f}"), F.count(f).alias(f"_n_{f}"))]
+        rows = joined(rows, rows.where(F.col(g).isNotNull()).groupBy(g).agg(*made), g, key)
+        for f in fields:
+            others = F.col(f"_n_{f}") - F.col(f).isNotNull().cast("int")
+            mean = (F.col(f"_sum_{f}") - F.coalesce(log_units(f), F.lit(0))) / others / 1e6
+            rows = rows.withColumn(names[g, f], F.when(others > 0, F.expm1(mean)))
+        rows = rows.drop(*[f"_sum_{f}" for f in fields], *[f"_n_{f}" for f in fields])
+    return rows
+
+
+def gathered(batches: Iterator[pd.DataFrame], least: int = 50_000) -> Iterator[pd.DataFrame]:
+    """The batches, put together to at least so many rows where there are enough."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= least:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
-def contingency(encoded: DataFrame, sizes: list[int]) -> dict[tuple[int, int], np.ndarray]:
+@dataclass
+class Coding:
+    """How the columns of the rows become codes: numeric ones by cuts, then categorical ones that are codes already."""
+
+    numeric: list[str]
+    cuts: list[list[float]]
+    categorical: list[str]
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
+
+    def encode(self, pdf: pd.DataFrame) -> np.ndarray:
+        own = [codes_of(pdf[c].to_numpy(dtype=float, na_value=np.nan), cuts) for c, cuts in zip(self.numeric, self.cuts)]
+        return np.stack([*own, *[pdf[c].fillna(-1).to_numpy(dtype=np.int64) for c in self.categorical]], axis=1)
+
+
+def contingency(rows: DataFrame, coding: Coding, sizes: list[int]) -> dict[tuple[int, int], np.ndarray]:
     """Counts of each pair of fields over all rows that have both: added up within tasks, then over tasks."""
     pairs = list(combinations(range(len(sizes)), 2))
-    names = [f"c{k}" for k in range(len(sizes))]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = [np.zeros(sizes[a] * sizes[b], dtype=np.int64) for a, b in pairs]
-        for pdf in batches:
-            codes = pdf[names].fillna(-1).to_numpy(dtype=np.int64)
+        for pdf in gathered(batches):
+            codes = coding.encode(pdf)
             for table, (a, b) in zip(tables, pairs):
                 both = (codes[:, a] >= 0) & (codes[:, b] >= 0)
                 table += np.bincount(codes[both, a] * sizes[b] + codes[both, b], minlength=len(table))
@@ -166,7 +229,7 @@ def contingency(encoded: DataFrame, sizes: list[int]) -> dict[tuple[int, int], n
             at = np.flatnonzero(table)
             yield pd.DataFrame({"pair": np.full(len(at), k, dtype=np.int32), "cell": at.astype(np.int32), "n": table[at]})
 
-    cells = encoded.select(*names).mapInPandas(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = rows.select(*coding.names).mapInPandas(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()
     out = {}
     for k, (a, b) in enumerate(pairs):
         part = cells[cells["pair"] == k]
@@ -182,86 +245,82 @@ def fill_missing(
     targets: Sequence[str],
     numeric: Sequence[str] = (),
     categorical: Sequence[str] = (),
-    group: str | None = None,
-    group_fields: Sequence[str] = (),
+    least: Mapping[str, Sequence[str]] | None = None,
+    means: Mapping[str, Sequence[str]] | None = None,
+    aliases: Mapping[str, Aliases] | None = None,
     bins: int = 48,
     top: int = 512,
     buckets: int = 256,
-    more_groups: Mapping[str, Sequence[str]] | None = None,
-    means: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """(key, targets..., <target>_filled...): every row, missing cells of the numeric ``targets`` filled and marked.
 
-    numeric, categorical: further fields that help. group, group_fields: the other rows of the same group say what
-    the group's value of these targets is (the least one; a value that only the row itself has does not count). more_groups: further
-    groups and their fields, used alike; means: groups whose other rows say the mean of the logarithms of these targets. A null is a missing value; NaN must have been made null. A target
-    without any value in the whole table stays null and unmarked. Repeated rows are filled alike; other columns are
-    not carried. A group may hold any share of the rows and there may be any number of them: each is aggregated before it meets its rows.
+    numeric, categorical: further fields that help; categorical ones are meant to have few values. A column of many values
+    (a job, a test, a repo) is given as a group instead, and what its other rows say becomes a field, for every
+    value it has: least: groups, each with the targets of which the least value counts (a value that only the row itself has
+    says nothing); means: groups with the targets of which the mean of logarithms counts. aliases: for a group that goes by
+    several names, a function from its names to (name, _of).
+
+    A null is a missing value; NaN must have been made null. A target without any value in the whole table stays null
+    and unmarked. Repeated rows are filled alike; other columns are not carried. A group may hold any share of the
+    rows and there may be any number of them: each is aggregated before it meets its rows.
     """
     spark = rows.sparkSession
     fields = [*targets, *numeric]
-    least = {**({group: group_fields} if group else {}), **(more_groups or {})}
-    means = means or {}
-    by = list(dict.fromkeys([*least, *means]))
-    rows = stored(rows.select(*dict.fromkeys([key, *by, *fields, *categorical])), "rows")  # read column by column below
+    least, means = dict(least or {}), dict(means or {})
+    names = {(g, f): f"least{k}_{f}" for k, g in enumerate(least) for f in least[g]}
+    mean_names = {(g, f): f"mean{k}_{f}" for k, g in enumerate(means) for f in means[g]}
+    rows = stored(rows.select(*dict.fromkeys([key, *least, *means, *fields, *categorical])), "rows")  # read column by column below
     points = [k / (2 * bins) for k in range(2 * bins + 1)]
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), points, 1000).alias(f) for f in fields]).first()
     cut = {f: Bins.of(found[f]) for f in fields}
 
-    slim = rows.select(key, *[F.col(g).alias(f"of_{k}") for k, g in enumerate(by)], *[F.col(f).cast("double").alias(f) for f in fields], *[F.col(c).cast("string").alias(c) for c in categorical])
+    slim = rows
     for c in categorical:
-        codes = F.broadcast(frequent(slim, c, top)).withColumnRenamed("code", f"{c}_code")
-        code = F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_code", top + F.pmod(F.xxhash64(c), F.lit(buckets)))).cast("smallint")
-        slim = slim.join(codes, c, "left").withColumn(c, code).drop(f"{c}_code")
-    said: dict[str, str] = {}  # column of what others say -> its target
-    for k, g in enumerate(by):
-        low, mean = ({f: f"{kind}{k}_{f}" for f in of.get(g, ())} for kind, of in (("g", least), ("m", means)))
-        slim = said_by_others(slim, f"of_{k}", low, mean).drop(f"of_{k}")
-        said |= {name: f for own in (low, mean) for f, name in own.items()}
-    nodes = [(F.col(f), cut[f]) for f in fields] + [(F.col(name), cut[f]) for name, f in said.items()]
-    sizes = [max(1, b.size) for _, b in nodes] + [top + buckets] * len(categorical)
-    codes = [bin_of(c, b.cuts) for c, b in nodes] + [F.col(c) for c in categorical]
-    kept = [*targets, *said]
-    encoded = stored(slim.select(key, *kept, *[c.alias(f"c{k}") for k, c in enumerate(codes)]), "encoded")
-
-    names = [*fields, *said, *categorical]
-    tree = Tree.learn(names, sizes, contingency(encoded, sizes))
+        codes = F.broadcast(frequent(slim.select(F.col(c).cast("string").alias(c)), c, top)).withColumnsRenamed({"code": f"_{c}_code", c: f"_{c}"})  # at most ``top`` rows
+        code = F.when(F.col(c).isNotNull(), F.coalesce(f"_{c}_code", top + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(buckets)))).cast("smallint")
+        slim = slim.join(codes, F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(f"_code_{c}", code).drop(f"_{c}_code", f"_{c}")
+    slim = means_of_groups(slim, key, means, mean_names)
+    if least:
+        slim = least_of_groups(slim, key, least, names, aliases or {})
+    said = {name: f for (_, f), name in [*names.items(), *mean_names.items()]}
+    kept = [*fields, *said]
+    coding = Coding(kept, [cut[f].cuts for f in fields] + [cut[f].cuts for f in said.values()], [f"_code_{c}" for c in categorical])
+    sizes = [max(1, cut[f].size) for f in [*fields, *said.values()]] + [top + buckets] * len(categorical)
+    known = stored(slim.select(key, *[F.col(c).cast("double").alias(c) for c in kept], *coding.categorical), "known")
+
+    tree = Tree.learn(coding.names, sizes, contingency(known, coding, sizes))
     fillable = [t for t in targets if cut[t].size]
     medians = {t: np.asarray(cut[t].medians) for t in fillable}
-    cuts = {t: np.asarray(cut[t].cuts) for t in fillable}
-    code_names = [f"c{k}" for k in range(len(names))]
     model = spark.sparkContext.broadcast(tree)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = model.value
-        for pdf in batches:
-            codes = pdf[code_names].fillna(-1).to_numpy(dtype=np.int64)
+        for pdf in gathered(batches):
+            codes = coding.encode(pdf)
             missing = codes < 0
-            mask = missing @ (1 << np.arange(len(code_names)))
-            out = pdf[[key, *targets]].copy()
-            for t in targets:
-                out[f"{t}_filled"] = False
+            mask = missing @ (1 << np.arange(codes.shape[1]))
+            out = {t: pdf[t].to_numpy(dtype=float, na_value=np.nan).copy() for t in targets}
+            own = {name: pdf[name].to_numpy(dtype=float, na_value=np.nan) for name in said}
             for m in np.unique(mask):
                 at = np.flatnonzero(mask == m)
-                pattern = tuple(bool(m >> k & 1) for k in range(len(code_names)))
+                pattern = tuple(bool(m >> k & 1) for k in range(codes.shape[1]))
                 for k, t in enumerate(targets):
                     if not pattern[k] or t not in medians:
                         continue
                     best = middle(tree.posterior(k, codes[at], pattern))
                     value = medians[t][best]
                     for name in reversed([name for name, f in said.items() if f == t]):  # the first group that has one counts
-                        own = pdf[name].to_numpy(dtype=float, na_value=np.nan)[at]
-                        same = ~np.isnan(own) & (np.searchsorted(cuts[t], own, side="right") == best)
-                        value = np.where(same, own, value)
-                    out.iloc[at, out.columns.get_loc(t)] = value
-                    out.iloc[at, out.columns.get_loc(f"{t}_filled")] = True
-            yield out
+                        same = codes[at, coding.names.index(name)] == best
+                        value = np.where(same, own[name][at], value)
+                    out[t][at] = value
+            filled = {f"{t}_filled": missing[:, k] & (t in medians) for k, t in enumerate(targets)}
+            yield pd.DataFrame({key: pdf[key], **{t: pd.Series(v).where(~np.isnan(v), None) if np.isnan(v).any() else v for t, v in out.items()}, **filled})
 
     any_missing = F.lit(False)
     for t in targets:
         any_missing |= F.col(t).isNull()
     flags = [F.lit(False).alias(f"{t}_filled") for t in targets]
-    whole = encoded.where(~any_missing).select(key, *targets, *flags)
+    whole = known.where(~any_missing).select(key, *targets, *flags)
     kind = rows.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, " + ", ".join(f"{t} double" for t in targets) + ", " + ", ".join(f"{t}_filled boolean" for t in targets)
-    return whole.unionByName(encoded.where(any_missing).mapInPandas(fill, schema))
+    return whole.unionByName(known.where(any_missing).mapInPandas(fill, schema))

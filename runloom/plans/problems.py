@@ -162,34 +162,45 @@ FILLED = ("timestamp", "job_sequence", "duration_ms")
 
 
 def fillable_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of test_runs with null for what is missing, and ``commit``: the full sha, for a short reference that of the one commit of the repo it begins."""
-    ref = reference()
-    runs = table(spark, d, "test_runs").withColumn("ref", F.when(is_sha(ref) | is_short_sha(ref), ref))
-    is_short = F.coalesce(F.length("ref") < 40, F.lit(False))
-    names = short_names(runs.where(is_short).select("repo", "ref"), known_commits(table(spark, d, "commits")))
-    only = names.groupBy("repo", "ref").agg(F.min("sha").alias("sha"), F.count("*").alias("n")).where("n = 1").drop("n")
-    named = runs.where(is_short).join(only, ["repo", "ref"], "left").unionByName(runs.where(~is_short).withColumn("sha", F.col("ref")))
-    return named.select(
+    """The rows of test_runs with null for what is missing. ``commit``: the full sha; a short reference goes by its repo and text.
+    ``season``: the repo in thirty days of loading."""
+    ref, loaded = reference(), epoch_s("loaded_at")
+    return table(spark, d, "test_runs").select(
         "id",
         job_number().alias("job"),
         usable_timestamp().alias("timestamp"),
         usable_sequence().alias("job_sequence"),
         usable_duration().alias("duration_ms"),
-        epoch_s("loaded_at").alias("loaded"),
-        "repo",
+        loaded.alias("loaded"),
         "test_id",
         F.upper(trimmed("outcome")).alias("outcome"),
-        F.unhex("sha").alias("commit"),
+        F.when(is_sha(ref), ref).when(is_short_sha(ref), F.concat_ws(BY, "repo", ref)).alias("commit"),
+        F.concat_ws(BY, "repo", F.floor(loaded / (30 * 86400))).alias("season"),
     )
 
 
-def fill_runs(rows: DataFrame) -> DataFrame:
-    found = {"commit": ["timestamp", "job_sequence"]}
-    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["repo", "test_id", "outcome"], "job", ["timestamp", "job_sequence"], more_groups=found, means={"test_id": ["duration_ms"]})
+BY = "|"
+
+
+def named_by_short(commits: DataFrame):
+    """From the names of commits in ``fillable_runs`` to the full sha of those that begin one commit of their repo only."""
+
+    def names(of: DataFrame) -> DataFrame:
+        short = of.where(F.col("commit").contains(BY)).select("commit", F.substring_index("commit", BY, 1).alias("repo"), F.substring_index("commit", BY, -1).alias("ref"))
+        found = short_names(short, known_commits(commits)).groupBy("repo", "ref").agg(F.min("sha").alias("_of"), F.count("*").alias("n")).where("n = 1")
+        return found.select(F.concat_ws(BY, "repo", "ref").alias("commit"), "_of")
+
+    return names
+
+
+def fill_runs(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    times = ["timestamp", "job_sequence"]
+    means = {"test_id": ["duration_ms"], "season": times}
+    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["outcome"], {"job": times, "commit": times}, means, {"commit": named_by_short(commits)})
 
 
 def filled_runs(spark: SparkSession, d: str) -> DataFrame:
-    return fill_runs(fillable_runs(spark, d))
+    return fill_runs(fillable_runs(spark, d), table(spark, d, "commits"))
 
 
 @query
