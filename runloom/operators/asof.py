@@ -2,9 +2,13 @@
 
 Versions are bitemporal: valid from ``valid_from``, recorded at ``known_at`` (null: when valid). What holds at time
 t is the version with the greatest (valid_from, known_at, version_id) among those with both times <= t. As t grows
-this is a step function that only changes when a version enters, at the later of its two times. Each attribute keeps
-its own history of such steps, equal neighbours merged, so an attribute that rarely changes has few steps however
-often the others do, and late records of one attribute never split the history of another.
+this is a step function that only changes when a version enters, at the later of its two times. Each attribute is
+taken out of the versions before anything else and keeps its own change history, equal neighbours merged, so an
+attribute that rarely changes has few changes however often the others do, and late records of one attribute never
+touch the history of another.
+
+All histories, one row per change of one attribute, and the events lie on one time axis per entity; each
+attribute has its own last-known match there, and the matches of an event come back as its columns.
 """
 
 from __future__ import annotations
@@ -15,63 +19,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.functions.commits import commit_times, known_commits
-from runloom.functions.keys import FIRST_TIMESTAMP, epoch_s, reference, usable_timestamp
+from runloom.functions.keys import epoch_s, reference, usable_timestamp
+from runloom.operators.past import strictly_before
 
-PERIOD_S = 30 * 86400
 SHARED = "*"
+ENTITY = ["scope", "test_id"]
 
 
-def state_steps(versions: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """(scope, test_id, at, state): from second ``at`` on, ``state`` holds the version that applies.
+def attribute_histories(versions: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """(scope, test_id, attribute, at, value): from second ``at`` on, the attribute has this value; value is a struct of one field per
+    attribute, of which only its own is set. Versions without valid_from never apply.
 
-    Versions entering in the same second are combined before the window, whose running maximum streams over a key's
-    sorted rows. Versions without valid_from never apply.
+    A version becomes one row per attribute. Those of an attribute that enter in the same second are combined before the
+    window, whose running maximum and comparison with the row before stream over the sorted rows of one test and attribute.
     """
     known = F.greatest(F.coalesce("known_at", "valid_from"), F.col("valid_from"))
     part = F.when(F.date_trunc("second", known) < known, 1).otherwise(0)  # the first whole second not before it
     rows = versions.where(F.col("valid_from").isNotNull() & F.col("test_id").isNotNull() & F.col("scope").isNotNull())
-    rows = rows.select(
-        "scope",
-        "test_id",
-        (epoch_s(known) + part).alias("at"),
-        F.struct("valid_from", F.coalesce("known_at", "valid_from").alias("known_at"), "version_id", *[a for a in attributes if a != "version_id"]).alias("state"),
-    )
-    entered = rows.groupBy("scope", "test_id", "at").agg(F.max("state").alias("state"))
-    so_far = Window.partitionBy("scope", "test_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entered.select("scope", "test_id", "at", F.max("state").over(so_far).alias("state"))
-
-
-def attribute_history(steps: DataFrame, attribute: str, last_period: int) -> DataFrame:
-    """One attribute's own change history, cut at period borders: (h_scope, h_test, h_period, h_from, h_to, attribute)."""
-    by_time = Window.partitionBy("scope", "test_id").orderBy("at")
-    value = F.col(f"state.{attribute}")
-    rows = steps.select("scope", "test_id", "at", value.alias(attribute), F.lag(F.struct(value.alias("v"))).over(by_time).alias("before"))
-    changes = rows.where(F.col("before").isNull() | ~F.col("before.v").eqNullSafe(F.col(attribute)))
-    spans = changes.withColumn("until", F.lead("at").over(by_time))
-    first, last = period(F.col("at"), last_period), F.when(F.col("until").isNull(), last_period).otherwise(period(F.col("until") - 1, last_period))
-    return spans.select(F.col("scope").alias("h_scope"), F.col("test_id").alias("h_test"), F.explode(F.sequence(first, last)).alias("h_period"), F.col("at").alias("h_from"), F.col("until").alias("h_to"), attribute)
-
-
-def period(t, last_period: int):
-    """The period of a second; all before the first usable second are one, all after the last period belong to it."""
-    return F.least(F.greatest(F.floor(t / PERIOD_S), F.lit(FIRST_TIMESTAMP // PERIOD_S)), F.lit(last_period)).cast("int")
-
-
-def as_known_at(events: DataFrame, versions: DataFrame, attributes: Sequence[str], last_period: int) -> DataFrame:
+    order = [F.col("valid_from"), F.coalesce("known_at", "valid_from").alias("known_at"), F.col("version_id")]
+    own = lambda a: F.struct(*[(F.col(b) if a == b else F.lit(None).cast(versions.schema[b].dataType)).alias(b) for b in attributes])
+    long = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), own(a).alias("value")) for a in attributes])).alias("x")
+    rows = rows.select(*ENTITY, (epoch_s(known) + part).alias("at"), F.struct(*order).alias("rank"), long)
+    entered = rows.groupBy(*ENTITY, "x.attribute", "at").agg(F.max(F.struct("rank", "x.value")).alias("state"))
+    by_time = Window.partitionBy(*ENTITY, "attribute").orderBy("at")
+    holds = entered.withColumn("value", F.max("state").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))["value"])
+    before = F.lag(F.struct("value")).over(by_time)
+    changes = holds.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before.value").eqNullSafe(F.col("value")))
+    return changes.select(*ENTITY, "attribute", "at", "value")
+
+
+def as_known_at(events: DataFrame, versions: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """``events`` (scope, test_id, t and what else is to be carried) with each attribute as known at t, else null.
 
-    One last-known match per attribute: an equi-join on (scope, test, period) with the time range as its rest, so
-    neither a key's whole history nor all its events meet in one place. The events are shuffled once: all matches
-    join on the same keys. An attribute that is null in the version that applies is null in the result.
+    Events and changes are range-partitioned by entity and time, so an entity with any share of the events, or any number of
+    changes, lies in as many tasks as it needs; what was known before a task's part is one row per task and
+    entity. Events meet no table in a join and are not multiplied. An attribute that is null in the version that applies
+    is null in the result; events without scope or test_id have nulls; repeated events come out repeated.
     """
-    steps = state_steps(versions, attributes)
-    out = events.withColumn("period", period(F.col("t"), last_period))
-    for a in attributes:
-        h = attribute_history(steps, a, last_period)
-        on = (F.col("scope") == F.col("h_scope")) & (F.col("test_id") == F.col("h_test")) & (F.col("period") == F.col("h_period"))
-        on &= (F.col("h_from") <= F.col("t")) & (F.col("h_to").isNull() | (F.col("t") < F.col("h_to")))
-        out = out.join(h, on, "left").drop("h_scope", "h_test", "h_period", "h_from", "h_to")
-    return out.drop("period")
+    carried = [c for c in events.columns if c not in ENTITY]
+    changes = attribute_histories(versions, attributes).select(*ENTITY, (2 * F.col("at")).alias("_time"), "attribute", "value")
+    both = events.withColumn("_time", 2 * F.col("t") + 1).withColumn("_event", F.lit(True)).unionByName(changes, allowMissingColumns=True)
+    latest = {f"_last_{a}": F.when(F.col("attribute") == a, F.struct("_time", F.col(f"value.{a}").alias("v"))) for a in attributes}
+    both = both.select(*ENTITY, *carried, "_time", "_event", *[c.alias(n) for n, c in latest.items()])
+    found = strictly_before(both, ENTITY, "_time", maxima={f"_of_{a}": F.col(f"_last_{a}") for a in attributes}).where("_event")
+    return found.select(*ENTITY, *carried, *[F.col(f"_of_{a}.v").alias(a) for a in attributes])
 
 
 def event_times(test_runs: DataFrame, commits: DataFrame) -> DataFrame:
@@ -86,17 +77,11 @@ def event_times(test_runs: DataFrame, commits: DataFrame) -> DataFrame:
     return timed.unionByName(rest.join(times, ["repo", "ref"]).select("id", "repo", "test_id", "t").where(F.col("t").isNotNull()))
 
 
-def last_period_of(test_runs: DataFrame) -> int:
-    """The period of the latest loading; an empty table has the first period."""
-    latest = test_runs.agg(F.max("loaded_at").alias("at")).select(epoch_s("at")).first()[0]
-    return max(latest or 0, FIRST_TIMESTAMP) // PERIOD_S
-
-
 def run_attributes(test_runs: DataFrame, commits: DataFrame, owners: DataFrame, shared: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """(id, test_id, t, attributes...) of each row with an event time. Tests in ``shared`` (a table of fixed size) are
-    looked up by test_id alone, all others by repo and test_id."""
+    """(id, test_id, t, attributes...) of each row with an event time. Tests in ``shared`` are looked up by test_id alone, all others
+    by repo and test_id."""
     versions = owners.withColumnRenamed("repo", "scope").unionByName(shared.withColumn("scope", F.lit(SHARED)))
-    of_all = F.broadcast(shared.select(F.col("test_id").alias("s_test")).distinct())
+    of_all = shared.select(F.col("test_id").alias("s_test")).distinct()  # the engine broadcasts it by its size, which the table's definition fixes
     events = event_times(test_runs, commits).join(of_all, F.col("test_id") == F.col("s_test"), "left")
     events = events.select("id", F.when(F.col("s_test").isNotNull(), SHARED).otherwise(F.col("repo")).alias("scope"), "test_id", "t")
-    return as_known_at(events, versions, attributes, last_period_of(test_runs)).drop("scope")
+    return as_known_at(events, versions, attributes).drop("scope")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runloom.functions.keys import is_sha, is_short_sha, reference
 
 HEAVY_ROWS = 200_000  # most commits rows that are broadcast for the heavy keys
-HEAVY_SHARE = 2000  # a key is heavy with at least 1 / HEAVY_SHARE of all references: at most so many keys are
+HEAVY_SHARE = 10_000  # a key is heavy with at least 1 / HEAVY_SHARE of all references: at most so many keys are
 BLOCK = 1024  # ids of one key are gathered in arrays of at most so many
 
 
@@ -53,7 +53,7 @@ def orphan_references(refs: DataFrame, commits: DataFrame) -> DataFrame:
 
     counts = refs.groupBy("repo", "key").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = [(r.repo, r.key) for r in counts.where((F.col("n") >= max(1000, total // HEAVY_SHARE)) & F.col("repo").isNotNull() & F.col("key").isNotNull()).limit(HEAVY_SHARE).collect()]
+    heavy = [(r.repo, r.key) for r in counts.where((F.col("n") >= total // HEAVY_SHARE + 1) & F.col("repo").isNotNull() & F.col("key").isNotNull()).collect()]
 
     def check(part: DataFrame, shas: DataFrame, small: bool) -> list[DataFrame]:
         """Full shas and short ones apart: each is an equi-join."""

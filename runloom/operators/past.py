@@ -28,7 +28,10 @@ def strictly_before(df: DataFrame, keys: Sequence[str], time: str, sums: Mapping
     here = Window.partitionBy("_part", *keys).orderBy(time)
     here = (here.rowsBetween if distinct else here.rangeBetween)(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"_h_{n}": F.coalesce(F.sum(f"_v_{n}").over(here), F.lit(0)) for n in sums} | {f"_h_{n}": F.max(f"_v_{n}").over(here) for n in maxima})
-    out = rows.join(carried, ["_part", *keys])
+    same = F.col("_part") == F.col("_c_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    out = rows.join(carried.withColumnsRenamed({k: f"_c_{k}" for k in keys} | {"_part": "_c_part"}), same)
     return out.select(*df.columns, *[(F.col(f"_h_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums], *[F.coalesce(f"_h_{n}", f"_c_{n}").alias(n) for n in maxima])
 
 

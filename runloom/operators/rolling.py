@@ -2,9 +2,9 @@
 
 The window is a two-stack queue over a monoid: values enter at the front stack, whose running aggregate is
 kept, and leave from the back stack, whose suffix aggregates were computed when the front was last flipped over.
-No value is ever subtracted, so aggregates that cannot be undone (max, min) work as well as sums. For one row a
-day the flips come every ``days`` rows; a batch of entities is therefore laid out on a day axis in blocks of
-that length, and a flip is one reversed accumulate over all blocks at once.
+No value is ever subtracted, so aggregates that cannot be undone (max, min) work as well as sums. An element of the
+queue is a day of many entities at once, each entity a lane that starts with its own first day: the lanes of a sorted
+partition push, flip and pop together, as array operations.
 """
 
 from __future__ import annotations
@@ -27,50 +27,66 @@ class Monoid:
     zero: float
 
 
-SLICE_DAYS = 200_000
+SLICE_DAYS = 500_000
 SUM = Monoid(np.add, 0)
 MAX = Monoid(np.maximum, -np.inf)
 MIN = Monoid(np.minimum, np.inf)
 
 
 class TwoStackQueue:
-    """The queue for one entity, pushed and popped one value at a time."""
+    """The active window of many lanes at once: what is pushed has one value (or row of values) per lane.
+
+    Lanes that have ended drop out at the end: a push of fewer lanes than before narrows the queue.
+    """
 
     def __init__(self, monoid: Monoid):
-        self.monoid, self.front, self.total, self.back = monoid, [], monoid.zero, []
+        self.combine, self.zero = monoid.combine, monoid.zero
+        self.front: list[np.ndarray] = []
+        self.back: list[np.ndarray] = []  # suffix aggregates, the oldest day's on top
+        self.total: np.ndarray | None = None  # of the front
+        self.lanes = 0
 
-    def push(self, value: float) -> None:
-        self.front.append(value)
-        self.total = self.monoid.combine(self.total, value)
+    def push(self, values: np.ndarray) -> None:
+        self.lanes = len(values)
+        self.front.append(values)
+        self.total = values if self.total is None else self.combine(self.total[: self.lanes], values)
 
     def pop(self) -> None:
         if not self.back:  # flip
-            kept = self.monoid.zero
-            for value in reversed(self.front):
-                kept = self.monoid.combine(value, kept)
+            kept = None
+            for values in reversed(self.front):
+                values = values[: self.lanes]
+                kept = values if kept is None else self.combine(values, kept)
                 self.back.append(kept)
-            self.front, self.total = [], self.monoid.zero
+            self.front, self.total = [], None
         self.back.pop()
 
-    def aggregate(self) -> float:
-        return self.monoid.combine(self.back[-1], self.total) if self.back else self.total
+    def aggregate(self) -> np.ndarray:
+        if self.back and self.total is not None:
+            return self.combine(self.back[-1][: self.lanes], self.total[: self.lanes])
+        if self.back:
+            return self.back[-1][: self.lanes]
+        return self.total[: self.lanes]
 
 
 def trailing(values: np.ndarray, starts: np.ndarray, days: int, monoid: Monoid) -> np.ndarray:
-    """The aggregate of each value and the ``days - 1`` before it within its entity.
+    """The aggregate of each value (or row of values) and the ``days - 1`` before it within its entity.
 
-    ``starts``: where each entity's values begin. The same as one TwoStackQueue an entity, for all at once.
+    ``starts``: where each entity's values begin. The longest entities come first, so that those which still have a
+    day are always the first lanes.
     """
     lengths = np.diff(np.append(starts, len(values)))
-    room = (lengths + 2 * days - 1) // days * days  # a block of identities before each entity, and blocks filled up
-    at = np.repeat(np.cumsum(room) - room + days - starts, lengths) + np.arange(len(values))
-    laid = np.full(int(room.sum()), monoid.zero, dtype=values.dtype)
-    laid[at] = values
-    blocks = laid.reshape(-1, days)
-    front = monoid.combine.accumulate(blocks, axis=1).reshape(-1)  # running aggregate of what was pushed since the flip
-    back = monoid.combine.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)  # what is left of the flipped block
-    first = at - days + 1
-    return np.where(at % days == days - 1, front[at], monoid.combine(back[first], front[at]))
+    order = np.argsort(-lengths, kind="stable")
+    first, lengths = starts[order], lengths[order]
+    lanes = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")  # how many have a k-th day
+    out, queue = np.empty_like(values), TwoStackQueue(monoid)
+    for k, n in enumerate(lanes):
+        at = first[:n] + k
+        queue.push(values[at])
+        if k >= days:
+            queue.pop()
+        out[at] = queue.aggregate()
+    return out
 
 
 def trailing_totals(
@@ -89,7 +105,6 @@ def trailing_totals(
     Rows with a null entity or day are left out, null measures count as 0 (maxima: as none); other columns are not carried.
     """
     names = [*measures, *maxima]
-    zero = {m: 0.0 for m in measures} | {m: -np.inf for m in maxima}
     kind = daily.schema[entity].dataType
     fields = [T.StructField(entity, kind), T.StructField(day, T.LongType()), T.StructField("active", T.BooleanType())]
     fields += [T.StructField(m, T.DoubleType()) for m in names]
@@ -111,17 +126,19 @@ def trailing_totals(
         active = np.zeros(n, dtype=bool)
         active[place] = True
         out["active"] = active
-        for m in names:
-            full = np.full(n, zero[m])
-            got = pdf[m].to_numpy(dtype=float, na_value=np.nan)
-            full[place] = np.where(np.isnan(got), zero[m], got)
-            out[m] = full
-            for w in windows:
-                total = trailing(full, starts, w, MAX if m in maxima else SUM)
-                if m in maxima:
-                    out[f"{m}_max_{w}d"] = np.where(np.isinf(total), np.nan, total)
-                else:
-                    out[f"{m}_{w}d"], out[f"{m}_avg_{w}d"] = total, total / w
+        for kind, own in ((SUM, list(measures)), (MAX, list(maxima))):
+            full = np.full((n, len(own)), float(kind.zero))
+            for k, m in enumerate(own):
+                got = pdf[m].to_numpy(dtype=float, na_value=np.nan)
+                full[place, k] = np.where(np.isnan(got), kind.zero, got)
+                out[m] = full[:, k]
+            for w in windows if own else ():
+                total = trailing(full, starts, w, kind)
+                for k, m in enumerate(own):
+                    if kind is MAX:
+                        out[f"{m}_max_{w}d"] = np.where(np.isinf(total[:, k]), np.nan, total[:, k])
+                    else:
+                        out[f"{m}_{w}d"], out[f"{m}_avg_{w}d"] = total[:, k], total[:, k] / w
         for m in maxima:
             out[m] = np.where(np.isinf(out[m]), np.nan, out[m])
         return pd.DataFrame(out)[order]

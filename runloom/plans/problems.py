@@ -110,7 +110,7 @@ def attributes_at_event(spark: SparkSession, d: str, attributes: tuple[str, ...]
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return attributes_at_event(spark, d, ("version_id",)).where("version_id is not null").select("id", "version_id")
+    return attributes_at_event(spark, d, ATTRIBUTES).where("version_id is not null").select("id", "version_id")
 
 
 @query

@@ -10,21 +10,28 @@ from tests.conftest import rows
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=40), min_size=1, max_size=5), st.integers(1, 12))
-def test_trailing_equals_queue_and_brute_force(entities, days):
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=40), min_size=1, max_size=5), st.integers(1, 12))
+def test_trailing_equals_brute_force(entities, days):
     values = np.array([v for e in entities for v in e], dtype=float)
     starts = np.cumsum([0, *[len(e) for e in entities[:-1]]])
-    for monoid, f in ((rolling.SUM, sum), (rolling.MAX, max)):
-        want, queued = [], []
-        for e in entities:
-            q = rolling.TwoStackQueue(monoid)
-            for k, v in enumerate(e):
-                want.append(f(e[max(0, k - days + 1) : k + 1]))
-                q.push(v)
-                if k >= days:
-                    q.pop()
-                queued.append(q.aggregate())
-        assert rolling.trailing(values, starts, days, monoid).tolist() == want == queued
+    for monoid, f in ((rolling.SUM, sum), (rolling.MAX, max), (rolling.MIN, min)):
+        want = [[f(v[i] for v in e[max(0, k - days + 1) : k + 1]) for i in (0, 1)] for e in entities for k in range(len(e))]
+        assert rolling.trailing(values, starts, days, monoid).tolist() == want
+        assert rolling.trailing(values[:, 0], starts, days, monoid).tolist() == [w[0] for w in want]
+    assert rolling.trailing(values[:0], starts[:0], days, rolling.SUM).size == 0
+
+
+def test_queue():
+    q = rolling.TwoStackQueue(rolling.MAX)
+    q.push(np.array([3.0, 1.0, 9.0]))
+    q.push(np.array([2.0, 5.0]))  # the third lane has ended
+    assert q.aggregate().tolist() == [3.0, 5.0]
+    q.pop()
+    assert q.aggregate().tolist() == [2.0, 5.0] and not q.front
+    q.push(np.array([1.0]))
+    assert q.aggregate().tolist() == [2.0]
+    q.pop()
+    assert q.aggregate().tolist() == [1.0] and not q.back
 
 
 def test_days_without_activity(spark):
