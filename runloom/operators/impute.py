@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from runloom.session import stored
 
 Aliases = Callable[[DataFrame], DataFrame]
+SMALL = 1_000_000
+GROUP = "of_"
 
 @dataclass
 class Bins:
@@ -135,26 +137,39 @@ def joined(rows: DataFrame, stats: DataFrame, group: str, *spread_by: str) -> Da
     return rows.withColumn("_salt", salt).join(stats.withColumn("_salt", F.lit(0)), [group, "_salt"], "left").drop("_salt")
 
 
-def least_of_groups(rows: DataFrame, key: str, least: Mapping[str, Sequence[str]], names: Mapping[tuple[str, str], str], aliases: Mapping[str, Aliases]) -> DataFrame:
-    """``rows`` with the least value the other rows of each group have in each of its fields.
+@dataclass
+class Groups:
+    """Which groups say what: ``least`` and ``means`` by way of the combinations of groups, ``own_means`` each for itself; per group its fields."""
+
+    least: dict[str, Sequence[str]]
+    means: dict[str, Sequence[str]]
+    own_means: dict[str, Sequence[str]]
+
+    def __post_init__(self) -> None:
+        self.combined = list(dict.fromkeys([*self.least, *self.means]))
+        self.all = list(dict.fromkeys([*self.combined, *self.own_means]))
+        kinds = (("least", self.least), ("mean", self.means), ("mean", self.own_means))
+        self.said = {f"{kind}_{g}_{f}": (kind, g, f) for kind, of in kinds for g, fields in of.items() for f in fields}
+
+
+def combined_evidence(rows: DataFrame, key: str, groups: Groups, aliases: Mapping[str, DataFrame]) -> DataFrame:
+    """``rows`` with what the other rows of the ``least`` and ``means`` groups say.
 
     The rows of each combination of groups are combined first; groups are added up from these combinations, and each
     row meets its combination, and so all of its groups, in one join. A value that only the row itself has says nothing.
     """
-    by, fields = list(least), sorted({f for own in least.values() for f in own})
-    ends = [x for f in fields for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"), F.count(f).alias(f"_n_{f}"))]
+    by = groups.combined
+    fields = sorted({f for of in (groups.least, groups.means) for own in of.values() for f in own})
+    ends = [x for f in fields for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"), F.sum(log_units(f)).alias(f"_sum_{f}"), F.count(f).alias(f"_n_{f}"))]
     cells = stored(rows.groupBy(*by).agg(*ends), "cells")
     out = cells.select(*by)
     for k, g in enumerate(by):
-        own = cells
-        if g in aliases:
-            of = aliases[g](cells.select(g).where(F.col(g).isNotNull()).distinct())
-            own = joined(own, of, g, *by).withColumn("_of", F.coalesce("_of", g))
-            out = joined(out, of, g, *by).withColumn("_of", F.coalesce("_of", g))
-        else:
-            own, out = own.withColumn("_of", F.col(g)), out.withColumn("_of", F.col(g))
-        made = [x for f in least[g] for x in (F.min(f"_lo_{f}").alias(f"_lo_{k}_{f}"), F.max(f"_hi_{f}").alias(f"_hi_{k}_{f}"), F.sum(f"_n_{f}").alias(f"_n_{k}_{f}"))]
-        out = joined(out, own.where(F.col("_of").isNotNull()).groupBy("_of").agg(*made), "_of", *by).drop("_of")
+        made = [x for f in groups.least.get(g, ()) for x in (F.min(f"_lo_{f}").alias(f"_lo_{k}_{f}"), F.max(f"_hi_{f}").alias(f"_hi_{k}_{f}"))]
+        made += [F.sum(f"_sum_{f}").alias(f"_sum_{k}_{f}") for f in groups.means.get(g, ())]
+        made += [F.sum(f"_n_{f}").alias(f"_n_{k}_{f}") for f in dict.fromkeys([*groups.least.get(g, ()), *groups.means.get(g, ())])]
+        of = lambda df: (joined(df, aliases[g], g, *by) if g in aliases else df.withColumn("_of", F.lit(None).cast("bigint"))).withColumn("_of", F.coalesce("_of", g))  # noqa: B023, E731
+        sums = of(cells).where(F.col("_of").isNotNull()).groupBy("_of").agg(*made)
+        out = joined(of(out), sums, "_of", *by).drop("_of")
     none = F.lit(True)
     for g in by:
         none &= F.col(g).isNull()
@@ -163,23 +178,31 @@ def least_of_groups(rows: DataFrame, key: str, least: Mapping[str, Sequence[str]
     for g in by:
         same &= F.col(g).eqNullSafe(F.col(f"_c_{g}"))
     rows = rows.withColumn("_salt", F.when(none, F.pmod(F.xxhash64(key), F.lit(4096))).otherwise(0).cast("int")).join(renamed, same, "left")
-    for k, g in enumerate(by):
-        for f in least[g]:
-            lo, hi = F.col(f"_lo_{k}_{f}"), F.col(f"_hi_{k}_{f}")
+    columns = {}
+    for name, (kind, g, f) in groups.said.items():
+        if g in by and f in (groups.least if kind == "least" else groups.means).get(g, ()):
+            k = by.index(g)
             others = F.col(f"_n_{k}_{f}") - F.col(f).isNotNull().cast("int")
-            rows = rows.withColumn(names[g, f], F.when(others > 0, F.when((F.col(f) == lo) & (others == 1), hi).otherwise(lo)).cast("double"))
-    return rows.drop("_salt", *renamed.columns)
+            lo, hi = F.col(f"_lo_{k}_{f}"), F.col(f"_hi_{k}_{f}")
+            columns[name] = F.when(others > 0, F.when((F.col(f) == lo) & (others == 1), hi).otherwise(lo)) if kind == "least" else mean_of_others(f, F.col(f"_sum_{k}_{f}"), others)
+    return rows.withColumns(columns).drop("_salt", *renamed.columns)
+
 
+def mean_of_others(f: str, total: Column, others: Column) -> Column:
+    return F.when(others > 0, F.expm1((total - F.coalesce(log_units(f), F.lit(0))) / others / 1e6)).cast("float")
 
-def means_of_groups(rows: DataFrame, key: str, means: Mapping[str, Sequence[str]], names: Mapping[tuple[str, str], str]) -> DataFrame:
-    """``rows`` with the mean, on a logarithmic scale, of each field over the other rows of each group."""
-    for g, fields in means.items():
+
+def own_evidence(rows: DataFrame, key: str, groups: Groups, small: int = SMALL) -> DataFrame:
+    """``rows`` with the mean, on a logarithmic scale, of each field over the other rows of each of the ``own_means`` groups.
+
+    The groups' sums are stored and counted: up to ``small`` of them (some 100 MB) are broadcast, more are joined by a shuffle of the rows.
+    """
+    source = rows
+    for g, fields in groups.own_means.items():
         made = [x for f in fields for x in (F.sum(log_units(f)).alias(f"_sum_{f}"), F.count(f).alias(f"_n_{f}"))]
-        rows = joined(rows, rows.where(F.col(g).isNotNull()).groupBy(g).agg(*made), g, key)
-        for f in fields:
-            others = F.col(f"_n_{f}") - F.col(f).isNotNull().cast("int")
-            mean = (F.col(f"_sum_{f}") - F.coalesce(log_units(f), F.lit(0))) / others / 1e6
-            rows = rows.withColumn(names[g, f], F.when(others > 0, F.expm1(mean)))
+        sums = stored(source.where(F.col(g).isNotNull()).groupBy(g).agg(*made), "sums")
+        rows = rows.join(F.broadcast(sums), g, "left") if sums.count() <= small else joined(rows, sums, g, key)
+        rows = rows.withColumns({f"mean_{g}_{f}": mean_of_others(f, F.col(f"_sum_{f}"), F.col(f"_n_{f}") - F.col(f).isNotNull().cast("int")) for f in fields})
         rows = rows.drop(*[f"_sum_{f}" for f in fields], *[f"_n_{f}" for f in fields])
     return rows
 
@@ -247,6 +270,7 @@ def fill_missing(
     categorical: Sequence[str] = (),
     least: Mapping[str, Sequence[str]] | None = None,
     means: Mapping[str, Sequence[str]] | None = None,
+    own_means: Mapping[str, Sequence[str]] | None = None,
     aliases: Mapping[str, Aliases] | None = None,
     bins: int = 48,
     top: int = 512,
@@ -257,8 +281,9 @@ def fill_missing(
     numeric, categorical: further fields that help; categorical ones are meant to have few values. A column of many values
     (a job, a test, a repo) is given as a group instead, and what its other rows say becomes a field, for every
     value it has: least: groups, each with the targets of which the least value counts (a value that only the row itself has
-    says nothing); means: groups with the targets of which the mean of logarithms counts. aliases: for a group that goes by
-    several names, a function from its names to (name, _of).
+    says nothing); means: groups with the targets of which the mean of logarithms counts; own_means: the same for groups that
+    would cut the combinations of the others into single rows. aliases: for a group that goes by
+    several names, a function from its names (repeated ones among them) to (name, _of). Groups are told apart by 64-bit hashes.
 
     A null is a missing value; NaN must have been made null. A target without any value in the whole table stays null
     and unmarked. Repeated rows are filled alike; other columns are not carried. A group may hold any share of the
@@ -266,10 +291,11 @@ def fill_missing(
     """
     spark = rows.sparkSession
     fields = [*targets, *numeric]
-    least, means = dict(least or {}), dict(means or {})
-    names = {(g, f): f"least{k}_{f}" for k, g in enumerate(least) for f in least[g]}
-    mean_names = {(g, f): f"mean{k}_{f}" for k, g in enumerate(means) for f in means[g]}
-    rows = stored(rows.select(*dict.fromkeys([key, *least, *means, *fields, *categorical])), "rows")  # read column by column below
+    groups = Groups(dict(least or {}), dict(means or {}), dict(own_means or {}))
+    aliases = dict(aliases or {})
+    told = [F.when(F.col(g).isNotNull(), F.xxhash64(g)).alias(f"{GROUP}{g}") for g in groups.all] + [F.col(g).alias(f"_name_{g}") for g in aliases]
+    taken = rows.select(*dict.fromkeys([key, *groups.all, *fields, *categorical]))
+    rows = stored(taken.select(*told, *dict.fromkeys([key, *fields, *categorical])), "rows")  # read column by column below
     points = [k / (2 * bins) for k in range(2 * bins + 1)]
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), points, 1000).alias(f) for f in fields]).first()
     cut = {f: Bins.of(found[f]) for f in fields}
@@ -278,15 +304,21 @@ def fill_missing(
     for c in categorical:
         codes = F.broadcast(frequent(slim.select(F.col(c).cast("string").alias(c)), c, top)).withColumnsRenamed({"code": f"_{c}_code", c: f"_{c}"})  # at most ``top`` rows
         code = F.when(F.col(c).isNotNull(), F.coalesce(f"_{c}_code", top + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(buckets)))).cast("smallint")
-        slim = slim.join(codes, F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(f"_code_{c}", code).drop(f"_{c}_code", f"_{c}")
-    slim = means_of_groups(slim, key, means, mean_names)
-    if least:
-        slim = least_of_groups(slim, key, least, names, aliases or {})
-    said = {name: f for (_, f), name in [*names.items(), *mean_names.items()]}
+        slim = slim.join(codes, F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(f"_code_{c}", code).drop(f"_{c}_code", f"_{c}", c)
+    slim = slim.drop(*[f"_name_{g}" for g in aliases])
+    named = Groups(*[{f"{GROUP}{g}": f for g, f in of.items()} for of in (groups.least, groups.means, groups.own_means)])
+    slim = own_evidence(slim, key, named).drop(*[g for g in named.own_means if g not in named.combined])
+    if named.combined:
+        of = {}
+        for g, find in aliases.items():
+            names = stored(find(rows.select(F.col(f"_name_{g}").alias(g)).where(F.col(g).isNotNull())), "aliases")
+            of[f"{GROUP}{g}"] = names.select(F.xxhash64(g).alias(f"{GROUP}{g}"), F.xxhash64("_of").alias("_of"))
+        slim = combined_evidence(slim, key, named, of)
+    said = {name: f for name, (_, _, f) in named.said.items()}
     kept = [*fields, *said]
     coding = Coding(kept, [cut[f].cuts for f in fields] + [cut[f].cuts for f in said.values()], [f"_code_{c}" for c in categorical])
     sizes = [max(1, cut[f].size) for f in [*fields, *said.values()]] + [top + buckets] * len(categorical)
-    known = stored(slim.select(key, *[F.col(c).cast("double").alias(c) for c in kept], *coding.categorical), "known")
+    known = stored(slim.select(key, *kept, *coding.categorical), "known").withColumns({t: F.col(t).cast("double") for t in targets})
 
     tree = Tree.learn(coding.names, sizes, contingency(known, coding, sizes))
     fillable = [t for t in targets if cut[t].size]

@@ -162,7 +162,7 @@ FILLED = ("timestamp", "job_sequence", "duration_ms")
 
 
 def fillable_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of test_runs with null for what is missing. ``commit``: the full sha; a short reference goes by its repo and text.
+    """The rows of test_runs with null for what is missing. ``commit``: the bytes of the full sha; a short reference goes by its repo and text.
     ``season``: the repo in thirty days of loading."""
     ref, loaded = reference(), epoch_s("loaded_at")
     return table(spark, d, "test_runs").select(
@@ -174,7 +174,7 @@ def fillable_runs(spark: SparkSession, d: str) -> DataFrame:
         loaded.alias("loaded"),
         "test_id",
         F.upper(trimmed("outcome")).alias("outcome"),
-        F.when(is_sha(ref), ref).when(is_short_sha(ref), F.concat_ws(BY, "repo", ref)).alias("commit"),
+        F.when(is_sha(ref), F.unhex(ref)).when(is_short_sha(ref), F.concat_ws(BY, "repo", ref).cast("binary")).alias("commit"),
         F.concat_ws(BY, "repo", F.floor(loaded / (30 * 86400))).alias("season"),
     )
 
@@ -186,17 +186,18 @@ def named_by_short(commits: DataFrame):
     """From the names of commits in ``fillable_runs`` to the full sha of those that begin one commit of their repo only."""
 
     def names(of: DataFrame) -> DataFrame:
-        short = of.where(F.col("commit").contains(BY)).select("commit", F.substring_index("commit", BY, 1).alias("repo"), F.substring_index("commit", BY, -1).alias("ref"))
+        name = F.try_validate_utf8(F.col("commit"))
+        short = of.select(F.substring_index(name, BY, 1).alias("repo"), F.substring_index(name, BY, -1).alias("ref")).where(F.length("repo") > 0)
         found = short_names(short, known_commits(commits)).groupBy("repo", "ref").agg(F.min("sha").alias("_of"), F.count("*").alias("n")).where("n = 1")
-        return found.select(F.concat_ws(BY, "repo", "ref").alias("commit"), "_of")
+        return found.select(F.concat_ws(BY, "repo", "ref").cast("binary").alias("commit"), F.unhex("_of").alias("_of"))
 
     return names
 
 
 def fill_runs(rows: DataFrame, commits: DataFrame) -> DataFrame:
     times = ["timestamp", "job_sequence"]
-    means = {"test_id": ["duration_ms"], "season": times}
-    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["outcome"], {"job": times, "commit": times}, means, {"commit": named_by_short(commits)})
+    least, aliases = {"job": times, "commit": times}, {"commit": named_by_short(commits)}
+    return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["outcome"], least, {"season": times}, {"test_id": ["duration_ms"]}, aliases)
 
 
 def filled_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -97,15 +97,18 @@ def test_edges(spark):
 
 def test_groups_by_hand(spark):
     """What others say, with null groups, several names of a group and a value that only the row itself has."""
-    rows = [(1, "a", "x", 5.0), (2, "a", "x", 7.0), (3, "a", None, None), (4, "b", "X", 3.0), (5, None, "x", None), (6, None, None, 9.0), (7, None, None, 8.0), (8, "c", None, 4.0)]
-    df = spark.createDataFrame(rows, "id bigint, g string, h string, v double")
-    alias = {"h": lambda names: names.where("h = 'X'").select("h", F.lit("x").alias("_of"))}
-    names = {("g", "v"): "of_g", ("h", "v"): "of_h"}
-    got = {r.id: (r.of_g, r.of_h) for r in impute.least_of_groups(df, "id", {"g": ["v"], "h": ["v"]}, names, alias).collect()}
-    assert got == {1: (7.0, 3.0), 2: (5.0, 3.0), 3: (5.0, None), 4: (None, 3.0), 5: (None, 3.0), 6: (None, None), 7: (None, None), 8: (None, None)}
-    got = {r.id: r.m for r in impute.means_of_groups(df, "id", {"g": ["v"]}, {("g", "v"): "m"}).collect()}
-    assert {k: v is None for k, v in got.items()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: True, 8: True}
-    assert got[1] == pytest.approx(7.0, abs=1e-4) and got[3] == pytest.approx(np.expm1((np.log(6) + np.log(8)) / 2), abs=1e-4)
+    rows = [(1, 1, 7, 5.0), (2, 1, 7, 7.0), (3, 1, None, None), (4, 2, 8, 3.0), (5, None, 7, None), (6, None, None, 9.0), (7, None, None, 8.0), (8, 3, None, 4.0)]
+    df = spark.createDataFrame(rows, "id bigint, g bigint, h bigint, v double")
+    alias = {"h": spark.createDataFrame([(8, 7)], "h bigint, _of bigint")}
+    groups = impute.Groups({"g": ["v"], "h": ["v"]}, {"g": ["v"]}, {})
+    got = {r.id: (r.least_g_v, r.least_h_v, r.mean_g_v) for r in impute.combined_evidence(df, "id", groups, alias).collect()}
+    assert {k: x[:2] for k, x in got.items()} == {1: (7.0, 3.0), 2: (5.0, 3.0), 3: (5.0, None), 4: (None, 3.0), 5: (None, 3.0), 6: (None, None), 7: (None, None), 8: (None, None)}
+    mean = np.expm1((np.log(6) + np.log(8)) / 2)
+    for small in (0, 100):  # joined by a shuffle, broadcast
+        own = {r.id: r.mean_g_v for r in impute.own_evidence(df, "id", impute.Groups({}, {}, {"g": ["v"]}), small).collect()}
+        for of in (own, {k: x[2] for k, x in got.items()}):
+            assert {k: x is None for k, x in of.items()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: True, 8: True}
+            assert of[1] == pytest.approx(7.0, abs=1e-4) and of[3] == pytest.approx(mean, abs=1e-4)
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="the given tables are not here")
