@@ -25,19 +25,19 @@ JOB = r"try_cast(nullif(regexp_extract(trim(job_id, E' \t\n\r\x0b\x0c'), '^0*([0
 REF = r"nullif(lower(trim(commit_sha, E' \t\n\r\x0b\x0c')), '')"
 
 
-def linked_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return stored(splits.linked(splits.named_commits(table(spark, d, "test_runs"), table(spark, d, "commits"))), "labels")
+def linked_jobs(spark: SparkSession, d: str, jobs: DataFrame) -> DataFrame:
+    return stored(splits.linked(splits.named_commits(jobs, table(spark, d, "commits"))), "labels")
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.group_pairs(linked_jobs(spark, d))
+    return splits.group_pairs(linked_jobs(spark, d, splits.numbered_jobs(table(spark, d, "test_runs"))))
 
 
 @query
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
-    labels = linked_jobs(spark, d)
-    return splits.assign_splits(table(spark, d, "test_runs"), labels, SHARES)
+    jobs = stored(splits.all_jobs(table(spark, d, "test_runs")), "jobs")
+    return splits.assign_splits(jobs, linked_jobs(spark, d, jobs), SHARES)
 
 
 SQL["p1_found"] = f"""with recursive named as (
@@ -89,8 +89,9 @@ def packed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of which the packing made several pieces."""
-    return packed_documents(spark, d).where("piece > 0").select("doc_id").distinct()
+    """Documents that lie in more than one container."""
+    ends = packed_documents(spark, d).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return ends.where("first <> last").select("doc_id")
 
 
 @query

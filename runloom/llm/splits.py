@@ -2,9 +2,10 @@
 
 Linked jobs are found with a distributed union-find: every task of the scan joins its own jobs and commits into a
 local forest and passes on one row per commit and local tree; trees of different tasks that name the same commit are
-then joined, and the forests are merged level by level in ever fewer partitions. While the links left exceed what one
-task may hold, rounds of star contraction, each with local forests first, shrink them; none of it depends on the
-links fitting one task or the driver. Whole groups are then assigned largest first to the split furthest below
+then linked. The forests are merged level by level, each level in a fraction of the tasks of the one before: a task joins
+the trees whose roots it has, then roots that one node has in several tasks are linked, so that a level ends with
+stars. There are never fewer tasks than the links left need, and levels end when nothing is left to join; none of it depends
+on the links fitting one task or the driver. Whole groups are then assigned largest first to the split furthest below
 its target.
 """
 
@@ -14,15 +15,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.commits import known_commits, short_names
-from runloom.functions.keys import is_sha, job_number, reference, usable_sequence
+from runloom.functions.keys import is_sha, is_short_sha, job_number, reference, usable_sequence
 from runloom.llm.ranks import numbered
 from runloom.session import stored
 
-TASK_LINKS = 2_000_000
+TASK_LINKS = 2_000_000  # that one task holds
+FAN = 4  # a level has a fourth of the tasks of the one before
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -78,11 +80,27 @@ def _scan_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"sha": None, "node": jobs[moved], "root": jobs[of_job[moved]]})
 
 
-def named_commits(test_runs: DataFrame, commits: DataFrame) -> DataFrame:
-    """(job, sha) for the rows that name a commit: 40 digits as they stand, fewer as the commit of the repo they begin."""
-    rows = test_runs.select(job_number().alias("job"), "repo", reference().alias("ref")).where(F.col("job").isNotNull() & F.col("ref").isNotNull())
-    full = rows.where(is_sha(F.col("ref"))).select("job", F.unhex("ref").alias("sha"))
-    short = rows.where(F.length("ref") < 40)
+def numbered_jobs(test_runs: DataFrame) -> DataFrame:
+    """(job, repo, ref) of the rows whose job_id is a number."""
+    return test_runs.select(job_number().alias("job"), "repo", reference().alias("ref")).where(F.col("job").isNotNull())
+
+
+def all_jobs(test_runs: DataFrame) -> DataFrame:
+    """(job, repo, ref) of every row. A row whose job_id is no number belongs to the least job number that the repo's other rows
+    give its job_sequence, else to a job of that repo and sequence, else to one of its own; the last two have negative numbers."""
+    rows = test_runs.select("id", job_number().alias("number"), "repo", usable_sequence().alias("sequence"), reference().alias("ref"))
+    told, rest = rows.where(F.col("number").isNotNull()), rows.where(F.col("number").isNull())
+    places = rest.where(F.col("sequence").isNotNull() & F.col("repo").isNotNull()).select("repo", "sequence").distinct()
+    known = told.join(places, ["repo", "sequence"], "left_semi").groupBy("repo", "sequence").agg(F.min("number").alias("known"))
+    other = F.when(F.col("sequence").isNotNull() & F.col("repo").isNotNull(), -F.abs(F.xxhash64("repo", "sequence")) - 1).otherwise(-F.col("id") - 1)
+    rest = rest.join(known, ["repo", "sequence"], "left").select(F.coalesce("known", other).alias("job"), "repo", "ref")
+    return told.select(F.col("number").alias("job"), "repo", "ref").unionByName(rest)
+
+
+def named_commits(jobs: DataFrame, commits: DataFrame) -> DataFrame:
+    """(job, sha) for the rows of ``jobs`` (job, repo, ref) that name a commit: 40 digits as they stand, fewer as the commit of the repo they begin."""
+    full = jobs.where(is_sha(F.col("ref"))).select("job", F.unhex("ref").alias("sha"))
+    short = jobs.where(is_short_sha(F.col("ref"))).distinct()
     names = short_names(short, known_commits(commits)).select("repo", "ref", F.unhex("sha").alias("sha"))
     return full.unionByName(short.join(names, ["repo", "ref"]).select("job", "sha"))
 
@@ -95,18 +113,18 @@ def linked(pairs: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """
     local = stored(pairs.mapInPandas(_scan_forest, "sha binary, node bigint, root bigint"), "forests")
     of_sha = local.where(F.col("sha").isNotNull())
-    joined = of_sha.select("node", F.min("root").over(Window.partitionBy("sha")).alias("root")).where("node <> root")
+    least = of_sha.groupBy("sha").agg(F.min("root").alias("least"))
+    joined = of_sha.join(least, "sha").where("node <> least").select("node", F.col("least").alias("root"))
     links = stored(local.where(F.col("sha").isNull()).select("node", "root").unionByName(joined), "links")
+    tasks = max(FAN, pairs.sparkSession.sparkContext.defaultParallelism)
     while True:
-        count = links.count()
-        if count <= task_links:
-            return links.repartition(1).mapInPandas(_forests, "node bigint, root bigint")
-        parts = -(-2 * count // task_links)
-        merged = links.repartition(parts, "root").mapInPandas(_forests, "node bigint, root bigint")
-        contracted, changed = star_round(stored(merged, "level"))
+        tasks = max(tasks // FAN, -(-links.count() // task_links), 1)
+        merged = links.repartition(tasks, "root").mapInPandas(_forests, "node bigint, root bigint")
+        if tasks == 1:  # one forest: nothing outside it
+            return merged
+        links, changed = star_round(stored(merged, "level"))
         if not changed:
-            return contracted
-        links = contracted
+            return links
 
 
 def star_round(links: DataFrame) -> tuple[DataFrame, bool]:
@@ -164,16 +182,13 @@ def allot(sizes: Sequence[tuple[int, int]], shares: Sequence[float]) -> list[tup
     return out
 
 
-def assign_splits(test_runs: DataFrame, labels: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(job, group_id, rows, split) for every job, linked jobs in one split, in about the given shares of the rows.
+def assign_splits(jobs: DataFrame, labels: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(job, group_id, rows, split) for every job of ``jobs`` (one row a record), linked jobs in one split, in about the given shares of the rows.
 
-    A row whose job_id is no number belongs to the job told by its repo and job_sequence, else to one of its own; such
-    jobs have negative numbers. Only the number of groups of each size goes to the driver: sizes that differ sum up
+    Only the number of groups of each size goes to the driver: sizes that differ sum up
     to at most all rows, so there are at most sqrt(2 * rows) of them. An empty table gives no jobs.
     """
-    other = F.coalesce(-F.abs(F.xxhash64("repo", usable_sequence())) - 1, -F.col("id") - 1)
-    other = F.when(usable_sequence().isNotNull() & F.col("repo").isNotNull(), other).otherwise(-F.col("id") - 1)
-    jobs = test_runs.select(F.coalesce(job_number(), other).alias("job")).groupBy("job").agg(F.count("*").alias("rows"))
+    jobs = jobs.groupBy("job").agg(F.count("*").alias("rows"))
     jobs = stored(jobs.join(labels.withColumnRenamed("node", "job"), "job", "left").select("job", F.coalesce("root", "job").alias("group_id"), "rows"), "jobs")
     sized = stored(jobs.groupBy("group_id").agg(F.sum("rows").alias("size")), "groups")
     plan, names = [], list(shares)
@@ -183,7 +198,7 @@ def assign_splits(test_runs: DataFrame, labels: DataFrame, shares: dict[str, flo
             if n:
                 plan.append((size, at, at + n, name))
             at += n
-    plan = test_runs.sparkSession.createDataFrame(plan, "p_size bigint, lo bigint, hi bigint, split string")
+    plan = jobs.sparkSession.createDataFrame(plan, "p_size bigint, lo bigint, hi bigint, split string")
     of = (F.col("size") == F.col("p_size")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))
     split = numbered(sized, "size", "group_id").join(plan, of).select("group_id", "split")
     return jobs.join(split, "group_id").select("job", "group_id", "rows", "split")

@@ -1,21 +1,23 @@
 """The N highest-scoring items of every group.
 
-Every task turns its rows into a sorted run, ordered by group and score, and writes of each group only the first N:
-no other row of the run can be among the N of the whole. The runs are stored as a table in the shared folder, then
-bucketed by group; a loser tree merges the runs of each group and, after N outputs, moves on to the next group. A
-group of any size reaches its merging task with at most N rows per run.
+Every task turns its rows into a sorted run, ordered by group and score, and keeps of each group only the first N:
+no other row of the run can be among the N of the whole. What is left of a group in a run is one row, a segment of at most
+N scores and ties in order. The segments are stored bucketed by group, so that reading a bucket needs no further
+shuffle; a loser tree merges a group's segments and, after N outputs, seeks the next group. A group of any size
+reaches its merging task as one segment per run.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.session import stored
+from runloom.session import work_dir
 
 
 class LoserTree:
@@ -68,6 +70,71 @@ def _first_rows(keys: np.ndarray, held: object, count: int, n: int) -> tuple[np.
     return rank < n, int(lengths[-1] + (before if len(first) == 1 else 0))
 
 
+def _segments(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+    """The kept rows (group, score, tie) of a sorted batch, one row per group with its scores and ties as lists."""
+    kept = batch.filter(pa.array(keep))
+    keys = kept.column(0).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    ends = pa.array(np.append(first, len(keys)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([kept.column(0).take(pa.array(first)), pa.ListArray.from_arrays(ends, kept.column(1)), pa.ListArray.from_arrays(ends, kept.column(2))], ["g", "scores", "ties"])
+
+
+def _cut(n: int):
+    """From a task's rows in order of group and falling score to the segments of its run; a group cut by the end of a batch makes two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                keep, count = _first_rows(keys, held, count, n)
+                held = keys[-1]
+                yield _segments(batch, keep)
+
+    return run
+
+
+def _merge(n: int, names: list[str]):
+    """From segments in order of group to the first n items of each group."""
+
+    def first(group: object, segments: list[list[tuple]]) -> list[tuple]:
+        tree, out = LoserTree(segments), []
+        while len(out) < n and (item := tree.pop()) is not None:
+            out.append((group, -item[0], item[1], len(out) + 1))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, segments = None, []
+        for batch in batches:
+            types, out = [batch.schema.field(0).type, pa.float64(), pa.int64(), pa.int64()], []
+            for g, scores, ties in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if g != group:
+                    out += first(group, segments)
+                    group, segments = g, []
+                segments.append([(-s, t) for s, t in zip(scores, ties)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)], names)
+        if segments:
+            out = first(group, segments)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return run
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` stored in the shared folder as a table of as many buckets of ``column`` as a shuffle has partitions, and read back.
+
+    Each bucket is written by one task, as one file. The name in the catalog is only lent: the files stay until ``clear``.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{table}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # the path makes it an external table: its files are not touched
+    return out
+
+
 def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int) -> DataFrame:
     """(group, score, tie, rank): of each group the n rows of greatest score, equal scores by smaller ``tie`` (bigint).
 
@@ -75,55 +142,9 @@ def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int) -> DataFram
     Groups of fewer than n rows come out whole; an empty table gives no rows; other columns are not carried.
     """
     kind = rows.schema[group].dataType.simpleString()
-    schema = f"{group} {kind}, {score} double, {tie} bigint"
     rows = rows.where(F.col(group).isNotNull() & F.col(tie).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    rows = rows.select(group, F.col(score).cast("double").alias(score), F.col(tie).cast("bigint").alias(tie))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        run, held, count = TaskContext.get().partitionId(), None, 0
-        for pdf in batches:
-            if len(pdf):
-                keys = pdf[group].to_numpy()
-                keep, count = _first_rows(keys, held, count, n)
-                held = keys[-1]
-                yield pdf[keep].assign(run=run)
-
-    runs = stored(rows.sortWithinPartitions(group, F.desc(score), tie).mapInPandas(cut, schema + ", run int"), "runs")
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for pdf in batches:
-            pdf = pd.concat([kept, pdf], ignore_index=True) if kept is not None else pdf
-            if len(pdf):
-                keys = pdf[group].to_numpy()
-                inside = np.flatnonzero(keys != keys[-1])
-                end = inside[-1] + 1 if len(inside) else 0
-                kept = pdf.iloc[end:]
-                if end:
-                    yield merged(pdf.iloc[:end])
-        if kept is not None and len(kept):
-            yield merged(kept)
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, run = pdf[group].to_numpy(), pdf["run"].to_numpy()
-        new = keys[1:] != keys[:-1]
-        groups = np.append(np.flatnonzero(np.append(True, new)), len(keys))
-        starts = np.flatnonzero(np.append(True, new | (run[1:] != run[:-1])))
-        items = list(zip((-pdf[score].to_numpy()).tolist(), pdf[tie].tolist()))
-        ends = np.append(starts[1:], len(keys))
-        first = np.searchsorted(starts, groups)
-        out_key, out = [], []
-        for g in range(len(groups) - 1):
-            own = range(first[g], first[g + 1])
-            tree = LoserTree([items[starts[r] : ends[r]] for r in own])
-            for rank in range(1, n + 1):
-                item = tree.pop()
-                if item is None:
-                    break
-                out_key.append(keys[groups[g]])
-                out.append((-item[0], item[1], rank))
-        return pd.DataFrame(out, columns=[score, tie, "rank"]).assign(**{group: out_key})[[group, score, tie, "rank"]]
-
-    return runs.repartition(group).sortWithinPartitions(group, "run", F.desc(score), tie).mapInPandas(merge, schema + ", rank bigint")
+    rows = rows.select(F.col(group).alias("g"), F.col(score).cast("double").alias("score"), F.col(tie).cast("bigint").alias("tie"))
+    runs = rows.sortWithinPartitions("g", F.desc("score"), "tie").mapInArrow(_cut(n), f"g {kind}, scores array<double>, ties array<bigint>")
+    # Numbered, the segments of a group lie together; the buckets make it a sort inside each task.
+    segments = bucketed(runs, "g", "runs").withColumn("no", F.row_number().over(Window.partitionBy("g").orderBy("g")))
+    return segments.select("g", "scores", "ties", "no").mapInArrow(_merge(n, [group, score, tie, "rank"]), f"{group} {kind}, {score} double, {tie} bigint, rank bigint")

@@ -59,7 +59,7 @@ def test_no_links(spark):
 def test_named_commits(spark, make_runs, make_commits):
     a, b = "ab" * 20, "abc1" * 10
     runs = make_runs([{"job_id": "1", "commit_sha": a.upper()}, {"job_id": " 02.0", "commit_sha": f"{a}\n"}, {"job_id": "3", "commit_sha": a[:7]}, {"job_id": "4", "commit_sha": a[:7], "repo": "z"}, {"job_id": "5", "commit_sha": b}, {"job_id": None, "commit_sha": a}, {"job_id": "6", "commit_sha": "0" * 40}, {"job_id": "7", "commit_sha": None}])
-    got = splits.named_commits(runs, make_commits([{"commit_sha": a}]))
+    got = splits.named_commits(splits.numbered_jobs(runs), make_commits([{"commit_sha": a}]))
     assert sorted((r.job, bytes(r.sha).hex()) for r in got.collect()) == [(1, a), (2, a), (3, a), (5, b)]
     assert rows(splits.group_pairs(splits.linked(got))) == [(1, 2), (1, 3), (2, 3)]
 
@@ -90,7 +90,8 @@ def test_assignment(spark, make_runs):
     data = [{"job_id": str(j), "test_id": f"t{t}"} for j in range(300) for t in range(rng.randrange(1, 9))] + [{"job_id": "x", "job_sequence": 5}] * 2 + [{"job_id": None, "job_sequence": None}] * 2
     runs = make_runs(data)
     labels = spark.createDataFrame([(k, k // 4 * 4) for k in range(100) if k % 4], "node bigint, root bigint")
-    got = splits.assign_splits(runs, labels, SHARES).collect()
+    jobs = splits.all_jobs(runs)
+    got = splits.assign_splits(jobs, labels, SHARES).collect()
     assert sum(r.rows for r in got) == len(data) and len({r.job for r in got}) == len(got) == 303
     of = {}
     for r in got:
@@ -99,4 +100,20 @@ def test_assignment(spark, make_runs):
     for r in got:
         share[r.split] += r.rows / len(data)
     assert all(abs(share[k] - v) < 0.03 for k, v in SHARES.items())
-    assert splits.assign_splits(runs.limit(0), labels, SHARES).count() == 0
+    assert splits.assign_splits(jobs.limit(0), labels, SHARES).count() == 0
+
+
+def test_rows_without_a_job_number(make_runs, make_commits):
+    """Such a row belongs to the numbered job of its repo and sequence and ties it to others by the commit it names."""
+    sha = "cd" * 20
+    runs = make_runs([
+        {"job_id": "7", "job_sequence": 3}, {"job_id": "8", "job_sequence": 3}, {"job_id": "?", "job_sequence": 3, "commit_sha": sha},
+        {"job_id": "9", "job_sequence": 4, "commit_sha": sha}, {"job_id": None, "job_sequence": 3, "repo": "z"}, {"job_id": None, "job_sequence": 3, "repo": "z", "commit_sha": sha},
+        {"job_id": "", "job_sequence": None}, {"job_id": "", "job_sequence": 3, "repo": None},
+    ])
+    jobs = splits.all_jobs(runs)
+    got = Counter(r.job for r in jobs.collect())
+    assert {k: n for k, n in got.items() if k > 0} == {7: 2, 8: 1, 9: 1} and sorted(n for k, n in got.items() if k < 0) == [1, 1, 2]
+    group = {frozenset((r.node, r.root)) for r in splits.linked(splits.named_commits(jobs, make_commits([]))).collect()}
+    other = next(k for k, n in got.items() if n == 2 and k < 0)
+    assert group == {frozenset((other, 7)), frozenset((other, 9))}
