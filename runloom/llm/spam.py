@@ -5,8 +5,8 @@ files and tests), or its sentences are prose (enough words, function words among
 bare phrases and links. From the whole text come density, entropy, repetition and function-word features. Per
 language a robust centre (medians) and scatter (of scores wrapped to a few deviations) over all documents give each document a Mahalanobis
 distance, in which the bulk of ordinary documents is small and spam cannot inflate the scatter. Documents far out and
-in the directions in which spam lies are flagged; an exact check then keeps those of which the greater part is bare
-phrases, tags and links without sentences.
+in the directions in which spam lies are flagged: the distance decides. An exact check follows, that the greater part of a flagged
+text is bare phrases, tags and links without sentences.
 """
 
 from __future__ import annotations
@@ -40,19 +40,27 @@ CJK_LETTERS = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
 CJK_PARTICLES = r"[はがをにでともへや]|ます|です|ません|した|から|まで|[的了在是和不就也都很被把对]|因为|之后|所以|如果|时|은|는|이|가|을|를|에|다"
 HIDDEN = r"[\u200b-\u200f\u2060\ufeff\u00ad]"
 LINK = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}/[^\s<>\"')\]]*"
-MARKUP = r"(?i)<[^<>\n]{1,400}>|\[/?(?:url|b|i|img)\b[^\]\n]{0,400}\]"
-PROJECT = "|".join(
+MARKUP = r"(?i)<[^<>\n]+>|\[/?(?:url|b|i|img)\b[^\[\]\n]*\]"
+# Forms of lines that are material of the project. The first ones are told by how a line begins, ...
+BEGINS = "|".join(
     [
-        r"^\s*at\s[\w.$/<>]+\(|^Caused by|^\s*\.\.\. \d+ more|^\s*[\w.$]+(?:Exception|Error)\b",  # traces
-        r"^\W*\d\d:\d\d:\d\d\b|^\W*\[?(?:INFO|WARN|ERROR|DEBUG)\b|^\+ \w|^\$ ",  # logs
-        r"\b[0-9a-f]{16,}\b|^\s*\|.*\|\s*$|^\s*[-=+*#~_]{4,}\s*$",  # digests, tables, rules
-        r"[;{}]\s*$|^\s*[@}]|\w\([^\n]{0,200}\)\s*[;{]|^\s*(?:public|private|protected|import|package|class)\s|^\s*```",  # code
-        r"(?:Test|IT|TestCase|Spec)\b.{0,200}\b(?:PASS|PASSED|FAIL|FAILED|ERROR|SKIPPED)\b",  # test results
-        r"^\s*(?:[a-z]\w*\.){2,}[A-Z]\w*\s*$",  # lists of classes
-        r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.\w{1,6}(?:[\s:|,]|$)|^diff |^@@|^index [0-9a-f]",  # files and changes
+        r"at\s[\w.$/<>]+\(|Caused by|\.\.\. \d+ more|[\w.$]+(?:Exception|Error)\b",  # traces
+        r"\W*\d\d:\d\d:\d\d\b|\W*\[?(?:INFO|WARN|ERROR|DEBUG)\b",  # logs
+        r"(?:public|private|protected|import|package|class)\s|```",  # code
+        r"(?:[a-z]\w*\.){2,}[A-Z]\w*\s*$",  # lists of classes
+        r"diff |@@|index [0-9a-f]",  # changes
+        r"[-=+*#~_]{4,}\s*$",  # rules
     ]
 )
-SENTENCE_END = r"(?<=[.!?…][\"')\]]?)\s+|(?<=[。！？])|(?<=\w:)\s+"  # a title before a colon stands for itself
+# ... those of commands, tables and code by their first or last characters, which a list of phrases may have too: in short lines only, ...
+BEGINS_SHORT = r"\+ \w|\$ |[@}]|\|.*\|$"
+CALL = r"\w\([^\n]{0,200}\)\s*[;{]"
+RESULT = r"(?:Test|IT|TestCase|Spec)\b.{0,200}\b(?:PASS|PASSED|FAIL|FAILED|ERROR|SKIPPED)\b"
+# ... and those of digests and paths inside a line: all of a short line, of a long one what they cover.
+DIGEST = r"\b[0-9a-f]{16,}\b"
+PATH = r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.\w{1,6}(?=[\s:|,]|$)"
+SHORT_LINE = 400
+SENTENCE_END = r"(?:[.!?…][\"')\]]?|\w:)\s+|[。！？]"  # a title before a colon stands for itself
 SEPARATORS = r"[,;|·/•>=\t«»–—、]|\s-\s"
 WORD = r"[^\W\d_](?:[\w'’]*\w)?"
 JOINT = r"[^\w'’]+|_+"  # between words joined without blanks
@@ -64,25 +72,50 @@ DIRECTION = np.array([1.0, 1.0, -1.0, 1.0, -1.0, -1.0])
 FLOOR = np.array([0.04, 0.08, 0.05, 0.08, 0.06, 0.08])  # least deviation that counts as one
 PRIOR_WORDS = 12.0  # short texts are drawn towards an ordinary one by so many words
 ORDINARY = np.array([0.0, 0.0, 0.35, 0.2, 0.9, 1.0])
-FAR = 16.8  # the 0.99 quantile of chi-square with six degrees of freedom
-TOWARD = 0.15
+FAR = 64.0  # squared distance: eight robust deviations
+TOWARD = 0.15  # least cosine between a deviation and the direction of spam
 WRAP = 3.0
+BLOCK = 200  # pairs of words
 LEAST_GROUP = 200  # languages of fewer documents share one scatter
-MOST_GROUPS = 64
-LEAST_PHRASES = 40.0  # letters of bare phrases and links below which a text makes no case
 
 
 def is_function_word(word: str) -> bool:
-    return word in WORDS or word.startswith(ELIDED)
+    return word in WORDS or ("'" in word and word.startswith(ELIDED))
 
 
 class Reader:
     """Features of one text after the other."""
 
     def __init__(self):
-        import regex
+        import re
 
-        self.re = {k: regex.compile(v) for k, v in {"hidden": HIDDEN, "link": LINK, "markup": MARKUP, "project": PROJECT, "sentence": SENTENCE_END, "sep": SEPARATORS, "word": WORD, "joint": JOINT, "cjk": CJK_LETTERS, "particle": CJK_PARTICLES}.items()}
+        import regex  # its letters include the marks that go with them
+
+        made = {"link": LINK, "markup": MARKUP, "begins": BEGINS, "begins_short": BEGINS_SHORT, "call": CALL, "result": RESULT, "digest": DIGEST, "path": PATH, "sentence": SENTENCE_END, "sep": SEPARATORS, "joint": JOINT, "cjk": CJK_LETTERS, "particle": CJK_PARTICLES, "hidden": HIDDEN}
+        self.re = {k: re.compile(v) for k, v in made.items()}
+        self.ascii_word, self.word = re.compile(WORD), regex.compile(WORD)
+
+    def words(self, text: str) -> list[str]:
+        return (self.ascii_word if text.isascii() else self.word).findall(text.lower())
+
+    def sentences(self, line: str) -> Iterator[str]:
+        at = 0
+        for m in self.re["sentence"].finditer(line):
+            yield line[at : m.end()]
+            at = m.end()
+        yield line[at:]
+
+    def project(self, line: str) -> bool:
+        """Whether a line as a whole is material of the project."""
+        if self.re["begins"].match(line):
+            return True
+        if len(line) > SHORT_LINE:
+            return False
+        if line[-1] in ";{}" or self.re["begins_short"].match(line) or ("(" in line and self.re["call"].search(line)):
+            return True
+        if ("PASS" in line or "FAIL" in line or "ERROR" in line or "SKIPPED" in line) and self.re["result"].search(line):
+            return True
+        return bool(self.re["digest"].search(line) or ("/" in line and self.re["path"].search(line)))
 
     def weight(self, text: str) -> float:
         """Letters and digits, CJK letters by their weight; runs of a few characters count nothing, words joined without blanks each by itself."""
@@ -108,20 +141,27 @@ class Reader:
             return f >= 1 and f >= 0.14 * n and n >= 2.5 * (len(self.re["sep"].findall(sentence)) + 1) and len(set(words)) >= 0.6 * n
         return n >= 3 and f >= 1 and f >= 0.15 * n and len(set(words)) == n and not any(w in OFFERS for w in words)
 
-    def read(self, text: str | None) -> tuple[np.ndarray, float, float]:
-        """(features, share of bare phrases and links, their weight)."""
+    def read(self, text: str | None) -> tuple[np.ndarray, float]:
+        """(features, share of bare phrases and links)."""
         prose = project = bare = links = near = 0.0
         words: list[str] = []
         short: dict[tuple, list[float]] = defaultdict(list)
-        for line in self.re["hidden"].sub("", text or "").splitlines():
+        text = text or ""
+        for line in (text if text.isascii() else self.re["hidden"].sub("", text)).splitlines():
             line = line.strip()
             if not line:
                 continue
-            found = self.re["link"].findall(line)
+            found = self.re["link"].findall(line) if "/" in line or "www." in line.lower() else []
             markup = "<" in line or "[" in line
-            if self.re["project"].search(line) and not found and not (markup and self.re["markup"].search(line)):
-                project += self.weight(line)
-                continue
+            if not found and not (markup and self.re["markup"].search(line)):
+                if self.project(line):
+                    project += self.weight(line)
+                    continue
+                if len(line) > SHORT_LINE:
+                    for kind in ("digest", "path", "result", "call"):
+                        for part in self.re[kind].findall(line):
+                            project += self.weight(part)
+                        line = self.re[kind].sub(" ", line)
             link = float(sum(map(len, found)))
             rest = self.re["link"].sub(" ", line) if found else line
             if markup:
@@ -129,9 +169,9 @@ class Reader:
                 link += len(rest) - len(plain)
                 rest = plain
             good = bad = title = 0.0
-            for sentence in self.re["sentence"].split(rest):
-                sentence = sentence.strip(" \t>*-")
-                own = [w.lower() for w in self.re["word"].findall(sentence)]
+            for sentence in self.sentences(rest):
+                sentence = sentence.strip().strip(" \t>*-")
+                own = self.words(sentence)
                 if own:
                     words += own
                     weight = self.weight(sentence)
@@ -156,19 +196,19 @@ class Reader:
         total = prose + project + bare + links + near
         case, n = bare + links, len(words)
         if not total:
-            return ORDINARY.copy(), 0.0, 0.0
+            return ORDINARY.copy(), 0.0
         counts = Counter(words)
         f = sum(c for w, c in counts.items() if is_function_word(w))
         entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(max(2, min(n, 200))) if n else 1.0
-        pairs = Counter(zip(words, words[1:]))
-        repeated = 1 - len(pairs) / max(1, n - 1) if n > 1 else 0.0
+        pairs = list(zip(words, words[1:]))  # block by block, since a long text repeats by its length alone
+        repeated = sum(len(b) - len(set(b)) for b in (pairs[k : k + BLOCK] for k in range(0, len(pairs), BLOCK))) / max(1, len(pairs))
         raw = np.array([links / total, bare / total, f / n if n else ORDINARY[2], repeated, min(1.0, entropy), (prose + project + near) / total])
-        size = total / 6  # in words
-        return (raw * size + ORDINARY * PRIOR_WORDS) / (size + PRIOR_WORDS), case / total, case
+        size = np.array([total / 6, total / 6, n, n, n, total / 6])  # in words; texts without blanks have few to tell by
+        return (raw * size + ORDINARY * PRIOR_WORDS) / (size + PRIOR_WORDS), case / total
 
 
 def page_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, features..., share, phrases) of each document, from its whole text."""
+    """(doc_id, lang, features..., share) of each document, from its whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
@@ -179,19 +219,18 @@ def page_features(documents: DataFrame) -> DataFrame:
                 out = pd.DataFrame(np.array([r[0] for r in read]).reshape(-1, len(FEATURES)), columns=list(FEATURES))
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 out.insert(1, "lang", part["lang"].to_numpy())
-                out["share"], out["phrases"] = [r[1] for r in read], [r[2] for r in read]
+                out["share"] = [r[1] for r in read]
                 yield out
 
     lang = F.coalesce(F.lower(F.trim("lang")), F.lit(""))
-    return spread(documents.select("doc_id", lang.alias("lang"), "text")).mapInPandas(run, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES) + ", share double, phrases double")
+    return spread(documents.select("doc_id", lang.alias("lang"), "text")).mapInPandas(run, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES) + ", share double")
 
 
 def robust_scatter(pages: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each language (and "" for all of the rest): medians, deviations, inverse of the scatter, over all documents.
-
-    At most MOST_GROUPS languages, those with most documents, have their own; each is three small aggregates.
+    """For each language (and "" for all together, which also serves the languages of few documents): medians, deviations, inverse of the
+    scatter, over all documents: three small aggregates.
     """
-    sizes = pages.groupBy("lang").count().where(F.col("count") >= LEAST_GROUP).orderBy(F.desc("count"), "lang").limit(MOST_GROUPS).collect()
+    sizes = pages.groupBy("lang").count().where(F.col("count") >= LEAST_GROUP).collect()
     own = [r["lang"] for r in sizes if r["lang"]]
     grouped = pages.withColumn("g", F.when(F.col("lang").isin(own), F.col("lang")).otherwise("") if own else F.lit(""))
     every = grouped.unionByName(grouped.withColumn("g", F.lit(""))) if own else grouped
@@ -240,8 +279,7 @@ def judged_pages(documents: DataFrame) -> DataFrame:
                 along = z @ inverse @ DIRECTION / math.sqrt(DIRECTION @ inverse @ DIRECTION)
                 out.iloc[at, out.columns.get_loc("distance")] = d2
                 out.iloc[at, out.columns.get_loc("toward")] = along / np.sqrt(np.maximum(d2, 1e-12))
-            flagged = (out["distance"] > FAR) & (out["toward"] > TOWARD)
-            out["is_spam"] = flagged & (out["share"] > 0.5) & (pdf["phrases"] >= LEAST_PHRASES)
+            out["is_spam"] = (out["distance"] > FAR) & (out["toward"] > TOWARD) & (out["share"] > 0.5)
             yield out[["doc_id", "lang", "distance", "toward", "share", "is_spam"]]
 
     return pages.mapInPandas(run, "doc_id bigint, lang string, distance double, toward double, share double, is_spam boolean")

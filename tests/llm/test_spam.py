@@ -85,3 +85,20 @@ def test_titles_quotes_and_repeated_questions():
     assert read("The dependency update fails when the cache is warm?“quoted” ")[1] == 0
     assert read("Can somebody confirm this? Can somebody confirm this? I'll send a patch tomorrow. Can somebody confirm this?")[1] < 0.5
     assert read("garden lamp where? " * 9)[1] == 1
+
+
+def test_the_distance_decides(pages):
+    """Without the check of shares that follows, the distance finds the same documents."""
+    data, got = pages
+    far = {k for k, r in got.items() if r.distance > spam.FAR and r.toward > spam.TOWARD}
+    assert far == {k for k, r in got.items() if r.is_spam}
+
+
+def test_one_token_makes_no_material(spark):
+    """A path, a digest or a call inside a long line covers only itself; a short line goes with it as a whole."""
+    read, keywords = spam.Reader().read, "cheap garden lamp near me, best essay service online, " * 20
+    for token in ("shop/sale.html", "0123456789abcdef", "go(now);", "LampTest PASS"):
+        assert read(keywords + token)[1] > 0.9 and read(f"{keywords} {token} {keywords};")[1] > 0.9
+    assert read("see 0123456789abcdef and net/src/A.java")[1] == 0
+    assert read(" ".join(PROSE[:4]) * 3 + " net/src/main/A.java 0123456789abcdef")[1] < 0.1
+    assert spam.Reader().read("[b " * 50_000)[1] >= 0 and spam.Reader().read("<" * 50_000)[1] == 0
