@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ from runloom.functions.keys import failed, usable_timestamp
 from runloom.operators.ingest import derived_outcome, insert_new
 from runloom.session import work_dir
 from runloom.sources.csv_rejects import load_results
+from runloom.sources.projects import list_files
 
 KEYS = ["repo", "job_id", "test_id"]
+KEPT_IDS = 10_000
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -24,32 +27,49 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def taken(spark: SparkSession, path: str, rows: DataFrame, part: str) -> DataFrame | None:
+    """What the table at ``path``, partitioned by ``part``, has of the partitions that ``rows`` touch; None where there is no table yet.
+
+    The values of ``part`` in a batch are those of its files; only their folders are listed and read.
+    """
+    if not list_files(spark, path):
+        return None
+    touched = [r[0] for r in rows.select(part).distinct().collect()]  # at most the files of one batch
+    known = spark.read.schema(rows.schema).parquet(path)
+    return known.where(F.col(part).isin([v for v in touched if v is not None]) | (F.col(part).isNull() if None in touched else F.lit(False)))
+
+
 def collect_results(lines: DataFrame, target: str, rejects: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch of raw lines to ``target``, leaving out runs it has already, and failed lines to ``rejects``.
+    """Appends each batch of raw lines to ``target``, leaving out runs it has already, and failed lines to ``rejects``; both are
+    partitioned by repo.
 
     A batch that is repeated after a failure adds nothing twice: its runs are found in the target, its lines in the
-    rejects.
+    rejects. Of these only the partitions of the batch's repos are read.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = load_results(batch).persist()
-        repo = F.regexp_replace("file_name", r"\.csv$", "").alias("repo")
-        runs = batch.where("reason is null").select("line_id", repo, "job_id", "test_id", derived_outcome().alias("outcome"), "duration_ms")
-        for rows, path, keys in ((runs, target, KEYS), (batch.where("reason is not null").select("line_id", "reason"), rejects, ["line_id"])):
-            try:
-                known = spark.read.schema(rows.schema).parquet(path)
-                new = insert_new(known, rows, keys)
-            except Exception as e:  # the target isn't there yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                new = rows.dropDuplicates(keys)
-            new.write.mode("append").parquet(path)
+        batch = load_results(batch).withColumn("repo", F.regexp_replace("file_name", r"\.csv$", "")).persist()
+        runs = batch.where("reason is null").select("line_id", "job_id", "test_id", derived_outcome().alias("outcome"), "duration_ms", "repo")
+        failed_lines = batch.where("reason is not null").select("line_id", "reason", "repo")
+        for rows, path, keys in ((runs, target, KEYS), (failed_lines, rejects, ["line_id", "repo"])):
+            known = taken(spark, path, rows, "repo")
+            new = rows.dropDuplicates(keys) if known is None else insert_new(known, rows, keys)
+            new.write.mode("append").partitionBy("repo").parquet(path)
         batch.unpersist()
 
     return lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drifted(counts: DataFrame, since: int, days: int = 30, most: float = 0.1) -> DataFrame:
+    """(repo, before, after, drifted): the failure rates of daily ``counts`` in the ``days`` before the day ``since`` and in those from it on, and
+    whether they differ by more than ``most``: the check that runs once a day beside the intake."""
+    side = F.when(F.col("day_no") >= since, "after").when(F.col("day_no") >= since - days, "before")
+    of = lambda s: F.try_divide(F.sum(F.when(side == s, F.col("failed"))).cast("double"), F.sum(F.when(side == s, F.col("runs"))))
+    rates = counts.groupBy("repo").agg(of("before").alias("before"), of("after").alias("after"))
+    return rates.withColumn("drifted", F.coalesce(F.abs(F.col("after") - F.col("before")) > most, F.lit(False)))
+
+
 def daily_counts(runs: DataFrame, late_days: int = 3650) -> DataFrame:
     """(repo, day, runs, failed) of a stream of test_runs rows by usable timestamp; rows later than the watermark are dropped by Spark."""
     rows = runs.select("repo", usable_timestamp().alias("t"), failed().cast("int").alias("failed")).where("t is not null")
@@ -75,19 +95,32 @@ def latest(stream: DataFrame, name: str) -> DataFrame:
 
 
 def live_streaks(runs: DataFrame) -> DataFrame:
-    """(repo, test_id, runs, streak, last_id) updated with each batch: the number of runs since the last failure, by id.
+    """(repo, test_id, runs, streak, last_id) updated with each batch: the number of runs since the last failure.
 
-    The state of a test is three numbers, whatever its history.
+    The state of a test is its number of runs, the greatest id of a failure and the runs beyond it, whatever the order of
+    batches: a late row counts by its id. Runs beyond the last failure are held as ids, which the next failure clears;
+    beyond KEPT_IDS of them only the newest are held, and a failure older than all these leaves the streak as it is.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, streak, last = state.get if state.exists else (0, 0, -1)
-        rows = pd.concat(list(batches)).sort_values("id")
-        for row_id, fail in zip(rows["id"], rows["failed"]):
-            n, streak, last = n + 1, 0 if fail else streak + 1, max(last, int(row_id))
-        state.update((n, streak, last))
-        yield pd.DataFrame({"repo": [key[0]], "test_id": [key[1]], "runs": [n], "streak": [streak], "last_id": [last]})
+        n, dropped, last, bad, passed = state.get if state.exists else (0, 0, -1, -1, [])
+        held = [np.asarray(passed, dtype=np.int64)]
+        for rows in batches:
+            ids, fail = rows["id"].to_numpy(dtype=np.int64), rows["failed"].to_numpy(dtype=bool)
+            n, last = n + len(ids), max(last, int(ids.max(initial=-1)))
+            worst = int(ids[fail].max(initial=-1))
+            if worst > bad:
+                bad = worst
+                if len(held[0]) and worst >= held[0][0]:
+                    dropped = 0
+            held.append(ids[~fail])
+        beyond = np.sort(np.concatenate(held))
+        beyond = beyond[beyond > bad]
+        over = max(0, len(beyond) - KEPT_IDS)
+        dropped, beyond = dropped + over, beyond[over:]
+        state.update((n, dropped, last, bad, beyond.tolist()))
+        yield pd.DataFrame({"repo": [key[0]], "test_id": [key[1]], "runs": [n], "streak": [dropped + len(beyond)], "last_id": [last]})
 
     rows = runs.select("repo", "test_id", "id", failed().alias("failed")).where("repo is not null and test_id is not null")
     out = "repo string, test_id string, runs bigint, streak bigint, last_id bigint"
-    return rows.groupBy("repo", "test_id").applyInPandasWithState(step, out, "runs bigint, streak bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("repo", "test_id").applyInPandasWithState(step, out, "runs bigint, dropped bigint, last bigint, bad bigint, passed array<bigint>", "update", GroupStateTimeout.NoTimeout)

@@ -21,7 +21,9 @@ def test_collector_adds_nothing_twice(spark, tmp_path):
     take()
     take()
     assert rows(spark.read.parquet(out), "job_id", "outcome") == [(1, "PASS"), (2, "FAIL")]
-    assert rows(spark.read.parquet(bad)) == [(2, "columns")]
+    assert rows(spark.read.parquet(bad)) == [(2, "columns", "a@b")]
+    other = spark.createDataFrame([("a@b",)], "repo string")
+    assert collector.taken(spark, out, other, "repo") is not None and collector.taken(spark, str(tmp_path / "none"), other, "repo") is None
 
 
 def test_daily_counts_and_streaks(spark, make_runs, tmp_path):
@@ -39,3 +41,27 @@ def test_daily_counts_and_streaks(spark, make_runs, tmp_path):
     query = collector.live_streaks(collector.stream_table(spark, path)).writeStream.outputMode("update").foreachBatch(lambda b, n: found.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.test_id, r.runs, r.streak) for r in found} == {("t", 6, 3), ("u", 1, 1)}
+
+
+def test_late_rows_count_by_id(spark, make_runs, tmp_path):
+    """Batches in any order end with the streak that the ids give."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    data = [{"id": k, "job_id": str(k), "test_id": f"t{k % 3}", "outcome": "FAIL" if rng.random() < 0.1 else "PASS"} for k in range(1, 121)]
+    want = {}
+    for r in data:
+        n, streak = want.get(r["test_id"], (0, 0))
+        want[r["test_id"]] = (n + 1, 0 if r["outcome"] == "FAIL" else streak + 1)
+    path = str(tmp_path / "runs")
+    for part in range(4):
+        make_runs([r for r in rng.sample(data, len(data)) if r["id"] * 7 % 4 == part]).write.mode("append").parquet(path)
+    last = {}
+    stream = collector.live_streaks(collector.stream_table(spark, path, 1))
+    keep = lambda b, n: last.update({r.test_id: (r.runs, r.streak) for r in b.collect()})
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert last == want
+    counts = spark.createDataFrame([("a", 10, 10, 1), ("a", 12, 10, 5), ("b", 12, 10, 5), ("c", 11, 10, 1), ("c", 13, 10, 1)], "repo string, day_no bigint, runs bigint, failed bigint")
+    assert rows(collector.drifted(counts, 12).select("repo", "before", "after", F.col("drifted"))) == [("a", 0.1, 0.5, True), ("b", None, 0.5, False), ("c", 0.1, 0.1, False)]
