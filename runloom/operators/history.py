@@ -23,7 +23,7 @@ KEYS = ["repo", "test_id"]
 COLUMNS = ("last_outcome", "failure_rate_7d", "failure_rate_30d", "failure_rate_90d", "days_since_last_fail", "days_since_last_run", "consecutive_passes", "avg_duration_ms", "duration_variance", "run_count_30d")
 
 
-def test_history(runs: DataFrame, carry: tuple[str, ...] = ("id",), hot_runs: int = HOT_RUNS) -> DataFrame:
+def test_history(runs: DataFrame, carry: tuple[str, ...] = ("id",), hot_runs: int = HOT_RUNS, is_stored: bool = False) -> DataFrame:
     """``carry`` and the ten history columns. runs: repo, test_id, ets, job_sequence, failed, duration_ms.
 
     A test without earlier runs has -1, 999 or 0. Rates are of the rows in [t - d days, t); the last durations are
@@ -32,7 +32,8 @@ def test_history(runs: DataFrame, carry: tuple[str, ...] = ("id",), hot_runs: in
     """
     needed = dict.fromkeys([*carry, *KEYS, "ets", "job_sequence", "failed", "duration_ms"])
     placed = F.coalesce("ets", F.raise_error(F.lit("a run has neither a timestamp nor a job_sequence")).cast("bigint"))
-    runs = stored(runs.withColumn("ets", placed).select(*needed), "runs")
+    runs = runs.withColumn("ets", placed).select(*needed)
+    runs = runs if is_stored else stored(runs, "runs")  # read twice
     hot = runs.groupBy(*KEYS).count().where(F.col("count") > hot_runs).select(*KEYS)
     if not hot.limit(1).count():
         return windowed_history(runs, carry)

@@ -14,7 +14,7 @@ COLUMNS = (*KEYS, *C.COMMIT_COLUMNS, *C.AUTHOR_COLUMNS, *history.COLUMNS, *depen
 
 
 def feature_matrix(runs: DataFrame, commits: DataFrame, files: DataFrame, numstat: DataFrame | None = None, imports: DataFrame | None = None, poms: DataFrame | None = None, sources: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The 38 columns (and ``carry``) for each run. runs: sequenced_runs; commits: commit_rows; files: changed_files.
+    """The 38 columns (and ``carry``) for each run. runs: sequenced_runs, stored, as they are read several times; commits: commit_rows; files: changed_files.
 
     Commit and author columns are computed per commit, dependency columns per commit and test, then joined. A run
     without a commit has the default row: a null key meets nothing.
@@ -22,7 +22,7 @@ def feature_matrix(runs: DataFrame, commits: DataFrame, files: DataFrame, numsta
     keys = runs.select("repo", "commit_sha").where(F.col("commit_sha").isNotNull()).distinct()
     per_commit = C.commit_features(keys, commits, files, numstat).join(C.author_features(keys, C.author_commits(runs, commits)), ["repo", "commit_sha"])
     per_test = dependency.dependency_features(runs.where(F.col("commit_sha").isNotNull()), files, imports, poms, sources)
-    past = history.test_history(runs, ("id", "repo", "commit_sha", "test_id", "failed", "timestamp", "job_sequence"))
+    past = history.test_history(runs, ("id", "repo", "commit_sha", "test_id", "failed", "timestamp", "job_sequence"), is_stored=True)
     out = past.join(per_commit, ["repo", "commit_sha"], "left").join(per_test, ["repo", "commit_sha", "test_id"], "left").withColumn("label", F.col("failed"))
     missing = {"commit_meta_missing": 1, "commit_diff_missing": 1, "author_failure_rate_90d": -1.0, "author_feature_fallback": 1, "feature_source": "job_sequence", "dependency_parse_failed": 1}
     fill = [F.coalesce(c, F.lit(missing.get(c, 0))).alias(c) for c in (*C.COMMIT_COLUMNS, *C.AUTHOR_COLUMNS, *dependency.COLUMNS)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runloom.functions.commits import known_commits, short_names
 from runloom.functions.keys import epoch_s, failed, is_sha, is_short_sha, job_number, reference, trimmed, usable_duration, usable_sequence, usable_timestamp
 from runloom.functions.runs import distinct_runs
+from runloom.functions.sql import REF, RUNS, USABLE_MS, USABLE_TS
 from runloom.operators import asof, impute, orphans, rolling
 from runloom.session import stored
 from runloom.sources import csv_rejects
@@ -22,18 +23,6 @@ def query(f):
     return f
 
 
-# SQL forms of the normal forms in runloom.functions.keys
-JOB = r"try_cast(nullif(regexp_extract(trim(job_id, E' \t\n\r\x0b\x0c'), '^0*([0-9]{1,18})(\.0*)?$', 1), '') as bigint)"
-REF = r"nullif(lower(trim(commit_sha, E' \t\n\r\x0b\x0c')), '')"
-USABLE_TS = "case when timestamp > 1356998400 and timestamp <= floor(epoch(loaded_at)) then timestamp end"
-USABLE_MS = "case when not isnan(duration_ms) and duration_ms between 0 and 86400000 then duration_ms end"
-FAILED = r"coalesce(upper(trim(outcome, E' \t\n\r\x0b\x0c')) in ('FAIL', 'ERROR'), false)"
-SQL_RUNS = f"""runs as (
-  select test_id, arg_min(ts, id) ts, arg_min(f, id) failed, arg_min(ms, id) ms, min(id) id from (
-    select id, test_id, coalesce({JOB}, -id - 1) as job, struct_pack(v := {USABLE_TS}) as ts, {FAILED} as f, struct_pack(v := {USABLE_MS}) as ms
-    from test_runs where test_id is not null) group by job, test_id)"""
-
-
 def rolling_frame(spark: SparkSession, d: str) -> DataFrame:
     runs = distinct_runs(table(spark, d, "test_runs"), ts=usable_timestamp(), failed=failed(), duration=usable_duration())
     daily = rolling.daily_runs(runs.where("ts is not null").select("test_id", rolling.day_of(F.col("ts")).alias("day_no"), "failed", "duration"))
@@ -53,7 +42,7 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     return rolling_frame(spark, d).select("test_id", "day_no", *counts, *means, *longest)
 
 
-SQL_DAYS = f"""with {SQL_RUNS}, daily as (
+SQL_DAYS = f"""with {RUNS}, daily as (
   select test_id, cast(floor(ts.v / 86400) as bigint) day_no, count(*) runs, count(*) filter (failed) failed, max(ms.v) longest
   from runs where ts.v is not null group by 1, 2),
 span as (select test_id, unnest(range(min(day_no), max(day_no) + 1)) day_no from daily group by 1),

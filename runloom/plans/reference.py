@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.functions.keys import is_sha, job_number, reference, trimmed
+from runloom.functions.sql import BLANK, FAILED, JOB, REF, USABLE_MS, USABLE_TS
 from runloom.operators import commits as C
 from runloom.operators import dependency, evaluate, history, ingest, matrix, models, quality, split
 from runloom.operators.ingest import changed_files, commit_rows, sequenced_runs
 from runloom.operators.past import exact_percentiles
 from runloom.plans import pipeline
-from runloom.plans.problems import FAILED, JOB, REF, SQL_LINES, USABLE_MS, USABLE_TS
+from runloom.plans.problems import SQL_LINES
 from runloom.session import stored
 from runloom.sources.csv_rejects import load_results
 from runloom.sources.tables import table
@@ -49,7 +49,6 @@ def files_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 SHA = f"case when regexp_full_match({REF}, '[0-9a-f]{{40}}') and {REF} <> repeat('0', 40) then {REF} end"
-BLANK = r"E' \t\n\r\x0b\x0c'"
 CTE_RUNS = f"""first_ as (
   select job job_id, test_id, arg_min(struct_pack(id := id, repo := repo, commit_sha := sha, test_index := test_index, outcome := o, duration_ms := ms, ts := ts, run_count := run_count, f := f), id) r
   from (select *, {JOB} job, {SHA} sha, upper(trim(outcome, {BLANK})) o, cast({USABLE_MS} as double) ms, {USABLE_TS} ts, cast({FAILED} as int) f from test_runs)
