@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.keys import usable_duration
 from runloom.functions.runs import distinct_runs
+from runloom.functions.sql import JOB, REF, RUNS
 from runloom.llm import packing, spam, splits, tokenizer, topn
 from runloom.session import stored
 from runloom.sources.tables import table
@@ -21,10 +22,6 @@ def query(f):
     return f
 
 
-JOB = r"try_cast(nullif(regexp_extract(trim(job_id, E' \t\n\r\x0b\x0c'), '^0*([0-9]{1,18})(\.0*)?$', 1), '') as bigint)"
-REF = r"nullif(lower(trim(commit_sha, E' \t\n\r\x0b\x0c')), '')"
-
-
 def linked_jobs(spark: SparkSession, d: str, jobs: DataFrame) -> DataFrame:
     return stored(splits.linked(splits.named_commits(jobs, table(spark, d, "commits"))), "labels")
 
@@ -66,11 +63,8 @@ def longest_runs(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(runs, "test_id", "duration_ms", "id", 5)
 
 
-SQL_TOP = f"""with runs as (
-  select test_id, arg_min(ms, id).v ms, min(id) id from (
-    select id, test_id, coalesce({JOB}, -id - 1) as job, struct_pack(v := case when not isnan(duration_ms) and duration_ms between 0 and 86400000 then duration_ms end) ms from test_runs where test_id is not null)
-  group by job, test_id),
-ranked as (select test_id, row_number() over (partition by test_id order by ms desc, id) as "rank", id, ms from runs where ms is not null)"""
+SQL_TOP = f"""with {RUNS},
+ranked as (select test_id, row_number() over (partition by test_id order by ms.v desc, id) as "rank", id, ms.v ms from runs where ms.v is not null)"""
 SQL["p2_found"] = SQL_TOP + ' select test_id, id from ranked where "rank" <= 5'
 SQL["p2_top"] = SQL_TOP + ' select test_id, "rank", id, round(ms::double, 3) duration_ms from ranked where "rank" <= 5'
 
