@@ -101,3 +101,30 @@ def ingest_results(loaded: DataFrame, mapping: DataFrame) -> DataFrame:
 def insert_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of which ``existing`` has no key: what an insert that ignores conflicts adds."""
     return rows.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+
+
+def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
+    """Appends to the table at ``path`` the rows it has no key of; how many these were."""
+    spark = rows.sparkSession
+    new = stored(insert_new(spark.read.schema(rows.schema).parquet(path), rows, keys), "new")
+    new.write.mode("append").parquet(path)
+    return new.count()
+
+
+def merged_times(runs: DataFrame, commits: DataFrame) -> DataFrame:
+    """``runs`` with ``ts``, the timestamp or else that of the commit, and ``resolved``, whether ``commits`` has the commit."""
+    times = commits.select("repo", "commit_sha", "committed_ts", F.lit(True).alias("resolved"))
+    return runs.join(times, ["repo", "commit_sha"], "left").withColumn("ts", F.coalesce("timestamp", "committed_ts")).withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+
+def time_coverage(merged: DataFrame) -> DataFrame:
+    """(repo, shas, resolved_shas, eligible, timestamped, sha_pct, row_pct) for each repo of ``merged_times``; a repo without commits has zeros.
+
+    Rows are counted per commit first: a repo of any size comes together as one row per commit.
+    """
+    rows = merged.groupBy("repo", "commit_sha").agg(F.count("*").alias("n"), F.count("ts").alias("t"), F.max("resolved").alias("resolved"))
+    has = F.col("commit_sha").isNotNull()
+    total = lambda c: F.sum(F.when(has, F.col(c)).otherwise(0))
+    per = rows.groupBy("repo").agg(F.count_if(has).alias("shas"), F.count_if(has & F.col("resolved")).alias("resolved_shas"), total("n").alias("eligible"), total("t").alias("timestamped"))
+    pct = lambda a, b: F.coalesce(F.try_divide(100.0 * F.col(a), F.col(b)), F.lit(0.0))
+    return per.withColumn("sha_pct", pct("resolved_shas", "shas")).withColumn("row_pct", pct("timestamped", "eligible"))

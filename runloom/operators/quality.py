@@ -40,6 +40,12 @@ def source_shares(df: DataFrame) -> DataFrame:
     return df.groupBy("repo").agg(F.count("*").alias("rows"), share.alias("by_sequence_pct"))
 
 
+def repo_profile(df: DataFrame) -> DataFrame:
+    """source_shares with the failures and the share of rows without commit metadata."""
+    share = 100 * F.avg((F.col("feature_source") == "job_sequence").cast("double"))
+    return df.groupBy("repo").agg(F.count("*").alias("rows"), F.sum("label").alias("failures"), F.avg("label").alias("failure_rate"), share.alias("by_sequence_pct"), (100 * F.avg("commit_meta_missing")).alias("meta_missing_pct"))
+
+
 def source_gate(df: DataFrame, baselines: DataFrame) -> DataFrame:
     """source_shares of the repos in ``baselines`` (repo, baseline, kind, tolerance) and whether each is within its tolerance."""
     allowed = F.when(F.col("kind") == "relative", F.col("baseline") * F.col("tolerance")).otherwise(F.col("tolerance"))
@@ -60,6 +66,13 @@ def coverage_gate(coverage: DataFrame, least: float = LEAST_COVERAGE) -> DataFra
     return coverage.select("repo", "sha_pct", "row_pct", ((F.col("sha_pct") >= least) & (F.col("row_pct") >= least)).alias("ok"))
 
 
+def require_coverage(coverage: DataFrame, least: float = LEAST_COVERAGE) -> None:
+    """Raises ValueError naming a repo whose commits or rows have too few times."""
+    bad = coverage_gate(coverage, least).where("not ok").orderBy("repo").first()
+    if bad:
+        raise ValueError(f"{bad['repo']}: {bad['sha_pct']:.1f}% of the commits and {bad['row_pct']:.1f}% of the rows have a time, at least {least:.0f}% is asked for")
+
+
 def require_selected(marked: DataFrame, least: int = LEAST_PROJECTS) -> list[str]:
     """The projects whose ``status`` is SELECTED, by falling rate; raises ValueError where there are too few of them."""
     chosen = [r["repo"] for r in marked.where("status = 'SELECTED'").orderBy(F.desc("rate"), F.lower("repo")).select("repo").collect()]  # as many as the selection's limit

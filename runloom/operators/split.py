@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.sources.tables import require_columns
+
 
 def split_sides(df: DataFrame, ratio: float = 0.8, by: str = "repo", sequence: str = "job_sequence") -> DataFrame:
     """``df`` with ``side``: train up to the job floor(ratio * last job) of its repo, test after it, null without a sequence.
@@ -19,9 +21,7 @@ def split_sides(df: DataFrame, ratio: float = 0.8, by: str = "repo", sequence: s
 
 def temporal_split(df: DataFrame, ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(train, test) of one repo. Raises ValueError if a needed column is missing or there is not exactly one repo."""
-    missing = {"repo", "job_sequence"} - set(df.columns)
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")
+    require_columns(df, {"repo", "job_sequence"})
     repos = [r[0] for r in df.select("repo").distinct().limit(2).collect()]
     if len(repos) != 1:
         raise ValueError("a temporal split takes the rows of exactly one repo")
@@ -42,7 +42,3 @@ def union_projects(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def ntile_of(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
-    return df.withColumn("tile", F.ntile(n).over(Window.partitionBy(by).orderBy(order)))

@@ -20,15 +20,24 @@ def build(spark: SparkSession, tables: str, repo: str | None = None) -> DataFram
     return matrix.feature_matrix(runs, ingest.commit_rows(of("commits")), stored(ingest.changed_files(of("file_changes")), "files"))
 
 
-def run(spark: SparkSession, tables: str, out: str, repo: str | None = None, force: bool = False, strict: bool = False) -> DataFrame | None:
+def check_coverage(spark: SparkSession, tables: str, repo: str | None, least: float) -> None:
+    """The gate before anything is built: enough commits and rows of each repo must have a time."""
+    of = lambda name: table(spark, tables, name).where(F.col("repo") == repo) if repo else table(spark, tables, name)
+    merged = ingest.merged_times(ingest.first_rows(of("test_runs"), "commit_sha", "timestamp"), ingest.commit_rows(of("commits")))
+    quality.require_coverage(ingest.time_coverage(merged), least)
+
+
+def run(spark: SparkSession, tables: str, out: str, repo: str | None = None, force: bool = False, strict: bool = False, coverage: float | None = None) -> DataFrame | None:
     """Builds, checks and only then writes the matrix; does nothing where it is already there, unless forced. strict: also
-    refuses a matrix in which times fall from one job to the next; rebuilt jobs make them do so in honest data.
+    refuses a matrix in which times fall from one job to the next; rebuilt jobs make them do so in honest data. coverage: the least percentage of commits and rows with a time.
 
     Returns (repo, label, rows).
     """
     target = f"{out}/{repo or 'all'}_features.parquet"
     if list_files(spark, f"{target}/_SUCCESS") and not force:
         return None
+    if coverage is not None:
+        check_coverage(spark, tables, repo, coverage)
     features = stored(build(spark, tables, repo), "matrix")
     quality.require_no_nulls(features)
     # The source baselines name repos by the names of known projects; those that are absent here check nothing.
@@ -58,11 +67,16 @@ def main() -> None:
     p.add_argument("--summary", help="a Markdown table of projects: those marked SELECTED are taken where no names are given")
     p.add_argument("--force", action="store_true")
     p.add_argument("--strict", action="store_true", help="refuse a matrix whose times fall from one job to the next")
+    p.add_argument("--coverage", type=float, help="least percentage of commits and rows with a time")
+    p.add_argument("--least-projects", type=int, default=0, help="fail where fewer projects are asked for")
     a = p.parse_args()
     spark = SparkSession.builder.appName("runloom").getOrCreate()
     selected = [r["project"] for r in read_selected(spark, a.summary).collect()] if a.summary else []  # the lines of a report
-    for repo in wanted_projects(a.repos, selected) or [None]:
-        report = run(spark, a.tables, a.out, repo, a.force, a.strict)
+    wanted = wanted_projects(a.repos, selected)
+    if len(wanted) < a.least_projects:
+        raise SystemExit(f"{len(wanted)} of at least {a.least_projects} projects")
+    for repo in wanted or [None]:
+        report = run(spark, a.tables, a.out, repo, a.force, a.strict, a.coverage)
         print(f"{repo or 'all'}: the matrix is there already" if report is None else f"{repo or 'all'}: written")
         if report is not None:
             print(markdown_table(report_rows(report, "repo", "label")))

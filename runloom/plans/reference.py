@@ -171,9 +171,7 @@ SQL_MERGED = with_(CTE_RUNS, CTE_COMMITS) + """, merged as (select r.*, coalesce
 
 def merged_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs with absent timestamps filled from their commit; present ones stay."""
-    runs = ingest.first_rows(table(spark, d, "test_runs"))
-    times = commits_of(spark, d).select("repo", "commit_sha", "committed_ts", F.lit(True).alias("resolved"))
-    return runs.join(times, ["repo", "commit_sha"], "left").withColumn("ts", F.coalesce("timestamp", "committed_ts")).withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    return ingest.merged_times(ingest.first_rows(table(spark, d, "test_runs"), "commit_sha", "timestamp"), commits_of(spark, d))
 
 
 @query(SQL_MERGED + """ select id, ts, ts is not null and "timestamp" is null filled from merged""")
@@ -188,11 +186,8 @@ def timestamp_merge(spark: SparkSession, d: str) -> DataFrame:
   round(coalesce(100.0::double * count(case when commit_sha is not null then ts end) / nullif(count(commit_sha), 0), 0), 6) row_pct from merged group by repo"""
 )
 def timestamp_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = merged_runs(spark, d).where("commit_sha is not null").groupBy("repo", "commit_sha").agg(F.count("*").alias("n"), F.count("ts").alias("t"), F.max("resolved").alias("resolved"))
-    per = rows.groupBy("repo").agg(F.count("*").alias("shas"), F.count_if("resolved").alias("resolved_shas"), F.sum("n").alias("eligible"), F.sum("t").alias("timestamped"))
-    every = ingest.first_rows(table(spark, d, "test_runs")).select("repo").distinct().join(per, "repo", "left").na.fill(0)
-    pct = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * F.col(a), F.col(b)), F.lit(0.0)), 6)
-    return every.select("repo", "shas", "resolved_shas", "eligible", "timestamped", pct("resolved_shas", "shas").alias("sha_pct"), pct("timestamped", "eligible").alias("row_pct"))
+    got = ingest.time_coverage(merged_runs(spark, d))
+    return got.select("repo", "shas", "resolved_shas", "eligible", "timestamped", F.round("sha_pct", 6).alias("sha_pct"), F.round("row_pct", 6).alias("row_pct"))
 
 
 @query("select repo, sha_pct, row_pct, sha_pct >= 70 and row_pct >= 70 ok from (" + SQL["timestamp_coverage"] + ")")
@@ -499,6 +494,12 @@ def source_ratio_gate(spark: SparkSession, d: str) -> DataFrame:
     return quality.source_shares(matrix_of(spark, d)).select("repo", "rows", F.round("by_sequence_pct", 6).alias("by_sequence_pct"))
 
 
+@query(WITH_MATRIX + "select repo, count(*) \"rows\", cast(sum(label) as bigint) failures, round(avg(label), 6) failure_rate, round(100 * avg(cast(feature_source = 'job_sequence' as int)), 6) by_sequence_pct, round(100 * avg(commit_meta_missing), 6) meta_missing_pct from matrix group by repo")
+def matrix_by_repo(spark: SparkSession, d: str) -> DataFrame:
+    got = quality.repo_profile(matrix_of(spark, d))
+    return got.select("repo", "rows", "failures", *[F.round(c, 6).alias(c) for c in ("failure_rate", "by_sequence_pct", "meta_missing_pct")])
+
+
 SQL_SIDES = with_(CTE_RUNS) + ", sides as (select *, case when job_sequence <= cast(floor(0.8::double * max(job_sequence) over (partition by repo)) as bigint) then 'train' else 'test' end side from runs)"
 
 

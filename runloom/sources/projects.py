@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.keys import trimmed
 from runloom.sources.csv_rejects import BYTE_ORDER_MARK, HEADER
+from runloom.sources.tables import require_columns
 
 NOT_MAIN = ("-patches.csv", "-pr.csv", "-offenders.csv")
 REQUIRED = set(HEADER)
@@ -67,10 +68,7 @@ def project_folders(spark: SparkSession, root: str) -> list[str]:
 
 def read_results(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """The result rows of one project in normal types. Raises ValueError if a required column is missing."""
-    df = read_text_csv(spark, path)
-    missing = REQUIRED - set(df.columns)
-    if missing:
-        raise ValueError(f"{path}: missing columns {sorted(missing)}")
+    df = require_columns(read_text_csv(spark, path), REQUIRED, path)
     ms = real_number("duration") * 1000
     numbers = [whole_number(c).alias(n) for c, n in (("index", "test_index"), ("count", "run_count"), ("failures", "failures"), ("errors", "errors"), ("skipped", "skipped"))]
     return df.withColumn("line_id", F.monotonically_increasing_id()).select("line_id", F.lit(repo).alias("repo"), bare("travisJobId").alias("job_id"), bare("testName").alias("test_id"), ms.alias("duration_ms"), *numbers)
@@ -107,6 +105,15 @@ def dry_run(results: DataFrame, mapping: DataFrame, patches: DataFrame | None =
     return got.withColumn("warning", F.greatest("unmapped_rate", "null_duration_rate") > MOST_MISSING)
 
 
+def load_totals(reports: DataFrame) -> DataFrame:
+    """One row over the ``dry_run`` reports of several projects: sums, and the rates and warning of the whole."""
+    counts = ["rows", "unmapped", "null_durations", "patch_rows"]
+    got = reports.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("rows")), F.lit(0.0))
+    got = got.withColumn("unmapped_rate", rate("unmapped")).withColumn("null_duration_rate", rate("null_durations"))
+    return got.withColumn("warning", F.greatest("unmapped_rate", "null_duration_rate") > MOST_MISSING)
+
+
 def read_selected(spark: SparkSession, path: str) -> DataFrame:
     """(project) of the rows of a Markdown table with at least five cells whose fifth is exactly SELECTED."""
     cells = F.transform(F.split(F.expr("trim(both '|' from trim(value))"), r"\|"), lambda x: F.trim(x))
@@ -171,11 +178,20 @@ def read_numstat(spark: SparkSession, path: str, repo: str) -> DataFrame:
     return spark.read.text(path).where(F.size(p) >= 4).select(F.lit(repo).alias("repo"), F.trim(p[0]).alias("commit_sha"), parent.alias("parent_no"), p[1].alias("added"), p[2].alias("deleted"), p[3].alias("path"))
 
 
-def read_sources(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """(repo, path, text) of the Java files under a folder."""
+def read_sources(spark: SparkSession, root: str, repo: str, revision: str | None = None) -> DataFrame:
+    """(repo, revision, path, text) of the Java files under a folder: a work tree, or the export of one revision."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").text(root, wholetext=True)
     inside = F.expr(f"substring_index(_metadata.file_path, '{PurePosixPath(root).name}/', -1)")
-    return df.select(F.lit(repo).alias("repo"), inside.alias("path"), F.col("value").alias("text"))
+    return df.select(F.lit(repo).alias("repo"), F.lit(revision).cast("string").alias("revision"), inside.alias("path"), F.col("value").alias("text"))
+
+
+def sources_at(sources: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(repo, commit_sha, path, text) for each of ``wanted`` (repo, commit_sha, path): the text of that revision, else of the work tree (revision null)."""
+    key = ["repo", "path"]
+    old = sources.where("revision is not null").select(*key, F.col("revision").alias("commit_sha"), F.col("text").alias("_then"))
+    now = sources.where("revision is null").select(*key, F.col("text").alias("_now"))
+    got = wanted.join(old, [*key, "commit_sha"], "left").join(now, key, "left").withColumn("text", F.coalesce("_then", "_now"))
+    return got.where(F.col("text").isNotNull()).select("repo", "commit_sha", "path", "text")
 
 
 def write_once(df: DataFrame, path: str, force: bool = False) -> bool:

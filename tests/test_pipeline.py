@@ -72,6 +72,8 @@ def test_order_and_known_means(small):
     assert [r.timestamp is None for r in got] == sorted(r.timestamp is None for r in got) or got[0].timestamp is None  # a day per job lies before real times
     keys = [(r.timestamp if r.timestamp is not None else r.job_sequence * 86400, r.job_sequence, r.commit_sha or "~", r.test_id) for r in got]
     assert keys == sorted(keys)
+    profile = quality.repo_profile(small).first()
+    assert (profile.rows, profile.failures, profile.failure_rate, profile.by_sequence_pct, profile.meta_missing_pct) == (8, 1, 0.125, 25.0, 25.0)
     days = [r.days_since_last_fail for r in small.collect() if r.days_since_last_fail != 999.0]
     m = {r.feature: r for r in matrix.known_means(small).collect()}["days_since_last_fail"]
     assert m.known == len(days) and m.mean == (pytest.approx(sum(days) / len(days)) if days else None)
@@ -86,6 +88,8 @@ def test_temporal_split(spark):
     assert {r[0] for r in train.select("job_sequence").collect()} == set(range(1, 9)) and {r[0] for r in test.select("job_sequence").collect()} == {9, 10}
     train, test = split.temporal_split(jobs(spark, 2))
     assert train.count() == test.count() == 2
+    train, test = split.temporal_split(jobs(spark, 17))
+    assert not train.select("job_sequence").intersect(test.select("job_sequence")).count()
     with pytest.raises(ValueError, match="one repo"):
         split.temporal_split(jobs(spark, 2).union(jobs(spark, 2, "b")))
     with pytest.raises(ValueError, match="missing"):
@@ -176,6 +180,9 @@ def test_run_checks_writes_once_and_unites(spark, make_runs, make_commits, tmp_p
     for repo in ("a@b", "c@d"):
         assert rows(pipeline.run(spark, str(tables), str(tmp_path / "out"), repo)) == [(repo, 0, 21)]
     assert pipeline.run(spark, str(tables), str(tmp_path / "out"), "a@b") is None
+    assert pipeline.run(spark, str(tables), str(tmp_path / "out"), "a@b", force=True, coverage=70.0) is not None
+    with pytest.raises(ValueError, match="a@b: 100.0% of the commits"):
+        pipeline.run(spark, str(tables), str(tmp_path / "out"), "a@b", force=True, coverage=100.5)
     full = pipeline.assemble(spark, [str(tmp_path / f"out/{r}_features.parquet") for r in ("a@b", "c@d")], str(tmp_path / "full"))
     assert full.count() == 42 and spark.read.parquet(str(tmp_path / "full")).columns == list(matrix.COLUMNS)
     assert rows(pipeline.sample(full.select("test_id").distinct(), 2, "test_id")) == rows(pipeline.sample(full.select("test_id").distinct(), 2, "test_id"))

@@ -40,6 +40,8 @@ def test_results_to_runs(spark, root):
     assert tuple(P.dry_run(df.limit(0), mapping, patches).first()) == (0, 0, 0, 1, 0.0, 0.0, False)
     outcome = rows(df.withColumn("outcome", ingest.derived_outcome()), "line_id", "outcome")
     assert [o for _, o in outcome] == ["PASS", "FAIL", "PASS", "SKIPPED"]
+    whole = P.load_totals(P.dry_run(df, mapping, patches).unionByName(P.dry_run(df.limit(0), mapping)))
+    assert tuple(whole.first()) == (4, 2, 1, 1, 0.5, 0.25, True)
     (root / "bad.csv").write_text("testName\nx\n")
     with pytest.raises(ValueError, match="missing columns"):
         P.read_results(spark, str(root / "bad.csv"), "r")
@@ -58,7 +60,13 @@ def test_patches_offenders_and_git(spark, root):
     assert rows(P.read_numstat(spark, str(root / "num.txt"), "r")) == [("r", "abc", 1, "1", "-", "p/x.java"), ("r", "abc", 2, "7", "0", "p/x.java")]
     (root / "src").mkdir()
     (root / "src/X.java").write_text("class X {}")
-    assert rows(P.read_sources(spark, str(root / "src"), "r")) == [("r", "X.java", "class X {}")]
+    now = P.read_sources(spark, str(root / "src"), "r")
+    assert rows(now) == [("r", None, "X.java", "class X {}")]
+    (root / "old").mkdir()
+    (root / "old/X.java").write_text("class X0 {}")
+    both = now.unionByName(P.read_sources(spark, str(root / "old"), "r", "s1"))
+    wanted = spark.createDataFrame([("r", "s1", "X.java"), ("r", "s2", "X.java"), ("r", "s1", "Y.java")], "repo string, commit_sha string, path string")
+    assert rows(P.sources_at(both, wanted), "commit_sha", "text") == [("s1", "class X0 {}"), ("s2", "class X {}")]
 
 
 def test_reports(spark, root):
@@ -92,6 +100,14 @@ def test_insert_new(spark):
     assert [r.k for r in ingest.insert_new(a, b, ["k"]).collect()] == [2]
 
 
+def test_append_new_counts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(path)
+    b = spark.createDataFrame([(1, "y"), (2, "z"), (2, "w"), (3, "u")], "k int, v string")
+    assert ingest.append_new(b, path, ["k"]) == 2 and ingest.append_new(b, path, ["k"]) == 0
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
 def test_reports_in_xml(spark, tmp_path):
     (tmp_path / "TEST-a.xml").write_text(
         '<?xml version="1.0"?><testsuite name="s"><testcase classname="p.A" name="x" time="0.5"/><testcase classname="p.A" name="y" time="0.25"><failure message="m">trace</failure></testcase>'
