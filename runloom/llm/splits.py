@@ -24,6 +24,7 @@ from runloom.llm.ranks import numbered
 from runloom.session import stored
 
 TASK_LINKS = 2_000_000  # that one task holds
+PLAN_ROWS = 1_000_000  # of the plan that are broadcast; nearly all groups have size 1, so a join by size is uneven
 FAN = 4  # a level has a fourth of the tasks of the one before
 
 
@@ -198,7 +199,8 @@ def assign_splits(jobs: DataFrame, labels: DataFrame, shares: dict[str, float])
             if n:
                 plan.append((size, at, at + n, name))
             at += n
+    small = len(plan) <= PLAN_ROWS
     plan = jobs.sparkSession.createDataFrame(plan, "p_size bigint, lo bigint, hi bigint, split string")
     of = (F.col("size") == F.col("p_size")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))
-    split = numbered(sized, "size", "group_id").join(plan, of).select("group_id", "split")
+    split = numbered(sized, "size", "group_id").join(F.broadcast(plan) if small else plan, of).select("group_id", "split")
     return jobs.join(split, "group_id").select("job", "group_id", "rows", "split")
