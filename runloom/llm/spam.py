@@ -119,9 +119,13 @@ class Reader:
 
     def weight(self, text: str) -> float:
         """Letters and digits, CJK letters by their weight; runs of a few characters count nothing, words joined without blanks each by itself."""
+        words = text.split()
+        if not words:
+            return 0.0
         if text.isascii():
-            return float(sum(len(w) if len(w) <= LONG_WORD else self.joined(w) for w in text.split()))
-        n = sum(len(w) if len(w) <= LONG_WORD else self.joined(w) for w in text.split() if len(set(w)) > 2 or len(w) < 6)
+            n = sum(map(len, words))
+            return float(n if n <= LONG_WORD or max(map(len, words)) <= LONG_WORD else sum(len(w) if len(w) <= LONG_WORD else self.joined(w) for w in words))
+        n = sum(len(w) if len(w) <= LONG_WORD else self.joined(w) for w in words if len(w) < 6 or len(set(w)) > 2)
         return n + (CJK_WEIGHT - 1) * len(self.re["cjk"].findall(text))
 
     def joined(self, word: str) -> int:
