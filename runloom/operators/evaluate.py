@@ -54,6 +54,23 @@ def failure_matrix(failures: DataFrame, files: DataFrame) -> DataFrame:
     return failures.join(files, ["repo", "commit_sha"]).groupBy("repo", "file_path", "test_id").agg(F.count("*").alias("n"))
 
 
+HOT_SHARE = 1000  # a key with more than this part of all rows is hot: there are fewer than so many
+SALTS = 32
+
+
+def salted(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with a further key ``_salt`` that cuts the hot keys of ``many`` into SALTS parts, told by ``by``; their
+    rows of ``few`` are repeated once per part. What the hot keys of a task join to is then a SALTS-th of the whole."""
+    counts = stored(many.groupBy(*keys).agg(F.count("*").alias("_n")), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") > total / HOT_SHARE).select(*keys, F.lit(True).alias("_hot")))  # fewer than HOT_SHARE rows
+    left = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    zero = F.lit(0).cast("bigint")
+    parts = F.when(F.col("_hot"), F.sequence(zero, zero + SALTS - 1)).otherwise(F.array(zero))
+    right = few.join(hot, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return left, right
+
+
 def matrix_scores(current: DataFrame, files: DataFrame, matrix: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """(repo, commit_sha, test_id, score) for the distinct (repo, commit_sha, test_id) of ``current``: the sum of the matrix over the
     commit's files; with ``changes`` (repo, file_path, changed) each entry is divided by how often the file was changed."""
@@ -61,7 +78,9 @@ def matrix_scores(current: DataFrame, files: DataFrame, matrix: DataFrame, chang
     if changes is not None:
         matrix = matrix.join(changes, ["repo", "file_path"])
         weight = weight / F.col("changed")
-    by_commit = files.join(current.select("repo", "commit_sha").distinct(), ["repo", "commit_sha"], "left_semi").join(matrix, ["repo", "file_path"])
+    changed = files.join(current.select("repo", "commit_sha").distinct(), ["repo", "commit_sha"], "left_semi")
+    left, right = salted(changed, matrix, ["repo", "file_path"], "commit_sha")
+    by_commit = left.join(right, ["repo", "file_path", "_salt"])
     scores = by_commit.groupBy("repo", "commit_sha", "test_id").agg(F.sum(weight).alias("score"))
     tests = current.select("repo", "commit_sha", "test_id").distinct()
     return tests.join(scores, ["repo", "commit_sha", "test_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

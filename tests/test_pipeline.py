@@ -126,6 +126,15 @@ def test_matrix_scores(spark):
     assert rows(evaluate.matrix_scores(now, files, m, changes), "test_id", "score") == [("t", 1.0), ("u", 0.5), ("v", 0.0)]
 
 
+def test_salted_join_loses_nothing(spark):
+    """Keys with a third of all rows, and rare ones, join as without salts."""
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("k"), F.col("id").alias("c"))
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4)], "k string, v int")
+    left, right = evaluate.salted(many, few, ["k"], "c")
+    assert left.where("k = 'hot'").select("_salt").distinct().count() == evaluate.SALTS and left.count() == 3000
+    assert rows(left.join(right, ["k", "_salt"]), "k", "c", "v") == rows(many.join(few, "k"), "k", "c", "v")
+
+
 def test_ema(spark):
     runs = spark.createDataFrame([("r", "t", k, f) for k, f in enumerate([1, 0, 1])], "repo string, test_id string, job_sequence bigint, failed int")
     p = 0.0
