@@ -60,7 +60,7 @@ RESULT = r"(?:Test|IT|TestCase|Spec)\b.{0,200}\b(?:PASS|PASSED|FAIL|FAILED|ERROR
 DIGEST = r"\b[0-9a-f]{16,}\b"
 PATH = r"(?:^|\s)[\w.-]+(?:/[\w.-]+)+\.\w{1,6}(?=[\s:|,]|$)"
 SHORT_LINE = 400
-SENTENCE_END = r"(?:[.!?…][\"')\]]?|\w:)\s+|[。！？]"  # a title before a colon stands for itself
+SENTENCE_END = r"[.!?…][\"')\]]?\s+|(?<=\w):\s+|[。！？]"  # a title before a colon stands for itself
 SEPARATORS = r"[,;|·/•>=\t«»–—、]|\s-\s"
 WORD = r"[^\W\d_](?:[\w'’]*\w)?"
 JOINT = r"[^\w'’]+|_+"  # between words joined without blanks
@@ -162,10 +162,11 @@ class Reader:
                     project += self.weight(line)
                     continue
                 if len(line) > SHORT_LINE:
-                    for kind in ("digest", "path", "result", "call"):
-                        for part in self.re[kind].findall(line):
-                            project += self.weight(part)
-                        line = self.re[kind].sub(" ", line)
+                    for kind, needs in (("digest", ""), ("path", "/"), ("result", ""), ("call", "(")):
+                        if needs in line:
+                            parts: list[str] = []
+                            line = self.re[kind].sub(lambda m: parts.append(m.group()) or " ", line)  # noqa: B023
+                            project += sum(map(self.weight, parts))
             link = float(sum(map(len, found)))
             rest = self.re["link"].sub(" ", line) if found else line
             if markup:
