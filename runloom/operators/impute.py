@@ -238,7 +238,7 @@ class Coding:
 
 
 def contingency(rows: DataFrame, coding: Coding, sizes: list[int]) -> dict[tuple[int, int], np.ndarray]:
-    """Counts of each pair of fields over all rows that have both: added up within tasks, then over tasks."""
+    """Counts of each pair of fields over all rows that have both: added up within tasks, a few per core whatever the rows, then over tasks."""
     pairs = list(combinations(range(len(sizes)), 2))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +252,8 @@ def contingency(rows: DataFrame, coding: Coding, sizes: list[int]) -> dict[tuple
             at = np.flatnonzero(table)
             yield pd.DataFrame({"pair": np.full(len(at), k, dtype=np.int32), "cell": at.astype(np.int32), "n": table[at]})
 
-    cells = rows.select(*coding.names).mapInPandas(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()
+    few = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    cells = rows.select(*coding.names).coalesce(few).mapInPandas(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()
     out = {}
     for k, (a, b) in enumerate(pairs):
         part = cells[cells["pair"] == k]

@@ -403,15 +403,35 @@ history_query("test_history_features", *history.COLUMNS)
 
 # Dependencies
 
+
+def referenced_classes(documents: DataFrame) -> DataFrame:
+    """(cls, name): the classes that Java code in documents creates, standing for the imports of the class the code is of. A text may hold the code of
+    several classes, each from its ``public class`` to the next."""
+    parts = F.split("text", "public class ")
+    code = documents.where(F.col("text").contains("public class ")).select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("code"))
+    return code.select(F.regexp_extract("code", r"^(\w+)", 1).alias("cls"), F.explode(F.regexp_extract_all("code", F.lit(r"new (\w+)\("), F.lit(1))).alias("name")).where("cls <> ''").distinct()
+
+
+def test_imports(spark: SparkSession, d: str, tests: DataFrame) -> DataFrame:
+    """(repo, test_id, name) for the tests whose class some code in documents is of; the code names no repo, so it counts in all that have the test."""
+    own = tests.select("repo", "test_id").distinct().withColumn("cls", F.substring_index("test_id", ".", -1))
+    return own.join(referenced_classes(table(spark, d, "documents")), "cls").select("repo", "test_id", "name")
+
+
 SQL_PACKAGE = lambda p: rf"replace(regexp_extract(case when contains({p}, 'src/main/java/') then regexp_extract({p}, 'src/main/java/(.*)$', 1) else regexp_extract({p}, 'src/test/java/(.*)$', 1) end, '^(.*)/[^/]*$', 1), '/', '.')"
 SQL_MODULE = lambda p: f"case when contains({p}, '/') then split_part({p}, '/', 1) else '.' end"
 CTE_DEPENDENCY = rf"""sources as (select repo, test_id, arg_min(file_path, (length(file_path), file_path)) path from (
   select distinct repo, file_path, replace(regexp_replace(regexp_extract(file_path, 'src/test/java/(.*)$', 1), '\.[^./]*$', ''), '/', '.') test_id from files where contains(file_path, 'src/test/java/') and lower(file_path) like '%.java') group by 1, 2),
 tests as (select distinct repo, commit_sha, test_id from runs where commit_sha is not null),
+segments as (select unnest(string_split(text, 'public class ')[2:]) code from documents where contains(text, 'public class ')),
+code as (select distinct * from (select regexp_extract(code, '^([0-9A-Za-z_]+)', 1) cls, unnest(regexp_extract_all(code, 'new ([0-9A-Za-z_]+)\(', 1)) as name from segments) where cls <> ''),
+overlap as (select t.repo, t.commit_sha, t.test_id, count(distinct f.file_path) n from tests t join code c on regexp_extract(t.test_id, '([^.]*)$', 1) = c.cls
+  join files f on f.repo = t.repo and f.commit_sha = t.commit_sha and lower(f.file_path) like '%.java' and regexp_extract(f.file_path, '([^/]+?)(\.[^./]*)?$', 1) = c.name group by all),
 placed_files as (select *, {SQL_PACKAGE('file_path')} package, {SQL_MODULE('file_path')} module from files),
 joined as (select t.*, s.path, {SQL_PACKAGE('s.path')} tp, {SQL_MODULE('s.path')} tm from tests t left join sources s on t.repo = s.repo and t.test_id = s.test_id),
 dependency as (select j.repo, j.commit_sha, j.test_id,
-  cast(j.path is not null and exists (from files f where f.repo = j.repo and f.commit_sha = j.commit_sha and f.file_path = j.path) as int) test_file_touched, 0 import_overlap,
+  cast(j.path is not null and exists (from files f where f.repo = j.repo and f.commit_sha = j.commit_sha and f.file_path = j.path) as int) test_file_touched,
+  case when j.path is null then 0 else coalesce((select n from overlap o where o.repo = j.repo and o.commit_sha = j.commit_sha and o.test_id = j.test_id), 0) end import_overlap,
   cast(j.path is not null and exists (from placed_files f where f.repo = j.repo and f.commit_sha = j.commit_sha and f.package = j.tp) as int) same_package,
   cast(coalesce((select count(*) from placed_files f where f.repo = j.repo and f.commit_sha = j.commit_sha and f.module = j.tm and j.path is not null), 0) as int) changed_files_in_module, cast(j.path is null as int) dependency_parse_failed from joined j)"""
 
@@ -430,31 +450,18 @@ dependency_query("dependency_same_package", "same_package")
 dependency_query("dependency_module_files", "changed_files_in_module")
 
 
-def referenced_classes(documents: DataFrame) -> DataFrame:
-    """(test_id, name): the classes that Java code in documents creates, standing for the imports of the class the code is of."""
-    code = documents.where(F.col("text").contains("public class ")).select(F.regexp_extract("text", r"public class (\w+)", 1).alias("test_id"), F.explode(F.regexp_extract_all("text", F.lit(r"new (\w+)\("), F.lit(1))).alias("name"))
-    return code.distinct()
-
-
-@query(
-    with_(CTE_FILES)
-    + r""", code as (select distinct regexp_extract(text, 'public class ([0-9A-Za-z_]+)', 1) cls, unnest(regexp_extract_all(text, 'new ([0-9A-Za-z_]+)\(', 1)) as name from documents where contains(text, 'public class '))
-  select f.repo, f.commit_sha, c.cls test_id, count(distinct file_path) import_overlap from files f join code c on regexp_extract(f.file_path, '([^/]+?)(\.[^./]*)?$', 1) = c.name where lower(file_path) like '%.java' group by all"""
-)
+@query(with_(CTE_RUNS, CTE_FILES, CTE_DEPENDENCY) + "select repo, commit_sha, test_id, n import_overlap from overlap")
 def dependency_import_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """The code in documents names no repo, so a class is known by its name in all of them."""
-    imports, files = referenced_classes(table(spark, d, "documents")), stored(files_of(spark, d), "files")
-    named = files.where(F.lower("file_path").endswith(".java")).select("repo", "commit_sha", dependency.class_name(F.col("file_path")).alias("name"))
-    tests = named.join(imports, "name").select("repo", "commit_sha", "test_id").distinct()
-    per_repo = tests.select("repo", "test_id").distinct().join(imports, "test_id")
-    return dependency.import_overlap(tests, per_repo, files)
+    tests = stored(ingest.first_rows(table(spark, d, "test_runs"), "commit_sha").where("commit_sha is not null").select("repo", "commit_sha", "test_id").distinct(), "tests")
+    return dependency.import_overlap(tests, test_imports(spark, d, tests), files_of(spark, d))
 
 
 # Matrix, gates, splits
 
 
 def matrix_of(spark: SparkSession, d: str, *carry: str) -> DataFrame:
-    return matrix.feature_matrix(stored(runs_of(spark, d), "runs"), commits_of(spark, d), stored(files_of(spark, d), "files"), carry=carry)
+    runs = stored(runs_of(spark, d), "runs")
+    return matrix.feature_matrix(runs, commits_of(spark, d), stored(files_of(spark, d), "files"), imports=test_imports(spark, d, runs), carry=carry)
 
 
 CTE_MATRIX = """author_features as (select * from author_time union all select * from author_seq s where not exists (from author_time t where t.repo = s.repo and t.commit_sha = s.commit_sha)),
