@@ -30,6 +30,8 @@ from runloom.session import spread
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern that splits text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same for texts of ASCII characters only, for the faster engine: letters, digits and white space are spelt out.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 START = -1
 NEVER = 1 << 40
 KEPT_WORDS = 300_000
@@ -163,18 +165,21 @@ class Encoder:
                 self[word] = ids
             return ids
 
-    def __init__(self, automaton: TokenAutomaton, pattern: str = PATTERN):
+    def __init__(self, automaton: TokenAutomaton):
+        import re
+
         import regex
 
-        self.words, self.pattern = Encoder._Words(automaton), regex.compile(pattern)
+        self.words, self.pattern, self.ascii_pattern = Encoder._Words(automaton), regex.compile(PATTERN), re.compile(ASCII_PATTERN)
 
     def encode(self, text: str | None) -> array:
         """The ids of a text; none for an empty or null one."""
         if not text:
             return array("i")
+        pattern = self.ascii_pattern if text.isascii() else self.pattern
         if len(text) < LONG_TEXT:
-            return array("i", chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text))))
-        out, found = array("i"), self.pattern.finditer(text)
+            return array("i", chain.from_iterable(map(self.words.__getitem__, pattern.findall(text))))
+        out, found = array("i"), pattern.finditer(text)
         while part := [m.group() for m in islice(found, 100_000)]:
             out.extend(chain.from_iterable(map(self.words.__getitem__, part)))
         return out

@@ -82,3 +82,11 @@ def test_frame(spark, public):
     assert got == {k: public.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
     assert rows(T.token_counts(df)) == [(k, len(v)) for k, v in sorted(got.items())]
     assert T.token_ids(df.limit(0)).count() == 0
+
+
+def test_ascii_texts_are_split_alike():
+    """The pattern for ASCII texts against the general one, over all ASCII characters, control characters too."""
+    encoder, rng = T.Encoder(T.TokenAutomaton(256)), random.Random(9)
+    for _ in range(20_000):
+        text = "".join(rng.choice([chr(rng.randrange(128)), rng.choice(" \n\t'sltred09aZ")]) for _ in range(rng.randrange(30)))
+        assert encoder.ascii_pattern.findall(text) == encoder.pattern.findall(text), repr(text)
