@@ -23,7 +23,8 @@ def feature_matrix(runs: DataFrame, commits: DataFrame, files: DataFrame, numsta
     per_commit = C.commit_features(keys, commits, files, numstat).join(C.author_features(keys, C.author_commits(runs, commits)), ["repo", "commit_sha"])
     per_test = dependency.dependency_features(runs.where(F.col("commit_sha").isNotNull()), files, imports, poms, sources)
     past = history.test_history(runs, ("id", "repo", "commit_sha", "test_id", "failed", "timestamp", "job_sequence"), is_stored=True)
-    out = past.join(per_commit, ["repo", "commit_sha"], "left").join(per_test, ["repo", "commit_sha", "test_id"], "left").withColumn("label", F.col("failed"))
+    known = per_test.join(per_commit, ["repo", "commit_sha"])  # they meet first: the rows of the history are shuffled once more, not twice
+    out = past.join(known, ["repo", "commit_sha", "test_id"], "left").withColumn("label", F.col("failed"))
     missing = {"commit_meta_missing": 1, "commit_diff_missing": 1, "author_failure_rate_90d": -1.0, "author_feature_fallback": 1, "feature_source": "job_sequence", "dependency_parse_failed": 1}
     fill = [F.coalesce(c, F.lit(missing.get(c, 0))).alias(c) for c in (*C.COMMIT_COLUMNS, *C.AUTHOR_COLUMNS, *dependency.COLUMNS)]
     return out.select(*carry, *KEYS, *fill, *history.COLUMNS).select(*carry, *COLUMNS)

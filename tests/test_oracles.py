@@ -6,6 +6,7 @@ import pytest
 
 from runloom.operators import evaluate
 from runloom.plans import problems, reference
+from runloom.session import stored
 from tests.oracle import database, differ
 
 DIR = "/root/testdata/sf0.001"
@@ -19,8 +20,15 @@ def con():
     return database(DIR)
 
 
+@pytest.fixture(scope="module")
+def whole_matrix(spark):
+    return stored(reference.matrix_of(spark, DIR), "matrix")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, con, name):
+def test_query(spark, con, name, whole_matrix, monkeypatch):
+    if name != "feature_matrix":  # built anew for its own test only
+        monkeypatch.setattr(reference, "matrix_of", lambda spark, d: whole_matrix)
     df = QUERIES[name](spark, DIR)
     if name in SQL:
         assert not differ(df, con, SQL[name])
