@@ -89,12 +89,23 @@ def commit_features(keys: DataFrame, commits: DataFrame, files: DataFrame, numst
     )
 
 
-def author_commits(runs: DataFrame, commits: DataFrame) -> DataFrame:
-    """(repo, commit_sha, author_email, ts, failed, first_seq, first_fail_seq) of each commit that was tested and has an author."""
-    tested = runs.where(F.col("commit_sha").isNotNull()).groupBy("repo", "commit_sha").agg(F.max("failed").alias("failed"), F.min("job_sequence").alias("first_seq"), F.min(F.when(F.col("failed") == 1, F.col("job_sequence"))).alias("first_fail_seq"))
+def tested_commits(runs: DataFrame) -> DataFrame:
+    """(repo, commit_sha, failed, first_seq, first_fail_seq, n, fails) of each commit with runs; n and fails count its runs."""
+    fail = F.col("failed") == 1
+    return runs.where(F.col("commit_sha").isNotNull()).groupBy("repo", "commit_sha").agg(F.max("failed").alias("failed"), F.min("job_sequence").alias("first_seq"), F.min(F.when(fail, F.col("job_sequence"))).alias("first_fail_seq"), F.count("*").alias("n"), F.count_if(fail).alias("fails"))
+
+
+def with_authors(tested: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repo, commit_sha, author_email, ts, failed, first_seq, first_fail_seq) of the ``tested_commits`` that have an author."""
+    tested = tested.select("repo", "commit_sha", "failed", "first_seq", "first_fail_seq")
     return tested.join(commits.select("repo", "commit_sha", "author_email", F.col("committed_ts").alias("ts")), ["repo", "commit_sha"]).where(F.col("author_email").isNotNull())
 
 
+def author_commits(runs: DataFrame, commits: DataFrame) -> DataFrame:
+    """``with_authors`` of each commit that was tested."""
+    return with_authors(tested_commits(runs), commits)
+
+
 def _rated(count: Column, fails: Column) -> list[Column]:
     return [count.alias("author_commit_count_90d"), F.when(count < LEAST_COMMITS, F.lit(-1.0)).otherwise(fails / count).alias("author_failure_rate_90d")]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.session import stored
+
 COLUMNS = ("test_file_touched", "import_overlap", "same_package", "changed_files_in_module", "dependency_parse_failed")
 TEST_ROOT = "src/test/java/"
 
@@ -19,6 +21,12 @@ def class_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def java_class(path: Column) -> Column:
+    """``class_name`` of a path that ends in ``.java``, without a pattern."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(F.length(name) > 5, F.left(name, F.length(name) - 5)).otherwise(name)
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
@@ -128,3 +136,45 @@ def dependency_features(tests: DataFrame, files: DataFrame, imports: DataFrame |
         n("in_module").alias("changed_files_in_module"),
         F.when(seen, 0).otherwise(1).alias("dependency_parse_failed"),
     )
+
+
+SMALL = 1_000_000  # rows of up to five numbers that may be broadcast
+
+
+def dependency_counts(runs: DataFrame, files: DataFrame, imports: DataFrame | None = None, poms: DataFrame | None = None, sources: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+    """(feature, value, n, failed): how many of the ``runs`` whose test has a known source, and of the failed ones, have each value of the columns of
+    ``dependency_features``; all others have the columns' defaults. runs: repo, commit_sha, test_id, failed; they and files are stored.
+
+    Runs and files meet in one aggregate by commit and path, package, module or importing test, each told by a hash: what the files say of a
+    key is the value of its runs, so no row of the features is made. Tables of up to ``small`` rows of two to five numbers are broadcast, larger ones joined by a shuffle.
+    """
+    key, test, h = ["repo", "commit_sha"], ["repo", "test_id"], F.xxhash64
+    runs = runs.where(F.col("commit_sha").isNotNull()).select(*key, "test_id", "failed")
+    located = located_sources(runs, sources) if sources is not None else None
+    at_hand = lambda df: F.broadcast(df) if df.count() <= small else df
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    of_file = lambda df: df.select("commit", "kind", "key", one.alias("files"), zero.alias("n"), zero.alias("failed"))
+    keys = lambda *c: F.posexplode(F.array(*c)).alias("kind", "key")
+    sums = lambda *c: [F.sum(x).alias(x) for x in c]
+
+    known = test_sources(files, poms, located).select(h(*test).alias("test"), *[h(c).alias(c) for c in ("test_path", "test_package", "test_module")])
+    placed = modules(files, poms).select(h(*key).alias("commit"), keys(h("file_path"), h(package_of(F.col("file_path"))), h("module")))
+    said = of_file(placed)
+    if imports is None:
+        known = known.withColumn("importing", F.lit(None).cast("bigint"))
+    else:
+        of_class = h("repo", F.element_at(F.split("name", r"\."), -1))
+        links = stored(imports.select(of_class.alias("class"), h(*test).alias("importing")).distinct(), "imports")
+        known = known.join(links.select("importing").distinct(), F.col("test") == F.col("importing"), "left")
+        java = files.where(F.lower("file_path").endswith(".java")).select(h(*key).alias("commit"), h("repo", java_class(F.col("file_path"))).alias("class"))
+        said = said.unionByName(of_file(java.join(at_hand(links), "class").select("commit", F.lit(3).alias("kind"), F.col("importing").alias("key"))))
+    known = stored(known, "sources")
+    seen = runs.withColumn("test", h(*test)).join(at_hand(known), "test")
+    of_runs = seen.select(h(*key).alias("commit"), keys("test_path", "test_package", "test_module", "importing"), zero.alias("files"), one.alias("n"), F.col("failed").cast("bigint").alias("failed"))
+    met = of_runs.where(F.col("key").isNotNull()).unionByName(said).groupBy("commit", "kind", "key").agg(*sums("files", "n", "failed")).where("n > 0")
+    value = F.when(F.col("kind").isin(2, 3), F.col("files")).otherwise(F.least("files", one)).cast("double")
+    found = stored(met.groupBy("kind", value.alias("value")).agg(*sums("n", "failed")), "dependencies")
+    names = F.array(*map(F.lit, ("test_file_touched", "same_package", "changed_files_in_module", "import_overlap")))
+    out = found.select(F.get(names, F.col("kind")).alias("feature"), "value", "n", "failed")
+    in_modules = found.where("kind = 2").agg(*sums("n", "failed")).where("n > 0")  # every run that is seen has one module
+    return out.unionByName(in_modules.select(F.lit("dependency_parse_failed").alias("feature"), F.lit(0.0).alias("value"), "n", "failed"))

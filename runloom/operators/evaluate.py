@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.operators.past import percent_ranks
+from runloom.operators.past import percent_ranks, strictly_before
 from runloom.session import stored
 
 JOB = ("repo", "job_sequence")
@@ -219,11 +221,46 @@ def label_correlation(df: DataFrame, features: tuple[str, ...], label: str = "la
 
 def mutual_information(df: DataFrame, features: tuple[str, ...], label: str = "label", bins: int = 10) -> DataFrame:
     """(feature, information) in nats between each feature, cut at its deciles, and the label; from contingency counts over all rows."""
+    return information(contingency(df, features, label, bins))
+
+
+def contingency(df: DataFrame, features: tuple[str, ...], label: str = "label", bins: int = 10) -> DataFrame:
+    """(feature, x, y, n): how many rows with the label y lie in cell x of each feature, cut at its deciles.
+
+    The columns are stored, as they are read twice: first for the deciles, then for the counts.
+    """
+    df = stored(df.select(F.col(label).alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), "columns")
     points = [k / bins for k in range(1, bins)]
-    cuts = df.agg(*[F.percentile_approx(F.col(f).cast("double"), points, 10000).alias(f) for f in features]).first()
-    cell = lambda f: sum(((F.col(f).cast("double") > F.lit(c)).cast("int") for c in sorted(set(cuts[f] or []))), F.lit(0))
-    long = df.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), cell(f).alias("x")) for f in features])).alias("c"))
-    counts = long.groupBy("c.feature", "c.x", "y").agg(F.count("*").alias("n"))
+    cuts = df.agg(*[F.percentile_approx(f, points, 10000).alias(f) for f in features]).first()
+    cell = lambda f: sum(((F.col(f) > F.lit(c)).cast("int") for c in sorted(set(cuts[f] or []))), F.lit(0))
+    long = df.select("y", F.posexplode(F.array(*map(cell, features))).alias("f", "x"))
+    counts = long.groupBy("f", "x", "y").agg(F.count("*").alias("n"))
+    return counts.select(F.get(F.array(*map(F.lit, features)), F.col("f")).alias("feature"), "x", "y", "n")
+
+
+def cut_counts(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """``contingency`` from (feature, value, n, failed), the rows of each value and the failed ones among them: the label is 0 or 1, the
+    deciles are exact. The rows below a value tell its cell: as many deciles lie below it."""
+    counts = stored(counts, "values")
+    placed = strictly_before(counts, ["feature"], "value", {"_below": F.col("n")}, distinct=True)
+    rows = placed.join(F.broadcast(counts.groupBy("feature").agg(F.sum("n").alias("_all"))), "feature")
+    cell = F.least(F.expr(f"(_below * {bins}) div _all"), F.lit(bins - 1)).cast("int")
+    cells = rows.groupBy("feature", cell.alias("x")).agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
+    labels = F.array(F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("failed")).alias("n")), F.struct(F.lit(1).alias("y"), F.col("failed").alias("n")))
+    return cells.select("feature", "x", F.explode(labels).alias("c")).select("feature", "x", "c.y", "c.n").where("n > 0")
+
+
+def information(counts: DataFrame) -> DataFrame:
+    """(feature, information) in nats from the counts of ``contingency``."""
     of = Window.partitionBy("feature")
     rows = counts.select("feature", "n", F.sum("n").over(of).alias("t"), F.sum("n").over(Window.partitionBy("feature", "x")).alias("nx"), F.sum("n").over(Window.partitionBy("feature", "y")).alias("ny"))
     return rows.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))).alias("information"))
+
+
+def completed(counts: DataFrame, total: tuple[int, int], defaults: Mapping[str, float]) -> DataFrame:
+    """(feature, value, n, failed) from ``counts`` of some rows: the others, of ``total`` rows and failed ones, have the feature's default."""
+    of = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("value")) for f, v in defaults.items()])
+    whole = counts.sparkSession.range(1).select(F.explode(of).alias("x")).select("x.*", F.lit(total[0]).cast("bigint").alias("n"), F.lit(total[1]).cast("bigint").alias("failed"))
+    found = counts.select("feature", F.lit(None).cast("double").alias("value"), (-F.col("n")).alias("n"), (-F.col("failed")).alias("failed"))
+    rest = whole.unionByName(found).groupBy("feature").agg(F.max("value").alias("value"), F.sum("n").alias("n"), F.sum("failed").alias("failed"))
+    return counts.unionByName(rest).groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed")).where("n > 0")

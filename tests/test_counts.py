@@ -1,0 +1,102 @@
+"""Values counted where they arise against the rows of the feature matrix."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from runloom.operators import commits as C
+from runloom.operators import dependency, evaluate, ingest, matrix
+from runloom.plans import reference
+from runloom.session import stored
+from tests.conftest import T0
+
+SHAS = [f"{k:040x}" for k in range(1, 31)]
+COUNTED = (*C.COMMIT_COLUMNS, *[c for c in C.AUTHOR_COLUMNS if c != "feature_source"], *dependency.COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def given(spark, make_runs, make_commits):
+    """Commits without metadata, runs without a commit, tests without a source, files of several modules and classes that tests import."""
+    rng = random.Random(5)
+    tests = [f"p{k % 3}.T{k}" for k in range(8)]
+    of = lambda k: (r := f"a@{k % 2}", SHAS[k])
+    runs = [
+        {"repo": of(k)[0], "job_id": str(100 + k), "test_id": t, "commit_sha": None if k % 7 == 0 else of(k)[1], "outcome": rng.choice(["PASS", "FAIL", "ERROR"]), "timestamp": T0 + 3600 * k if k % 3 else None}
+        for k in range(30)
+        for t in rng.sample(tests, 5)
+    ]
+    commits = [{"repo": of(k)[0], "commit_sha": of(k)[1], "author_email": f"x{k % 3}@y", "parent_count": k % 3, "message": "fix bug" if k % 4 else "", "committed_ts": T0 + 3600 * k if k % 5 else None} for k in range(30) if k % 6]
+    paths = [f"m{k % 2}/src/test/java/p{k % 3}/T{k}.java" for k in range(5)] + [f"m{k % 2}/src/main/java/p{k % 3}/C{k}.JAVA" for k in range(5)] + ["README.md", ".java", "m0/a.b.java"]
+    files = [(*of(k), p) for k in range(30) for p in rng.sample(paths, rng.randint(0, 7))]
+    imports = [(f"a@{r}", t, n) for r in (0, 1) for t in tests[2:] for n in ("x.C1", "y.C1", "C2", "a.b", "Nowhere")]
+    runs = stored(ingest.sequenced_runs(make_runs(runs)), "runs")
+    files = ingest.changed_files(spark.createDataFrame(files, "repo string, commit_sha string, file_path string"))
+    return runs, ingest.commit_rows(make_commits(commits)), stored(files, "files"), spark.createDataFrame(imports, "repo string, test_id string, name string")
+
+
+def counted(df):
+    return {(r.feature, r.value): (r.n, r.failed) for r in df.collect()}
+
+
+def by_hand(rows, columns):
+    n, failed = Counter(), Counter()
+    for r in rows:
+        for c in columns:
+            n[c, float(r[c])] += 1
+            failed[c, float(r[c])] += r["label"]
+    return {k: (n[k], failed[k]) for k in n}
+
+
+@pytest.mark.parametrize("with_imports", [True, False])
+def test_counts_are_those_of_the_matrix(given, with_imports):
+    runs, commits, files, imports = given
+    imports = imports if with_imports else None
+    rows = matrix.feature_matrix(runs, commits, files, imports=imports).collect()
+    want = by_hand(rows, COUNTED)
+    assert len({v for f, v in want if f == "import_overlap"}) == (3 if with_imports else 1)
+    assert counted(matrix.value_counts(runs, commits, files, imports=imports)) == want
+
+
+def test_shuffled_as_broadcast(given):
+    runs, _, files, imports = given
+    few, many = dependency.dependency_counts(runs, files, imports), dependency.dependency_counts(runs, files, imports, small=0)
+    assert counted(few) == counted(many)
+
+
+def test_cells_of_counts_are_those_of_rows(spark):
+    rng = random.Random(3)
+    values = [rng.choice([-1.0, 0.0, 0.5, 1.0, 7.0]) if rng.random() < 0.6 else float(rng.randint(0, 30)) for _ in range(997)]
+    data = [(v, int(rng.random() < 0.3)) for v in values]
+    at = sorted(values)
+    cuts = {at[math.ceil(k * len(at) / 10) - 1] for k in range(1, 10)}
+    want = sorted(Counter((sum(v > c for c in cuts), y) for v, y in data).values())
+    df = spark.createDataFrame(data, "v double, label int")
+    counts = df.groupBy(F.lit("v").alias("feature"), F.col("v").alias("value")).agg(F.count("*").alias("n"), F.sum("label").alias("failed"))
+    assert sorted(r.n for r in evaluate.cut_counts(counts).collect()) == want
+    whole, found = evaluate.mutual_information(df, ("v",)).first(), evaluate.information(evaluate.cut_counts(counts)).first()
+    assert found.information == pytest.approx(whole.information)
+
+
+def test_rows_are_computed_once(spark):
+    """The shuffles of a costly input were made twice, once for the deciles and once for the counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.range(100).select((F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("label")).mapInPandas(counting, "x double, label int")
+    evaluate.mutual_information(df, ("x",)).collect()
+    assert seen.value == 100
+
+
+def test_label_information_makes_no_matrix(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("the matrix of all runs is made")
+
+    monkeypatch.setattr(matrix, "feature_matrix", refuse)
+    assert {r.feature for r in reference.label_information(spark, "/root/testdata/sf0.001").select("feature").collect()} == set(reference.NUMERIC)
