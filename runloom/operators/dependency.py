@@ -173,7 +173,7 @@ def dependency_counts(runs: DataFrame, files: DataFrame, imports: DataFrame | No
     of_runs = seen.select(h(*key).alias("commit"), keys("test_path", "test_package", "test_module", "importing"), zero.alias("files"), one.alias("n"), F.col("failed").cast("bigint").alias("failed"))
     met = of_runs.where(F.col("key").isNotNull()).unionByName(said).groupBy("commit", "kind", "key").agg(*sums("files", "n", "failed")).where("n > 0")
     value = F.when(F.col("kind").isin(2, 3), F.col("files")).otherwise(F.least("files", one)).cast("double")
-    found = stored(met.groupBy("kind", value.alias("value")).agg(*sums("n", "failed")), "dependencies")
+    found = stored(met.groupBy("kind", value.alias("value")).agg(*sums("n", "failed")), "dependencies", tidy=True)
     names = F.array(*map(F.lit, ("test_file_touched", "same_package", "changed_files_in_module", "import_overlap")))
     out = found.select(F.get(names, F.col("kind")).alias("feature"), "value", "n", "failed")
     in_modules = found.where("kind = 2").agg(*sums("n", "failed")).where("n > 0")  # every run that is seen has one module

@@ -229,7 +229,7 @@ def contingency(df: DataFrame, features: tuple[str, ...], label: str = "label",
 
     The columns are stored, as they are read twice: first for the deciles, then for the counts.
     """
-    df = stored(df.select(F.col(label).alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), "columns")
+    df = stored(df.select(F.col(label).alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), "columns", tidy=True)
     points = [k / bins for k in range(1, bins)]
     cuts = df.agg(*[F.percentile_approx(f, points, 10000).alias(f) for f in features]).first()
     cell = lambda f: sum(((F.col(f) > F.lit(c)).cast("int") for c in sorted(set(cuts[f] or []))), F.lit(0))

@@ -563,9 +563,9 @@ def monotonic_gate(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def label_information(spark: SparkSession, d: str) -> DataFrame:
     """Of the features one by one: each is counted where it arises, per run, commit or key of its files; no matrix is made."""
-    runs = stored(runs_of(spark, d, "commit_sha", "duration_ms", "failed").select("repo", "commit_sha", "test_id", "failed", "duration_ms", "ets", "job_sequence"), "runs")
+    runs = stored(runs_of(spark, d, "commit_sha", "duration_ms", "failed").select("repo", "commit_sha", "test_id", "failed", "duration_ms", "ets", "job_sequence"), "runs", tidy=True)
     past = evaluate.contingency(history.test_history(runs, ("failed",), is_stored=True), history.COLUMNS, "failed")
-    rest = matrix.value_counts(runs, commits_of(spark, d), stored(files_of(spark, d), "files"), imports=test_imports(spark, d, runs))
+    rest = matrix.value_counts(runs, commits_of(spark, d), stored(files_of(spark, d), "files", tidy=True), imports=test_imports(spark, d, runs))
     return evaluate.information(past.unionByName(evaluate.cut_counts(rest)))
 
 

@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,18 @@ def test_label_information_makes_no_matrix(spark, monkeypatch):
 
     monkeypatch.setattr(matrix, "feature_matrix", refuse)
     assert {r.feature for r in reference.label_information(spark, "/root/testdata/sf0.001").select("feature").collect()} == set(reference.NUMERIC)
+
+
+def test_shuffle_files_of_a_tidy_table_are_removed(spark):
+    files = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    df = spark.range(1000).repartition("id")
+    before = files()
+    kept = stored(df, "kept")
+    assert (left := files() - before)
+    got = stored(df, "tidy", tidy=True)
+    for _ in range(50):
+        if not (files() - before - left):
+            break
+        time.sleep(0.2)
+    assert not (files() - before - left)
+    assert got.count() == kept.count() == 1000
