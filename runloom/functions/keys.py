@@ -52,8 +52,13 @@ def epoch_s(c: str | Column) -> Column:
 
 def usable_timestamp(ts: str = "timestamp", loaded: str = "loaded_at") -> Column:
     """The timestamp, or null where it stands for an absent one."""
+    return usable_before(epoch_s(loaded), ts)
+
+
+def usable_before(loaded_s: Column, ts: str = "timestamp") -> Column:
+    """``usable_timestamp`` where the seconds of loading are at hand."""
     t = F.col(ts)
-    return F.when((t > FIRST_TIMESTAMP) & (t <= epoch_s(loaded)), t)
+    return F.when((t > FIRST_TIMESTAMP) & (t <= loaded_s), t)
 
 
 def usable_sequence(c: str = "job_sequence") -> Column:

@@ -26,6 +26,7 @@ from runloom.session import stored
 Aliases = Callable[[DataFrame], DataFrame]
 SMALL = 1_000_000
 GROUP = "of_"
+SLICE = 16_384  # rows whose codes stay in the cache while their pairs are counted
 
 @dataclass
 class Bins:
@@ -112,6 +113,29 @@ class Tree:
 
         return belief(target, -1)
 
+    def told_by(self, target: int, pattern: tuple[bool, ...]) -> list[int]:
+        """The observed fields that the posterior of ``target`` depends on: those met first on each way from it."""
+        met, ways = [], [(target, -1)]
+        while ways:
+            node, but = ways.pop()
+            for other in self.near[node]:
+                if other != but:
+                    ways.append((other, node)) if pattern[other] else met.append(other)
+        return sorted(met)
+
+    def decoded(self, target: int, codes: np.ndarray, pattern: tuple[bool, ...]) -> np.ndarray:
+        """The median bin of each row's posterior, which is worked out once for all rows that observe the same."""
+        first, same = distinct(codes, self.told_by(target, pattern), [len(m) for m in self.marginal])
+        return middle(self.posterior(target, codes[first], pattern))[same]
+
+
+def distinct(codes: np.ndarray, fields: Sequence[int], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows' combinations of ``fields``: a row that has each, and for every row which one it has."""
+    first, same = np.zeros(min(1, len(codes)), dtype=np.int64), np.zeros(len(codes), dtype=np.int64)
+    for k in fields:
+        _, first, same = np.unique(same * sizes[k] + codes[:, k], return_index=True, return_inverse=True)
+    return first, same
+
 
 def middle(log_posterior: np.ndarray) -> np.ndarray:
     """The median bin of each row's posterior."""
@@ -119,16 +143,16 @@ def middle(log_posterior: np.ndarray) -> np.ndarray:
     return (p >= 0.5 * p[:, -1:]).argmax(1)
 
 
-def frequent(rows: DataFrame, column: str, top: int) -> DataFrame:
-    """(column, code): the ``top`` most frequent values; at most that many rows."""
+def frequent(rows: DataFrame, column: str, top: int) -> tuple[DataFrame, int]:
+    """(column, code): the ``top`` most frequent values; at most that many rows, and how many."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(top)
     got = [(r[0], k) for k, r in enumerate(counts.collect())]
-    return rows.sparkSession.createDataFrame(got, f"{column} string, code int")
+    return rows.sparkSession.createDataFrame(got, f"{column} string, code int"), len(got)
 
 
 def log_units(f: str) -> Column:
     """A value that is not negative, on a logarithmic scale in millionths: whole numbers, whose sums do not depend on the order of rows."""
-    return F.round(F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))) * 1e6).cast("bigint")
+    return F.rint(F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))) * 1e6).cast("bigint")  # round() would make a BigDecimal of each
 
 
 def joined(rows: DataFrame, stats: DataFrame, group: str, *spread_by: str) -> DataFrame:
@@ -153,16 +177,22 @@ class Groups:
 
 
 def combined_evidence(rows: DataFrame, key: str, groups: Groups, aliases: Mapping[str, DataFrame]) -> DataFrame:
-    """``rows`` with what the other rows of the ``least`` and ``means`` groups say.
+    """``rows``, without the groups, with what the other rows of the ``least`` and ``means`` groups say.
 
     The rows of each combination of groups are combined first; groups are added up from these combinations, and each
     row meets its combination, and so all of its groups, in one join. A value that only the row itself has says nothing.
+    A combination goes by one 64-bit hash: the rows are sorted by a single number. Rows without any group, which find
+    nothing, are spread by their keys.
     """
     by = groups.combined
+    none = F.lit(True)
+    for g in by:
+        none &= F.col(g).isNull()
+    rows = rows.withColumn("_cell", F.when(none, F.xxhash64(key)).otherwise(F.xxhash64(*by, *[F.col(g).isNull() for g in by])))
     fields = sorted({f for of in (groups.least, groups.means) for own in of.values() for f in own})
     ends = [x for f in fields for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"), F.sum(log_units(f)).alias(f"_sum_{f}"), F.count(f).alias(f"_n_{f}"))]
-    cells = stored(rows.groupBy(*by).agg(*ends), "cells")
-    out = cells.select(*by)
+    cells = stored(rows.where(~none).groupBy("_cell").agg(*[F.min(g).alias(g) for g in by], *ends), "cells")
+    out = cells.select("_cell", *by)
     for k, g in enumerate(by):
         made = [x for f in groups.least.get(g, ()) for x in (F.min(f"_lo_{f}").alias(f"_lo_{k}_{f}"), F.max(f"_hi_{f}").alias(f"_hi_{k}_{f}"))]
         made += [F.sum(f"_sum_{f}").alias(f"_sum_{k}_{f}") for f in groups.means.get(g, ())]
@@ -170,14 +200,8 @@ def combined_evidence(rows: DataFrame, key: str, groups: Groups, aliases: Mappin
         of = lambda df: (joined(df, aliases[g], g, *by) if g in aliases else df.withColumn("_of", F.lit(None).cast("bigint"))).withColumn("_of", F.coalesce("_of", g))  # noqa: B023, E731
         sums = of(cells).where(F.col("_of").isNotNull()).groupBy("_of").agg(*made)
         out = joined(of(out), sums, "_of", *by).drop("_of")
-    none = F.lit(True)
-    for g in by:
-        none &= F.col(g).isNull()
-    renamed = out.withColumnsRenamed({g: f"_c_{g}" for g in by}).withColumn("_c_salt", F.lit(0))
-    same = F.col("_salt") == F.col("_c_salt")
-    for g in by:
-        same &= F.col(g).eqNullSafe(F.col(f"_c_{g}"))
-    rows = rows.withColumn("_salt", F.when(none, F.pmod(F.xxhash64(key), F.lit(4096))).otherwise(0).cast("int")).join(renamed, same, "left")
+    met = out.drop(*by)
+    rows = rows.drop(*by).join(met, "_cell", "left")
     columns = {}
     for name, (kind, g, f) in groups.said.items():
         if g in by and f in (groups.least if kind == "least" else groups.means).get(g, ()):
@@ -185,7 +209,7 @@ def combined_evidence(rows: DataFrame, key: str, groups: Groups, aliases: Mappin
             others = F.col(f"_n_{k}_{f}") - F.col(f).isNotNull().cast("int")
             lo, hi = F.col(f"_lo_{k}_{f}"), F.col(f"_hi_{k}_{f}")
             columns[name] = F.when(others > 0, F.when((F.col(f) == lo) & (others == 1), hi).otherwise(lo)) if kind == "least" else mean_of_others(f, F.col(f"_sum_{k}_{f}"), others)
-    return rows.withColumns(columns).drop("_salt", *renamed.columns)
+    return rows.withColumns(columns).drop(*met.columns)
 
 
 def mean_of_others(f: str, total: Column, others: Column) -> Column:
@@ -234,21 +258,24 @@ class Coding:
 
     def encode(self, pdf: pd.DataFrame) -> np.ndarray:
         own = [codes_of(pdf[c].to_numpy(dtype=float, na_value=np.nan), cuts) for c, cuts in zip(self.numeric, self.cuts)]
-        return np.stack([*own, *[pdf[c].fillna(-1).to_numpy(dtype=np.int64) for c in self.categorical]], axis=1)
+        return np.stack([*own, *[pdf[c].fillna(-1).to_numpy(dtype=np.int64) for c in self.categorical]]).T
 
 
 def contingency(rows: DataFrame, coding: Coding, sizes: list[int]) -> dict[tuple[int, int], np.ndarray]:
     """Counts of each pair of fields over all rows that have both: added up within tasks, a few per core whatever the rows, then over tasks."""
     pairs = list(combinations(range(len(sizes)), 2))
+    wide = [n + 1 for n in sizes]  # the first is for missing values
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(sizes[a] * sizes[b], dtype=np.int64) for a, b in pairs]
+        tables = [np.zeros(wide[a] * wide[b], dtype=np.int64) for a, b in pairs]
         for pdf in gathered(batches):
-            codes = coding.encode(pdf)
-            for table, (a, b) in zip(tables, pairs):
-                both = (codes[:, a] >= 0) & (codes[:, b] >= 0)
-                table += np.bincount(codes[both, a] * sizes[b] + codes[both, b], minlength=len(table))
-        for k, table in enumerate(tables):
+            all_codes = coding.encode(pdf).T + 1
+            for lo in range(0, all_codes.shape[1], SLICE):
+                codes = np.ascontiguousarray(all_codes[:, lo : lo + SLICE])
+                for table, (a, b) in zip(tables, pairs):
+                    table += np.bincount(codes[a] * wide[b] + codes[b], minlength=len(table))
+        for k, (a, b) in enumerate(pairs):
+            table = tables[k].reshape(wide[a], wide[b])[1:, 1:].ravel()
             at = np.flatnonzero(table)
             yield pd.DataFrame({"pair": np.full(len(at), k, dtype=np.int32), "cell": at.astype(np.int32), "n": table[at]})
 
@@ -272,7 +299,7 @@ def fill_missing(
     least: Mapping[str, Sequence[str]] | None = None,
     means: Mapping[str, Sequence[str]] | None = None,
     own_means: Mapping[str, Sequence[str]] | None = None,
-    aliases: Mapping[str, Aliases] | None = None,
+    aliases: Mapping[str, tuple[str, Aliases]] | None = None,
     bins: int = 48,
     top: int = 512,
     buckets: int = 256,
@@ -284,7 +311,8 @@ def fill_missing(
     value it has: least: groups, each with the targets of which the least value counts (a value that only the row itself has
     says nothing); means: groups with the targets of which the mean of logarithms counts; own_means: the same for groups that
     would cut the combinations of the others into single rows. aliases: for a group that goes by
-    several names, a function from its names (repeated ones among them) to (name, _of). Groups are told apart by 64-bit hashes.
+    several names, the column that has those of a row's names of the group which may stand for another one (else null), and a function
+    from (group) of these, repeated ones among them, to (group, _of). Groups are told apart by 64-bit hashes.
 
     A null is a missing value; NaN must have been made null. A target without any value in the whole table stays null
     and unmarked. Repeated rows are filled alike; other columns are not carried. A group may hold any share of the
@@ -294,16 +322,17 @@ def fill_missing(
     fields = [*targets, *numeric]
     groups = Groups(dict(least or {}), dict(means or {}), dict(own_means or {}))
     aliases = dict(aliases or {})
-    told = [F.when(F.col(g).isNotNull(), F.xxhash64(g)).alias(f"{GROUP}{g}") for g in groups.all] + [F.col(g).alias(f"_name_{g}") for g in aliases]
-    taken = rows.select(*dict.fromkeys([key, *groups.all, *fields, *categorical]))
-    rows = stored(taken.select(*told, *dict.fromkeys([key, *fields, *categorical])), "rows")  # read column by column below
+    told = [F.when(F.col(g).isNotNull(), F.xxhash64(g)).alias(f"{GROUP}{g}") for g in groups.all] + [F.col(name).alias(f"_name_{g}") for g, (name, _) in aliases.items()]
+    rows = stored(rows.select(*told, *dict.fromkeys([key, *fields, *categorical])), "rows", plain=True)  # read column by column below
     points = [k / (2 * bins) for k in range(2 * bins + 1)]
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), points, 1000).alias(f) for f in fields]).first()
     cut = {f: Bins.of(found[f]) for f in fields}
 
-    slim = rows
+    slim, kinds = rows, []
     for c in categorical:
-        codes = F.broadcast(frequent(slim.select(F.col(c).cast("string").alias(c)), c, top)).withColumnsRenamed({"code": f"_{c}_code", c: f"_{c}"})  # at most ``top`` rows
+        values, many = frequent(slim.select(F.col(c).cast("string").alias(c)), c, top)
+        kinds.append(top + buckets if many == top else max(1, many))  # fewer than ``top``: all values have codes of their own
+        codes = F.broadcast(values).withColumnsRenamed({"code": f"_{c}_code", c: f"_{c}"})  # at most ``top`` rows
         code = F.when(F.col(c).isNotNull(), F.coalesce(f"_{c}_code", top + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(buckets)))).cast("smallint")
         slim = slim.join(codes, F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(f"_code_{c}", code).drop(f"_{c}_code", f"_{c}", c)
     slim = slim.drop(*[f"_name_{g}" for g in aliases])
@@ -311,15 +340,15 @@ def fill_missing(
     slim = own_evidence(slim, key, named).drop(*[g for g in named.own_means if g not in named.combined])
     if named.combined:
         of = {}
-        for g, find in aliases.items():
+        for g, (_, find) in aliases.items():
             names = stored(find(rows.select(F.col(f"_name_{g}").alias(g)).where(F.col(g).isNotNull())), "aliases")
             of[f"{GROUP}{g}"] = names.select(F.xxhash64(g).alias(f"{GROUP}{g}"), F.xxhash64("_of").alias("_of"))
         slim = combined_evidence(slim, key, named, of)
     said = {name: f for name, (_, _, f) in named.said.items()}
     kept = [*fields, *said]
     coding = Coding(kept, [cut[f].cuts for f in fields] + [cut[f].cuts for f in said.values()], [f"_code_{c}" for c in categorical])
-    sizes = [max(1, cut[f].size) for f in [*fields, *said.values()]] + [top + buckets] * len(categorical)
-    known = stored(slim.select(key, *kept, *coding.categorical), "known").withColumns({t: F.col(t).cast("double") for t in targets})
+    sizes = [max(1, cut[f].size) for f in [*fields, *said.values()]] + kinds
+    known = stored(slim.select(key, *kept, *coding.categorical), "known", plain=True).withColumns({t: F.col(t).cast("double") for t in targets})
 
     tree = Tree.learn(coding.names, sizes, contingency(known, coding, sizes))
     fillable = [t for t in targets if cut[t].size]
@@ -340,7 +369,7 @@ def fill_missing(
                 for k, t in enumerate(targets):
                     if not pattern[k] or t not in medians:
                         continue
-                    best = middle(tree.posterior(k, codes[at], pattern))
+                    best = tree.decoded(k, codes[at], pattern)
                     value = medians[t][best]
                     for name in reversed([name for name, f in said.items() if f == t]):  # the first group that has one counts
                         same = codes[at, coding.names.index(name)] == best

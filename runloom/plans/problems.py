@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.commits import known_commits, short_names
-from runloom.functions.keys import epoch_s, failed, is_sha, is_short_sha, job_number, reference, trimmed, usable_duration, usable_sequence, usable_timestamp
+from runloom.functions.keys import NO_SHA, epoch_s, failed, is_sha, is_short_sha, job_number, reference, trimmed, usable_before, usable_duration, usable_sequence, usable_timestamp
 from runloom.functions.runs import distinct_runs
 from runloom.functions.sql import REF, RUNS, USABLE_MS, USABLE_TS
 from runloom.operators import asof, impute, orphans, rolling
@@ -151,20 +151,25 @@ FILLED = ("timestamp", "job_sequence", "duration_ms")
 
 
 def fillable_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of test_runs with null for what is missing. ``commit``: the bytes of the full sha; a short reference goes by its repo and text.
-    ``season``: the repo in thirty days of loading."""
-    ref, loaded = reference(), epoch_s("loaded_at")
-    return table(spark, d, "test_runs").select(
+    """The rows of test_runs with null for what is missing. ``commit``: the bytes of the full sha; a short reference goes by its repo and text,
+    which ``short`` has too. ``season``: a number for the repo in thirty days of loading."""
+    ref, sha = reference(), F.col("_sha")
+    # most references are a sha as it stands, decoded once here; the others take the whole normal form
+    rows = table(spark, d, "test_runs").withColumns({"loaded": epoch_s("loaded_at"), "_sha": F.when(F.length("commit_sha") == 40, F.unhex("commit_sha"))})
+    rows = rows.withColumn("short", F.when(sha.isNull() & is_short_sha(ref), F.concat_ws(BY, "repo", ref)))
+    other = F.when(F.col("short").isNotNull(), F.col("short").cast("binary")).when(is_sha(ref), F.unhex(ref))
+    return rows.select(
         "id",
         job_number().alias("job"),
-        usable_timestamp().alias("timestamp"),
+        usable_before(F.col("loaded")).alias("timestamp"),
         usable_sequence().alias("job_sequence"),
         usable_duration().alias("duration_ms"),
-        loaded.alias("loaded"),
+        "loaded",
         "test_id",
         F.upper(trimmed("outcome")).alias("outcome"),
-        F.when(is_sha(ref), F.unhex(ref)).when(is_short_sha(ref), F.concat_ws(BY, "repo", ref).cast("binary")).alias("commit"),
-        F.concat_ws(BY, "repo", F.floor(loaded / (30 * 86400))).alias("season"),
+        F.when(sha.isNull(), other).when(sha != F.unhex(F.lit(NO_SHA)), sha).alias("commit"),
+        "short",
+        F.xxhash64("repo", F.floor(F.col("loaded") / (30 * 86400))).alias("season"),
     )
 
 
@@ -172,11 +177,10 @@ BY = "|"
 
 
 def named_by_short(commits: DataFrame):
-    """From the names of commits in ``fillable_runs`` to the full sha of those that begin one commit of their repo only."""
+    """From the short names of commits in ``fillable_runs`` to the full sha of those that begin one commit of their repo only."""
 
     def names(of: DataFrame) -> DataFrame:
-        name = F.try_validate_utf8(F.col("commit"))
-        short = of.select(F.substring_index(name, BY, 1).alias("repo"), F.substring_index(name, BY, -1).alias("ref")).where(F.length("repo") > 0)
+        short = of.select(F.substring_index("commit", BY, 1).alias("repo"), F.substring_index("commit", BY, -1).alias("ref")).where(F.length("repo") > 0)
         found = short_names(short, known_commits(commits)).groupBy("repo", "ref").agg(F.min("sha").alias("_of"), F.count("*").alias("n")).where("n = 1")
         return found.select(F.concat_ws(BY, "repo", "ref").cast("binary").alias("commit"), F.unhex("_of").alias("_of"))
 
@@ -185,7 +189,7 @@ def named_by_short(commits: DataFrame):
 
 def fill_runs(rows: DataFrame, commits: DataFrame) -> DataFrame:
     times = ["timestamp", "job_sequence"]
-    least, aliases = {"job": times, "commit": times}, {"commit": named_by_short(commits)}
+    least, aliases = {"job": times, "commit": times}, {"commit": ("short", named_by_short(commits))}
     return impute.fill_missing(rows, "id", FILLED, ["loaded"], ["outcome"], least, {"season": times}, {"test_id": ["duration_ms"]}, aliases)
 
 

@@ -28,16 +28,17 @@ def work_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, tidy: bool = False, plain: bool = False) -> DataFrame:
     """``df`` written as a table into the shared folder and read back: later steps neither recompute it nor lose it with an executor.
     It stays until ``clear``, since results that read it are evaluated later. tidy: the shuffle files of the write, which nothing else
-    reads, are removed when it has ended, not when the driver happens to collect its garbage."""
+    reads, are removed when it has ended, not when the driver happens to collect its garbage. plain: without dictionaries, which cost time
+    and save nothing where most values of a column differ, as hashes do."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     try:
         conf.set(CLEANUP, "true" if tidy else before)
-        df.write.parquet(path)
+        df.write.options(**({"parquet.enable.dictionary": "false"} if plain else {})).parquet(path)
     finally:
         conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
