@@ -191,7 +191,7 @@ def combined_evidence(rows: DataFrame, key: str, groups: Groups, aliases: Mappin
     rows = rows.withColumn("_cell", F.when(none, F.xxhash64(key)).otherwise(F.xxhash64(*by, *[F.col(g).isNull() for g in by])))
     fields = sorted({f for of in (groups.least, groups.means) for own in of.values() for f in own})
     ends = [x for f in fields for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"), F.sum(log_units(f)).alias(f"_sum_{f}"), F.count(f).alias(f"_n_{f}"))]
-    cells = stored(rows.where(~none).groupBy("_cell").agg(*[F.min(g).alias(g) for g in by], *ends), "cells")
+    cells = stored(rows.where(~none).groupBy("_cell").agg(*[F.min(g).alias(g) for g in by], *ends), "cells", tidy=True)
     out = cells.select("_cell", *by)
     for k, g in enumerate(by):
         made = [x for f in groups.least.get(g, ()) for x in (F.min(f"_lo_{f}").alias(f"_lo_{k}_{f}"), F.max(f"_hi_{f}").alias(f"_hi_{k}_{f}"))]
@@ -224,7 +224,7 @@ def own_evidence(rows: DataFrame, key: str, groups: Groups, small: int = SMALL)
     source = rows
     for g, fields in groups.own_means.items():
         made = [x for f in fields for x in (F.sum(log_units(f)).alias(f"_sum_{f}"), F.count(f).alias(f"_n_{f}"))]
-        sums = stored(source.where(F.col(g).isNotNull()).groupBy(g).agg(*made), "sums")
+        sums = stored(source.where(F.col(g).isNotNull()).groupBy(g).agg(*made), "sums", tidy=True)
         rows = rows.join(F.broadcast(sums), g, "left") if sums.count() <= small else joined(rows, sums, g, key)
         rows = rows.withColumns({f"mean_{g}_{f}": mean_of_others(f, F.col(f"_sum_{f}"), F.col(f"_n_{f}") - F.col(f).isNotNull().cast("int")) for f in fields})
         rows = rows.drop(*[f"_sum_{f}" for f in fields], *[f"_n_{f}" for f in fields])
@@ -341,14 +341,14 @@ def fill_missing(
     if named.combined:
         of = {}
         for g, (_, find) in aliases.items():
-            names = stored(find(rows.select(F.col(f"_name_{g}").alias(g)).where(F.col(g).isNotNull())), "aliases")
+            names = stored(find(rows.select(F.col(f"_name_{g}").alias(g)).where(F.col(g).isNotNull())), "aliases", tidy=True)
             of[f"{GROUP}{g}"] = names.select(F.xxhash64(g).alias(f"{GROUP}{g}"), F.xxhash64("_of").alias("_of"))
         slim = combined_evidence(slim, key, named, of)
     said = {name: f for name, (_, _, f) in named.said.items()}
     kept = [*fields, *said]
     coding = Coding(kept, [cut[f].cuts for f in fields] + [cut[f].cuts for f in said.values()], [f"_code_{c}" for c in categorical])
     sizes = [max(1, cut[f].size) for f in [*fields, *said.values()]] + kinds
-    known = stored(slim.select(key, *kept, *coding.categorical), "known", plain=True).withColumns({t: F.col(t).cast("double") for t in targets})
+    known = stored(slim.select(key, *kept, *coding.categorical), "known", tidy=True, plain=True).withColumns({t: F.col(t).cast("double") for t in targets})
 
     tree = Tree.learn(coding.names, sizes, contingency(known, coding, sizes))
     fillable = [t for t in targets if cut[t].size]
